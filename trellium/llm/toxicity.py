@@ -16,8 +16,10 @@ from .scratch import small_batches
 
 ORDERS, BITS, WIDTH = (3, 4, 5), 18, 8
 #: Documents of each label that are learned from, about; see bounded_sample.
-TRAIN_BOUND = 2_000
-EPOCHS, BATCH, RATE, DECAY = 24, 128, 0.05, 1e-6
+TRAIN_BOUND = 4_000
+EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.05, 1e-6
+#: Subwords of embedding zero that count in every average, so that a handful of them decides little.
+PRIOR = 60
 
 
 def bags(rows: DataFrame, label: str, bits: int = BITS) -> DataFrame:
@@ -58,7 +60,7 @@ def train(bag: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: in
             rows = order[at : at + BATCH]
             of = np.repeat(np.arange(len(rows)), [len(bag[r][0]) for r in rows])
             bucket = np.concatenate([bag[r][0] for r in rows])
-            part = np.concatenate([bag[r][1] / max(1.0, bag[r][1].sum()) for r in rows]).astype(np.float32) * scale
+            part = np.concatenate([bag[r][1] / (bag[r][1].sum() + PRIOR) for r in rows]).astype(np.float32) * scale
             used, slot = np.unique(bucket, return_inverse=True)
             logit = np.bincount(of, weights=part * (embed[used] @ weight)[slot], minlength=len(rows)) + bias
             error = ((1 / (1 + np.exp(-np.clip(logit, -30, 30)))) - labels[rows]).astype(np.float32) / len(rows)
@@ -85,7 +87,7 @@ def logits(texts: list[str | None], subwords: np.ndarray, bias: float, table: np
         for bucket, counts, starts, of in blocks(points, begins, n, bits, True):
             total[of] += np.add.reduceat(np.where(counts, subwords[bucket], 0), starts, dtype=np.float64)
             number[of] += np.add.reduceat(counts, starts, dtype=np.int64)
-    return total / np.maximum(number, 1) + bias
+    return total / (number + PRIOR) + bias
 
 
 def toxicity_model(labelled: DataFrame, *, label: str = "toxic", bound: int = TRAIN_BOUND):
