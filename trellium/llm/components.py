@@ -20,7 +20,7 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     of rounds grows with the logarithm of the longest path. Minima are partial aggregates, so a node with very many
     neighbours costs a row for each task; nothing but three numbers a round comes to the driver.
     """
-    edges = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"{name}-0")
+    edges = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"cc-{name}-0")
     before, turn = _state(edges), 0
     while before[0]:
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
@@ -29,8 +29,8 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         least = large.groupBy(F.col("a").alias("u")).agg(F.min("b").alias("m"))
         small = large.join(least, F.col("a") == F.col("u")).select(F.explode(F.array(F.struct("a", F.col("m").alias("b")), F.struct(F.col("b").alias("a"), F.col("m").alias("b")))).alias("e"))
         turn += 1
-        edges = scratch.save(small.select("e.*").where("a <> b").distinct(), f"{name}-{turn}")
-        scratch.drop(f"{name}-{turn - 1}")
+        edges = scratch.save(small.select("e.*").where("a <> b").distinct(), f"cc-{name}-{turn}")
+        scratch.drop(f"cc-{name}-{turn - 1}")
         now = _state(edges)
         if now == before:
             break
