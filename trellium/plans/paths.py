@@ -6,11 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import glob_regex
+from ..shared import settled
 
 #: Hops of an unbounded pattern in FROM; reachability in EXISTS has no bound.
 MOST_HOPS = 20
-#: Rounds after which a frontier is checkpointed.
-EVERY = 5
 
 
 def type_test(column: Column, kind: str | None) -> Column | None:
@@ -38,13 +37,6 @@ def oriented(edges: DataFrame, direction: str) -> DataFrame:
     return out if direction == "out" else back
 
 
-def _settled(df: DataFrame, turn: int) -> DataFrame:
-    """df with its lineage cut now and then, in the cluster's shared folder where one is set."""
-    if turn % EVERY == EVERY - 1 and df.sparkSession.sparkContext.getCheckpointDir():
-        return df.checkpoint()
-    return df.persist()
-
-
 def reachable(hops: DataFrame, seeds: DataFrame, low: int, high: int | None) -> DataFrame:
     """The ids, once each, that low to high hops (src, dst) lead to from seeds (id).
 
@@ -55,14 +47,12 @@ def reachable(hops: DataFrame, seeds: DataFrame, low: int, high: int | None) ->
     frontier = seeds.select("id").distinct()
     found = frontier if low == 0 else None
     seen, turn = frontier, 0
-    held: list[DataFrame] = []
     last = high if high is not None else (None if low <= 1 else low + MOST_HOPS)
     while last is None or turn < last:
         nxt = hops.join(frontier, F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id")).distinct()
-        if low <= 1:
-            nxt = nxt.join(found if found is not None else seen.limit(0), "id", "left_anti")
-        nxt = _settled(nxt, turn)
-        held.append(nxt)
+        if low <= 1 and found is not None:
+            nxt = nxt.join(found, "id", "left_anti")
+        nxt = settled(nxt)
         turn += 1
         if nxt.isEmpty():
             break
@@ -79,8 +69,8 @@ def walks(hops: DataFrame, seeds: DataFrame, low: int, high: int | None, most: i
     parts = [front] if low == 0 else []
     for turn in range(1, (high if high is not None else most) + 1):
         front = front.join(step, F.col("dst") == F.col("_at")).select("src", F.col("_to").alias("dst"))
-        if high is None or turn % EVERY == 0:
-            front = _settled(front, turn)
+        if high is None or turn % 4 == 0:
+            front = settled(front)
             if front.isEmpty():
                 break
         if turn >= low:
@@ -89,3 +79,17 @@ def walks(hops: DataFrame, seeds: DataFrame, low: int, high: int | None, most: i
     for more in parts[1:]:
         out = out.unionByName(more)
     return out
+
+
+def distances(hops: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
+    """id, distance of all that at most so many hops (src, dst) lead to from seeds (id)."""
+    hops = hops.select("src", "dst").distinct()
+    front = seeds.select("id", F.lit(0).alias("distance")).distinct()
+    found = front
+    for turn in range(1, most + 1):
+        nxt = hops.join(front, F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id")).distinct().join(found, "id", "left_anti")
+        front = settled(nxt.withColumn("distance", F.lit(turn)))
+        if front.isEmpty():
+            break
+        found = found.unionByName(front)
+    return found

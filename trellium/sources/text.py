@@ -1,0 +1,275 @@
+"""What texts say: annotations, licences, commit messages, labels by rule, manifests, markdown."""
+
+from __future__ import annotations
+
+import json
+import re
+import tomllib
+from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
+
+import pandas as pd
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from ..functions.scalars import path_glob_regex
+
+#: The annotations of comments, and the header of a conventional commit.
+ANNOTATION = r"(?i)^\s*(?://|#|--|;)\s*\*?\s*(TODO|FIXME|HACK|XXX|NOTE)\b[:.]?\s*(.*)"
+HEADER = r"^(\w+)(?:\(([^)]+)\))?(!)?: (.+)$"
+TRAILER = r"^([A-Za-z][\w-]*|BREAKING CHANGE): (.+)$"
+#: Licences in order; the first fits whose texts are all in the first 1024 characters, and none of the others.
+LICENCES = [
+    ("Apache-2.0", ["apache license", "version 2.0"], []),
+    ("AGPL-3.0", ["gnu affero general public license"], []),
+    ("LGPL-3.0", ["gnu lesser general public license", "version 3"], []),
+    ("LGPL-2.1", ["gnu lesser general public license", "version 2.1"], []),
+    ("GPL-3.0", ["gnu general public license", "version 3"], []),
+    ("GPL-2.0", ["gnu general public license", "version 2"], []),
+    ("MPL-2.0", ["mozilla public license", "2.0"], []),
+    ("BSD-3-Clause", ["redistribution and use in source and binary forms", "neither the name"], []),
+    ("BSD-2-Clause", ["redistribution and use in source and binary forms"], ["neither the name"]),
+    ("ISC", ["permission to use, copy, modify, and/or distribute"], []),
+    ("MIT", ["permission is hereby granted, free of charge"], []),
+    ("Unlicense", ["this is free and unencumbered software"], []),
+]
+
+
+def annotations(files: DataFrame, most: int = 2 << 20) -> DataFrame:
+    """path, line, kind, text, name, before: comments that begin with TODO and the like, with the line before.
+
+    Files (path, text) above `most` bytes or with a NUL in the first 512 characters are left out.
+    """
+    plain = files.where((F.octet_length("text") <= most) & (F.instr(F.substring("text", 1, 512), "\0") == 0))
+    lines = F.transform(F.split("text", "\n"), lambda x: x)
+    rows = plain.select("path", lines.alias("_lines")).select("path", "_lines", F.posexplode_outer(F.col("_lines")).alias("_at", "_line"))
+    hit = rows.where(F.regexp_like("_line", F.lit(ANNOTATION)))
+    text = F.trim(F.regexp_extract("_line", ANNOTATION, 2))
+    return hit.select(
+        "path",
+        (F.col("_at") + 1).alias("line"),
+        F.upper(F.regexp_extract("_line", ANNOTATION, 1)).alias("kind"),
+        text.alias("text"),
+        F.when(F.length(text) > 80, F.concat(F.left(text, F.lit(77)), F.lit("..."))).otherwise(text).alias("name"),
+        F.when(F.col("_at") > 0, F.trim(F.get("_lines", F.col("_at") - 1))).alias("before"),
+    )
+
+
+def licence(text: str | Column) -> Column:
+    head = F.lower(F.left(F.col(text) if isinstance(text, str) else text, F.lit(1024)))
+    head = F.regexp_replace(head, r"\s+", " ")
+    out = None
+    for name, needed, barred in LICENCES:
+        test = F.lit(True)
+        for x in needed:
+            test &= F.contains(head, F.lit(x))
+        for x in barred:
+            test &= ~F.contains(head, F.lit(x))
+        out = F.when(test, name) if out is None else out.when(test, name)
+    return out.otherwise("unknown")
+
+
+def commits(messages: DataFrame, text: str = "message") -> DataFrame:
+    """messages with type, scope, breaking, subject, body, footers and refs of a conventional commit.
+
+    A header that does not fit is the subject, of type "". Footers are the last block if all its lines are trailers.
+    """
+    clean = F.regexp_replace(F.trim(F.col(text)), "\r", "")
+    blocks = F.split(clean, r"\n\s*\n")
+    head = F.trim(F.get(F.split(clean, "\n"), F.lit(0)))
+    fits = F.regexp_like(head, F.lit(HEADER))
+    last = F.split(F.element_at("_blocks", -1), "\n")
+    footed = (F.size("_blocks") > 1) & F.forall(last, lambda x: F.regexp_like(x, F.lit(TRAILER)))
+    rows = messages.withColumns({"_blocks": blocks, "_head": head, "_fits": fits}).withColumn("_foot", F.when(footed, last).otherwise(F.array().cast("array<string>")))
+    keys = F.transform("_foot", lambda x: F.regexp_extract(x, TRAILER, 1))
+    rows = rows.withColumn("_keys", F.array_distinct(keys))
+    value = lambda x: F.regexp_extract(x, TRAILER, 2)
+    footers = F.map_from_arrays("_keys", F.transform("_keys", lambda k: F.transform(F.filter("_foot", lambda x: F.regexp_extract(x, TRAILER, 1) == k), value)))
+    linked = F.flatten(F.transform(F.filter("_foot", lambda x: F.lower(F.regexp_extract(x, TRAILER, 1)).isin("refs", "ref", "closes", "fixes", "resolves")), lambda x: F.split(value(x), r"[,\s]+")))
+    count = F.size("_blocks") - F.when(F.size("_foot") > 0, 1).otherwise(0)
+    body = F.trim(F.array_join(F.filter("_blocks", lambda _, i: (i > 0) & (i < count)), "\n\n"))
+    breaking = (F.regexp_extract("_head", HEADER, 3) == "!") | F.arrays_overlap("_keys", F.array(F.lit("BREAKING CHANGE"), F.lit("BREAKING-CHANGE")))
+    return rows.select(
+        *messages.columns,
+        F.when(F.col("_fits"), F.regexp_extract("_head", HEADER, 1)).otherwise("").alias("type"),
+        F.when(F.col("_fits"), F.regexp_extract("_head", HEADER, 2)).otherwise("").alias("scope"),
+        F.coalesce(breaking, F.lit(False)).alias("breaking"),
+        F.when(F.col("_fits"), F.regexp_extract("_head", HEADER, 4)).otherwise(F.col("_head")).alias("subject"),
+        body.alias("body"),
+        footers.alias("footers"),
+        F.array_distinct(F.filter(linked, lambda x: x != "")).alias("refs"),
+    )
+
+
+@dataclass(frozen=True)
+class Rule:
+    """Labels for nodes of a type ("" for any) whose name and path fit the globs (None for any)."""
+
+    labels: tuple[str, ...]
+    type: str = "fs:file"
+    name: str | None = None
+    path: str | None = None
+
+
+def extension_rules(languages: dict[str, Sequence[str]]) -> list[Rule]:
+    """A rule lang:x for each extension of each language."""
+    return [Rule((f"lang:{language}",), name=f"*.{e}") for language, ends in languages.items() for e in ends]
+
+
+#: Rules for what common file names and folders say.
+RULES = [
+    *extension_rules({"go": ["go"], "python": ["py", "pyi"], "javascript": ["js", "mjs"], "typescript": ["ts", "tsx"], "java": ["java"], "rust": ["rs"], "c": ["c", "h"], "cpp": ["cc", "cpp", "hpp"], "shell": ["sh", "bash"], "sql": ["sql"], "scala": ["scala"], "ruby": ["rb"]}),
+    *[Rule(("kind:test",), name=g) for g in ("*_test.go", "test_*.py", "*_test.py", "*.test.js", "*.test.ts", "*.spec.ts", "*Test.java")],
+    *[Rule(("kind:docs",), name=g) for g in ("*.md", "*.rst", "*.adoc")],
+    *[Rule(("kind:config",), name=g) for g in ("*.yaml", "*.yml", "*.toml", "*.ini", "*.json")],
+    *[Rule(("kind:build",), name=g) for g in ("Makefile", "Dockerfile", "CMakeLists.txt", "Taskfile.yaml", "*.gradle")],
+    *[Rule(("kind:ci",), path=g) for g in (".github/workflows/**", "**/.gitlab-ci.yml", ".circleci/**")],
+    *[Rule(("area:docs",), path=g) for g in ("docs/**", "**/docs/**")],
+    *[Rule(("area:tests",), path=g) for g in ("tests/**", "**/tests/**", "**/testdata/**")],
+]
+
+
+def tagged(nodes: DataFrame, path: Column, rules: Sequence[Rule] = RULES) -> DataFrame:
+    """nodes with the labels of all rules that fit added, in the order of the rules, each label once.
+
+    The rules are one expression over a row, so nothing is joined or shuffled.
+    """
+    parts = []
+    for rule in rules:
+        test = F.lit(True)
+        if rule.type:
+            test &= F.col("type") == rule.type
+        if rule.name:
+            test &= F.col("name").rlike(path_glob_regex(rule.name))
+        if rule.path:
+            test &= path.rlike(path_glob_regex(rule.path))
+        parts.append(F.when(test, F.array(*[F.lit(x) for x in rule.labels])).otherwise(F.array().cast("array<string>")))
+    return nodes.withColumn("labels", F.array_distinct(F.concat(F.coalesce("labels", F.array().cast("array<string>")), *parts)))
+
+
+#: Manifest names and the language they speak of (fixed values).
+MANIFESTS = {"go.mod": "go", "package.json": "javascript", "Cargo.toml": "rust", "pyproject.toml": "python", "setup.py": "python", "pom.xml": "java", "build.gradle": "java", "composer.json": "php", "Gemfile": "ruby"}
+
+
+def manifest(name: str, text: str) -> dict:
+    """language, name, version and dep_count of a manifest; what can't be read is left empty."""
+    out = {"language": MANIFESTS.get(name, ""), "name": "", "version": "", "dep_count": 0}
+    first = lambda pattern: (re.search(pattern, text, re.M) or [None, ""])[1]
+    try:
+        if name.endswith(".json"):
+            data = json.loads(text)
+            deps = [data.get(k) or {} for k in ("dependencies", "devDependencies", "require", "require-dev")]
+            out |= {"name": data.get("name") or "", "version": data.get("version") or "", "dep_count": sum(map(len, deps))}
+        elif name.endswith(".toml"):
+            data = tomllib.loads(text)
+            own = data.get("package") or data.get("project") or data.get("tool", {}).get("poetry") or {}
+            deps = own.get("dependencies") or data.get("dependencies") or []
+            out |= {"name": own.get("name") or "", "version": own.get("version") or "", "dep_count": len(deps)}
+        elif name == "go.mod":
+            block = "".join(re.findall(r"^require \(([^)]*)\)", text, re.M))
+            deps = [x for x in block.splitlines() if x.strip() and not x.strip().startswith("//")]
+            out |= {"name": first(r"^module (\S+)"), "version": first(r"^go (\S+)"), "dep_count": len(deps) + len(re.findall(r"^require [^(\s]", text, re.M))}
+        elif name == "pom.xml":
+            out |= {"name": first(r"<artifactId>([^<]*)"), "version": first(r"<version>([^<]*)"), "dep_count": text.count("<dependency>")}
+        elif name == "setup.py":
+            out |= {"name": first(r"name\s*=\s*['\"]([^'\"]+)"), "version": first(r"version\s*=\s*['\"]([^'\"]+)")}
+        elif name == "build.gradle":
+            out |= {"version": first(r"^version\s*=?\s*['\"]([^'\"]+)"), "dep_count": len(re.findall(r"^\s*(?:implementation|api|testImplementation)\b", text, re.M))}
+        elif name == "Gemfile":
+            out |= {"dep_count": len(re.findall(r"^\s*gem ", text, re.M))}
+    except (ValueError, AttributeError, TypeError):
+        pass
+    return out
+
+
+def manifests(files: DataFrame) -> DataFrame:
+    """path, language, name, version, dep_count of the manifests among files (path, text)."""
+    rows = files.withColumn("_name", F.element_at(F.split("path", "/"), -1)).where(F.col("_name").isin(list(MANIFESTS)))
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            got = [manifest(n, t or "") for n, t in zip(df["_name"], df["text"])]
+            yield pd.DataFrame({"path": df["path"], **{k: [g[k] for g in got] for k in ("language", "name", "version", "dep_count")}})
+
+    return rows.select("path", "_name", "text").mapInPandas(read, "path string, language string, name string, version string, dep_count long")
+
+
+def _slug(text: str) -> str:
+    return re.sub(r"[\s-]+", "-", re.sub(r"[^a-z0-9\s-]", "", text.lower())).strip("-")
+
+
+def markdown_parts(text: str) -> list[dict]:
+    """The sections, code blocks, links and images of a markdown text, in order; parent is a part's place in the list."""
+    parts: list[dict] = [{"kind": "document", "name": "", "path": "", "level": 0, "line": 1, "end": 0, "parent": -1, "target": "", "content": ""}]
+    stack, lines, i = [0], text.split("\n"), 0
+    while i < len(lines):
+        line = lines[i]
+        fence = re.match(r"^\s*(```+|~~~+)\s*(\S*)", line)
+        head = re.match(r"^(#{1,6})\s+(.*?)\s*#*\s*$", line)
+        if fence:
+            stop = next((k for k in range(i + 1, len(lines)) if lines[k].strip().startswith(fence[1])), len(lines))
+            parts.append({"kind": "codeblock", "name": fence[2], "path": parts[stack[-1]]["path"], "level": 0, "line": i + 1, "end": stop + 1, "parent": stack[-1], "target": "", "content": "\n".join(lines[i + 1 : stop])})
+            i = stop + 1
+            continue
+        if head:
+            level = len(head[1])
+            while len(stack) > 1 and parts[stack[-1]]["level"] >= level:
+                stack.pop()
+            above = parts[stack[-1]]["path"]
+            own = f"h{level}-{_slug(head[2])}"
+            parts.append({"kind": "section", "name": head[2], "path": f"{above}/{own}" if above else own, "level": level, "line": i + 1, "end": i + 1, "parent": stack[-1], "target": "", "content": ""})
+            stack.append(len(parts) - 1)
+            if level == 1 and not parts[0]["name"]:
+                parts[0]["name"] = head[2]
+        else:
+            if len(stack) > 1 and line.strip():
+                own = parts[stack[-1]]
+                own["content"] += ("\n" if own["content"] else "") + line
+                own["end"] = i + 1
+            for bang, label, target in re.findall(r"(!?)\[([^\]]*)\]\(([^)\s]+)[^)]*\)", line):
+                parts.append({"kind": "image" if bang else "link", "name": label, "path": "", "level": 0, "line": i + 1, "end": i + 1, "parent": stack[-1], "target": target, "content": ""})
+        i += 1
+    parts[0]["end"] = len(lines)
+    return parts
+
+
+def markdown(files: DataFrame) -> DataFrame:
+    """path, place, kind, name, section, level, line, end, parent, target, content of every part of files (path, text)."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for df in batches:
+            rows = [(p, i, x["kind"], x["name"], x["path"], x["level"], x["line"], x["end"], x["parent"], x["target"], x["content"]) for p, t in zip(df["path"], df["text"]) for i, x in enumerate(markdown_parts(t or ""))]
+            yield pd.DataFrame(rows, columns=["path", "place", "kind", "name", "section", "level", "line", "end", "parent", "target", "content"])
+
+    return files.select("path", "text").mapInPandas(read, "path string, place int, kind string, name string, section string, level int, line int, end int, parent int, target string, content string")
+
+
+def markdown_graph(parts: DataFrame, generation: str) -> tuple[DataFrame, DataFrame]:
+    """nodes and edges of markdown parts; relative links become links_to edges to the file they name, by its id alone."""
+    from ..functions.scalars import content_hash, short_id
+    from ..model import both_ways, make_edges, make_nodes
+
+    uri = F.concat(F.lit("file+md://"), "path", F.when(F.col("kind") == "document", "").otherwise(F.concat(F.lit("#"), "kind", F.lit(":"), "place")))
+    position = F.struct(F.col("line"), F.col("end").alias("end_line"))
+    data = F.to_variant_object(F.struct(F.col("section").alias("path"), "level", "target", "content", content_hash("content").alias("hash"), position.alias("position")))
+    rows = parts.where("NOT (kind = 'link' AND NOT target RLIKE '^[a-z]+:')").withColumns({"uri": uri, "data": data})
+    nodes = make_nodes(rows.select(F.concat(F.lit("md:"), "kind").alias("type"), "uri", "name", "data", F.lit(generation).alias("generation")))
+    up = rows.select("path", F.col("place").alias("parent"), short_id("uri").alias("from_id"))
+    has = rows.where("parent >= 0").join(up, ["path", "parent"]).select(F.lit("has").alias("type"), "from_id", short_id("uri").alias("to_id"), F.lit(generation).alias("generation"))
+    local = parts.where("kind = 'link' AND NOT target RLIKE '^([a-z]+:|#)'")
+    folder = F.regexp_replace("path", "[^/]*$", "")
+    clean = F.regexp_replace(F.regexp_replace("target", "#.*$", ""), r"^\./", "")
+    links = local.select(F.lit("links_to").alias("type"), short_id(F.concat(F.lit("file+md://"), "path")).alias("from_id"), short_id(F.concat(F.lit("file://"), folder, clean)).alias("to_id"), F.lit(generation).alias("generation"))
+    return nodes, both_ways(make_edges(has), "belongs_to").unionByName(make_edges(links.distinct()))
+
+
+def merged_ranges(ranges: DataFrame, gap: int = 3) -> DataFrame:
+    """file, start, stop, score, reasons of ranges (file, start, stop, score, reason), those within gap lines merged.
+
+    Gaps and islands: a range begins a new island when it starts beyond the furthest stop before it.
+    """
+    order = Window.partitionBy("file").orderBy("start", "stop")
+    furthest = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
+    marked = ranges.withColumn("_new", F.coalesce((F.col("start") > furthest + gap).cast("int"), F.lit(1)))
+    marked = marked.withColumn("_island", F.sum("_new").over(order))
+    return marked.groupBy("file", "_island").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.max("score").alias("score"), F.slice(F.array_sort(F.collect_set("reason")), 1, 3).alias("reasons")).drop("_island")
