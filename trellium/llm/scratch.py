@@ -1,54 +1,12 @@
-"""Intermediate tables in the folder that the whole cluster shares."""
+"""Intermediate tables, and the size of batches that go to Python."""
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
+from pyspark.sql import SparkSession
 
-from pyspark.sql import DataFrame, SparkSession
+from ..shared import Scratch, shared_folder
 
-_LOCAL: dict[str, str] = {}
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a temporary one of our own."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _LOCAL:
-        _LOCAL[app] = f"file://{tempfile.mkdtemp(prefix='trellium-')}"
-    return _LOCAL[app]
-
-
-class Scratch:
-    """Writes a frame as Parquet in the shared folder and reads it again.
-
-    That cuts the lineage as checkpoint() does, survives lost executors, and is columnar. The tables go when the
-    interpreter ends, or at drop().
-    """
-
-    def __init__(self, spark: SparkSession, tag: str):
-        self.spark = spark
-        self.root = f"{shared_folder(spark)}/trellium/{tag}-{uuid.uuid4().hex}"
-        atexit.register(self.close)
-
-    def save(self, df: DataFrame, name: str) -> DataFrame:
-        path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, name: str = "") -> None:
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/{name}" if name else self.root)
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def close(self) -> None:
-        try:
-            self.drop()
-        except Exception:  # the session may have ended already, and its folder with it
-            pass
+__all__ = ["Scratch", "shared_folder", "small_batches"]
 
 
 def small_batches(spark: SparkSession, rows: int = 512) -> None:

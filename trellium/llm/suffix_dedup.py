@@ -362,13 +362,19 @@ def _repeats(length: int):
 
 def covered(n: int, blobs: list[bytes] | None, length: int) -> np.ndarray:
     """Which of n bytes a repeated string covers."""
-    depth = np.zeros(n + 1, np.int32)
-    for blob in blobs or []:
-        spans = np.frombuffer(blob, np.dtype([("start", "<u4"), ("bits", "<u8")]))
-        for j in range(length - GRAM + 1):
-            on = spans["start"][(spans["bits"] >> _U(j)) & _U(1) > 0].astype(np.int64) + j
-            np.add.at(depth, on, 1)
-            np.add.at(depth, on + length, -1)
+    depth = np.zeros(n + 1, np.int64)
+    spans = np.frombuffer(b"".join(blobs or []), np.dtype([("start", "<u4"), ("bits", "<u8")]))
+    start, bits = spans["start"].astype(np.int64), spans["bits"]
+    whole = (bits & (bits + _U(1))) == 0  # windows 0 .. k - 1, which is most often so
+    at, stop = [start[whole]], [start[whole] + np.round(np.log2(bits[whole] + _U(1))).astype(np.int64) - 1 + length]
+    if not whole.all():
+        start, bits = start[~whole], bits[~whole]
+        on = ((bits[:, None] >> np.arange(64, dtype=np.uint64)) & _U(1)).astype(bool)
+        row, j = np.nonzero(on)
+        at.append(start[row] + j)
+        stop.append(start[row] + j + length)
+    depth += np.bincount(np.concatenate(at), minlength=n + 1)[: n + 1]
+    depth -= np.bincount(np.concatenate(stop), minlength=n + 1)[: n + 1]
     return np.cumsum(depth)[:n] > 0
 
 
