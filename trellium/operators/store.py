@@ -116,7 +116,8 @@ def collect_garbage(nodes: DataFrame, edges: DataFrame, now: int | None = None)
 class Store:
     """Tables in a folder, each version a folder of its own; a small file, written last, names the current one.
 
-    A writer that dies leaves the version before it as it was. Tables are written as Parquet; nodes and edges are
+    A writer that dies leaves the version before it as it was, and the last version but one stays for frames that read
+    it still. Tables are written as Parquet; nodes and edges are
     sorted by type and id within files, so that a type or id prefix reads few row groups.
     """
 
@@ -129,29 +130,29 @@ class Store:
         p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
-    def _current(self, table: str) -> str | None:
+    def _versions(self, table: str) -> list[str]:
+        """The current version and the one before it."""
         fs, p = self._fs(f"{self.folder}/{table}/CURRENT")
-        return self.spark.read.text(p.toString()).first()[0] if fs.exists(p) else None
+        return [r[0] for r in self.spark.read.text(p.toString(), wholetext=True).collect()][0].split() if fs.exists(p) else []
 
     def read(self, table: str) -> DataFrame:
-        version = self._current(table)
-        if version is None:
+        known = self._versions(table)
+        if not known:
             return empty(self.spark, self.TABLES[table])
-        return conform(self.spark.read.parquet(f"{self.folder}/{table}/{version}"), self.TABLES[table])
+        return conform(self.spark.read.parquet(f"{self.folder}/{table}/{known[0]}"), self.TABLES[table])
 
     def write(self, table: str, df: DataFrame) -> None:
-        before, version = self._current(table), f"v{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+        known, version = self._versions(table), f"v{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
         rows = conform(df, self.TABLES[table])
         if table in ("nodes", "edges"):
             rows = rows.sortWithinPartitions("type", "id")
         rows.write.parquet(f"{self.folder}/{table}/{version}")
         fs, p = self._fs(f"{self.folder}/{table}/CURRENT")
         out = fs.create(p, True)
-        out.write(bytearray(version.encode()))
+        out.write(bytearray("\n".join([version, *known[:1]]).encode()))
         out.close()
-        if before:
-            old, q = self._fs(f"{self.folder}/{table}/{before}")
-            old.delete(q, True)
+        for old in known[1:]:
+            fs.delete(self._fs(f"{self.folder}/{table}/{old}")[1], True)
 
     def append_run(self, **values) -> None:
         row = self.spark.createDataFrame([tuple(values.get(c.split(" ")[0]) for c in RUN.split(", "))], RUN)

@@ -103,7 +103,7 @@ def count_is(op: str, n: int) -> Comparison:
 def _folded(op: str, exprs) -> Any:
     out = None
     for e in exprs:
-        if isinstance(e, Binary) and e.op != op:
+        if len(exprs) > 1 and isinstance(e, Binary) and e.op != op:
             e = Paren(e)
         out = e if out is None else Binary(op, out, e)
     return out
