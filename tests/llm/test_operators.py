@@ -1,0 +1,252 @@
+"""Each operator against brute force, an exact round trip or held-out accuracy, on small tables."""
+
+import collections
+import hashlib
+import zlib
+
+import duckdb
+import numpy as np
+import pandas as pd
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from trellium.llm import chat, decontamination, exact_dedup, language_id, near_dedup, packing, quality, sharding, suffix_dedup, toxicity
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, row string"
+LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(20_000))
+
+
+def table(spark, rows, empty=False):
+    full = [(i, t, None, "s", None, "clash", None) for i, t in rows]
+    return spark.createDataFrame([] if empty else full, SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Nulls, empties, ties, repeated rows, one very long text, and clashing extra columns."""
+    rng = np.random.default_rng(1)
+    words = [f"{a}{b}" for a in ("ka", "lo", "mi", "ré") for b in ("n", "t", "s", "q", "ß")]
+    text = lambda n: " ".join(rng.choice(words, n))
+    base, long_base = text(120), text(300)
+    rows = [(None, None), (0, None), (1, ""), (2, "  "), (3, base), (4, base.replace(" ", "\n", 3)), (5, base + " more"), (7, base), (7, base), (8, text(3)), (9, text(3))]
+    rows += [(10 + i, long_base[: 900 + 40 * i] + text(30)) for i in range(8)] + [(30, LONG), (31, LONG[1000:]), (None, base)]
+    return rows
+
+
+def brute_components(rows):
+    sets = [frozenset(near_dedup.shingles(t).tolist()) for _, t in rows]
+    order = lambda i: (rows[i][0] is None, rows[i][0] or 0)
+    group = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if sets[i] and sets[j] and 100 * len(sets[i] & sets[j]) >= 75 * len(sets[i] | sets[j]):
+                a, b = group[i], group[j]
+                group = [b if g == a else g for g in group]
+    return [rows[min((k for k in range(len(rows)) if group[k] == group[i]), key=order)][0] for i in range(len(rows))]
+
+
+def sorted_rows(rows):
+    return sorted(map(tuple, rows), key=repr)
+
+
+def test_near_duplicates(spark, odd):
+    got = near_dedup.near_duplicates(table(spark, odd)).collect()
+    want = brute_components(odd)
+    assert sorted_rows((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted_rows((i, len(near_dedup.shingles(t)), c) for (i, t), c in zip(odd, want))
+    assert sum(r.kept for r in got if r.component_id == 3) == 1
+    assert near_dedup.near_duplicates(table(spark, [], True)).count() == 0
+
+
+def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "GROUP", 8)
+    monkeypatch.setattr(near_dedup, "SMALL", 4)
+    base = [f"a{i}" for i in range(200)]
+    rows = []
+    for i in range(60):
+        own = list(base)
+        own[(i * 3) % 200] = f"z{i}"
+        rows.append((i, " ".join(own)))
+    got = near_dedup.near_duplicates(table(spark, rows)).collect()
+    assert [r.component_id for r in sorted(got)] == brute_components(rows)
+
+
+def test_exact_copies(spark, odd):
+    got = exact_dedup.exact_dedup(table(spark, odd)).collect()
+    norm = lambda t: exact_dedup.WHITE and __import__("re").sub(exact_dedup.WHITE, " ", t or "")
+    groups = collections.defaultdict(list)
+    for i, t in odd:
+        groups[norm(t)].append(i)
+    want = [(i, min((x for x in groups[norm(t)] if x is not None), default=None), len(groups[norm(t)]), hashlib.sha256(norm(t).encode()).hexdigest()) for i, t in odd]
+    assert sorted_rows((r.doc_id, r.keep_id, r.group_size, r.text_sha256) for r in got) == sorted_rows(want)
+    assert sum(r.kept for r in got) == len(groups)
+    assert exact_dedup.exact_dedup(table(spark, [], True)).count() == 0
+
+
+def test_repeats(spark, odd):
+    rows = [(i, (t or "")[:4000]) for i, t in odd]
+    data = [(2**63 - 1 if i is None else i, t.encode()) for i, t in rows]
+    first = {}
+    for i, t in sorted(data):
+        for s in range(len(t) - 49):
+            first.setdefault(t[s : s + 50], i)
+    want = []
+    for (i, _), (key, t) in zip(rows, data):
+        gone = np.zeros(len(t), bool)
+        for s in range(len(t) - 49):
+            if first[t[s : s + 50]] < key:
+                gone[s : s + 50] = True
+        spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
+        want.append((i, len(t), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest()))
+    got = suffix_dedup.remove_repeats(table(spark, rows)).collect()
+    assert sorted_rows(got) == sorted_rows(want)
+    assert suffix_dedup.remove_repeats(table(spark, [], True)).count() == 0
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.lists(st.binary(min_size=1, max_size=6), max_size=12), min_size=1, max_size=7))
+def test_loser_tree_merges(runs):
+    runs = [sorted(r) for r in runs]
+    coded = [suffix_dedup.decoded(suffix_dedup.front_coded([(k, n, []) for k in r])) for n, r in enumerate(runs)]
+    assert [x[0] for x in suffix_dedup.merged(coded)] == sorted(k for r in runs for k in r)
+
+
+def test_decontamination(spark, odd):
+    items = [(1, " ".join(LONG.split()[50:75])), (1, "unrelated words"), (2, "kan lot"), (3, None), (None, " ".join(LONG.split()[60:72])), (5, LONG)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    rows = [(i, t if t is None or len(t) < 5000 else t[:5000]) for i, t in odd]
+    got = decontamination.contamination(table(spark, rows), bench).collect()
+    words = lambda t: [w for w in __import__("re").split(decontamination.GAP, (t or "").lower()) if w]
+    want = []
+    for i, t in rows:
+        w, hit, found = words(t), set(), set()
+        for item, text in items:
+            b = words(text)
+            n = min(10, len(b))
+            wins = {tuple(b[k : k + n]) for k in range(len(b) - n + 1)} if b else set()
+            for k in range(len(w) - n + 1):
+                if n and tuple(w[k : k + n]) in wins:
+                    hit |= set(range(k, k + n))
+                    found.add("" if item is None else str(item))
+        want.append((i, len(w), len(hit), sorted(found)))
+    assert sorted_rows((r.doc_id, r.n_words, r.n_hit, r["items"]) for r in got) == sorted_rows(want)
+    none = decontamination.contamination(table(spark, rows), bench.limit(0)).where("contaminated").count()
+    assert none == 0 and decontamination.contamination(table(spark, [], True), bench).count() == 0
+
+
+def test_packing(spark, odd):
+    from tokenizers import Tokenizer
+
+    got = packing.pack_documents(table(spark, odd), with_ids=True).toPandas()
+    whole = Tokenizer.from_file(packing.vocabulary())
+    want = sorted(zlib.crc32(np.array(whole.encode(t or "", add_special_tokens=False).ids + [0], "<u4").tobytes()) for _, t in odd if len(t or "") < 9000)
+    short = got.groupby("ids_crc32").size()
+    assert all(c in short for c in want if c)
+    assert (got.groupby("sequence_id").length.sum() <= 2048).all()
+    ends = got.sort_values(["sequence_id", "offset"])
+    assert (ends.groupby("sequence_id").apply(lambda g: (g.offset.values == np.concatenate([[0], np.cumsum(g.length.values)[:-1]])).all(), include_groups=False)).all()
+    assert got.sequence_id.nunique() == -(-got.length.sum() // 2048)
+    assert packing.pack_documents(table(spark, [], True)).count() == 0
+
+
+@settings(max_examples=80, deadline=None)
+@given(st.dictionaries(st.integers(1, 64), st.integers(1, 30), max_size=12))
+def test_plan_places_every_piece(histogram):
+    rules = packing.plan(histogram, 64)
+    fill = collections.defaultdict(list)
+    ranks = collections.defaultdict(set)
+    for length, first, sequence, offset, count in rules:
+        for k in range(count):
+            fill[sequence + k].append((offset, length))
+            ranks[length].add(first + k)
+    assert {n: set(range(c)) for n, c in histogram.items()} == dict(ranks)
+    for pieces in fill.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 64
+
+
+@settings(max_examples=25, deadline=None)
+@given(st.text(max_size=80))
+def test_tokens_by_word_equal_tokens_of_the_text(text):
+    from tokenizers import Tokenizer
+
+    global _WHOLE
+    if "_WHOLE" not in globals():
+        _WHOLE = (Tokenizer.from_file(packing.vocabulary()), packing.encoder(packing.vocabulary()))
+    text = text.encode("utf-8", "replace").decode()
+    assert np.frombuffer(_WHOLE[1](text), "<u4").tolist() == _WHOLE[0].encode(text, add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 100, 4097])
+def test_feistel_is_a_permutation(n):
+    f = sharding.Feistel(n)
+    assert sorted(f.place(range(n))) == list(range(n)) and (f.row(f.place(range(n))) == np.arange(n)).all()
+
+
+def test_sharding(spark, odd):
+    got = sharding.shard_rows(table(spark, odd), 5).toPandas()
+    sizes = got.groupby("shard").slot.agg(["count", "min", "max"])
+    assert sizes["count"].max() - sizes["count"].min() <= 1 and (sizes["max"] + 1 == sizes["count"]).all() and (sizes["min"] == 0).all()
+    r = got.iloc[3]
+    assert sharding.locate(int(r.row_number), len(got), 5) == (r["shard"], r["slot"])
+    again = sharding.shard_rows(table(spark, odd[::-1]).repartition(3), 5).toPandas()
+    key = ["doc_id", "size", "text_crc32", "shard", "slot"]
+    assert again[key].sort_values(key).reset_index(drop=True).equals(got[key].sort_values(key).reset_index(drop=True))
+    assert sharding.shard_rows(table(spark, [], True)).count() == 0
+
+
+def test_chat(spark):
+    con = duckdb.connect()
+    rows = []
+    for c in range(12):
+        rows += [(c, k, "user" if k % 2 == 0 else None, f"turn {k} of {c // 4}") for k in range(1 + c % 4)]
+    rows += [(20, k, "user" if k % 2 == 0 else None, f"turn {k} of 0") for k in range(4)] + [(20, 0, "user", "turn 0 of 0"), (21, 0, "user", None), (22, 0, "user", "")]
+    df = pd.DataFrame(rows, columns=["conv_id", "turn", "role", "text"])
+    con.register("conversations", df)
+    want = sorted_rows(con.sql(f"SELECT conv_id, n_turns, n_logged, rendered FROM ({chat.OP5_SQL})").fetchall())
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    assert sorted_rows(chat.maximal_conversations(turns).select("conv_id", "n_turns", "n_logged", "rendered").collect()) == want
+    assert chat.maximal_conversations(turns.limit(0)).count() == 0
+    assert chat.maximal_conversations(turns.withColumn("conv_id", turns["conv_id"] * None)).count() == 1
+
+
+def _split(spark, label):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    return docs, labels, {r.doc_id: r[label] for r in labels.collect()}
+
+
+def test_quality(spark, odd):
+    docs, labels, truth = _split(spark, "quality")
+    score = quality.quality_model(toxicity.labelled_documents(docs, labels, "quality"))
+    got = [(truth[r.doc_id], r.s >= 0.3) for r in docs.select("doc_id", score("text").alias("s")).collect() if r.doc_id in truth and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+    assert np.mean([a == b for a, b in got]) > 0.95
+    every = [r.s for r in table(spark, odd).select(score("text").alias("s")).collect()]
+    assert len(every) == len(odd) and all(0 <= s <= 1 for s in every)
+    lone = quality.quality_model(toxicity.labelled_documents(docs, labels.where("quality = 1"), "quality"))
+    assert table(spark, odd).select(lone("text").alias("s")).where("s < 0.99").count() == 0
+
+
+def test_toxicity(spark, odd):
+    docs, labels, truth = _split(spark, "toxic")
+    score = toxicity.toxicity_model(toxicity.labelled_documents(docs, labels, "toxic"))
+    rows = docs.select("doc_id", score("text").alias("s")).collect()
+    seen = [(truth[r.doc_id], r.s >= 0.5) for r in rows if r.doc_id in truth and zlib.crc32(str(r.doc_id).encode()) % 5]
+    assert np.mean([a == b for a, b in seen]) > 0.95
+    every = [r.s for r in table(spark, odd).select(score("text").alias("s")).collect()]
+    assert len(every) == len(odd) and all(0 <= s <= 1 for s in every)
+    none = toxicity.toxicity_model(toxicity.labelled_documents(docs, labels.limit(0), "toxic"))
+    assert table(spark, odd).select(none("text").alias("s")).where("s > 0.01").count() == 0
+
+
+def test_language(spark, odd):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = language_id.identify(docs, docs.where("doc_id % 2 = 0")).collect()
+    truth = {r.doc_id: r.lang for r in docs.collect()}
+    assert np.mean([truth[r.doc_id] == r.lang_pred for r in got if r.doc_id % 2]) > 0.97
+    every = language_id.identify(table(spark, odd), docs).collect()
+    assert len(every) == len(odd) and sum(r.lang_pred == "und" for r in every) == 4
+    assert {r.lang_pred for r in language_id.identify(table(spark, odd), docs.limit(0)).collect()} == {"und"}
