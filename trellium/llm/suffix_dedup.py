@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import struct
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,8 +17,8 @@ from .scratch import Scratch, small_batches
 
 #: Bytes of a string that counts as repeated, and of the gram by which equal strings find each other.
 LENGTH, GRAM = 50, 16
-#: Anchors that a task holds before it sends them on, and records of a run.
-HELD, RUN = 2_000_000, 200_000
+#: Anchors that a task holds before it sends them on, and strings of a run.
+HELD, RUN = 2_000_000, 400_000
 _LAST = 2**63 - 1
 _PLACE = 24
 _U = np.uint64
@@ -45,7 +46,10 @@ def anchors(texts: list[bytes], length: int = LENGTH) -> Iterator[tuple[np.ndarr
             if n < span:
                 continue
             eight = np.ndarray((hi - lo - 7,), "<u8", data, lo, (1,))
-            h = (eight[:n] * _U(0x9E3779B97F4A7C15)) ^ (eight[8 : 8 + n] * _U(0xC2B2AE3D27D4EB4F))
+            h = eight[:n] * _U(0x9E3779B97F4A7C15)
+            for k in range(8, GRAM, 8):
+                h ^= h >> _U(32)
+                h = (h ^ eight[k : k + n]) * _U(0xC2B2AE3D27D4EB4F)
             h ^= h >> _U(32)
             h *= _U(0xD6E8FEB86659FD93)
             h ^= h >> _U(29)
@@ -183,13 +187,17 @@ def _common(a: bytes, b: bytes, at: int) -> int:
 
 def front_coded(records: list[tuple[bytes, int, list[tuple[int, int]]]]) -> bytes:
     """Sorted records (key, id, refs): of each key only what differs from the one before."""
-    parts, before = [], b""
-    for key, ident, refs in records:
-        same = _common(before, key, 0)
+    width = max(len(r[0]) for r in records) if records else 0
+    keys = np.frombuffer(b"".join([r[0].ljust(width, b"\0") for r in records]), np.uint8).reshape(len(records), width)
+    differ = np.ones((len(records), width + 1), bool)
+    differ[1:, :width] = keys[1:] != keys[:-1]
+    parts = []
+    for (key, ident, refs), same in zip(records, differ.argmax(axis=1).tolist()):
+        same = min(same, len(key))
         parts.append(struct.pack("<BBqI", same, len(key) - same, ident, len(refs)))
         parts.append(key[same:])
-        parts += [struct.pack(_REF, *r) for r in refs]
-        before = key
+        for r in refs:
+            parts.append(struct.pack(_REF, *r))
     return b"".join(parts)
 
 
@@ -271,47 +279,97 @@ def _pack(spans: dict[int, list[bytes]]) -> tuple[list[int], list[bytes]]:
     return list(spans), [b"".join(x) for x in spans.values()]
 
 
+def _spans(row: np.ndarray, start: np.ndarray, bits: np.ndarray) -> tuple[list[int], list[bytes]]:
+    """Rows, and for each its spans (start, bits of windows) as bytes."""
+    order = np.argsort(row, kind="stable")
+    own = np.zeros(len(order), np.dtype([("start", "<u4"), ("bits", "<u8")]))
+    own["start"], own["bits"], row = start[order], bits[order], row[order]
+    cuts = np.flatnonzero(np.diff(row, prepend=row[:1] - 1)) if len(row) else np.zeros(0, np.int64)
+    return row[cuts].tolist(), [own[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(row)))]
+
+
+def _range_hashes(texts: list[bytes], text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit hashes of texts[text][start:stop], from prefix sums of bytes times powers of an odd number.
+
+    Strings that collide whatever the number have at least 1,024 bytes; these have at most LENGTH + 63.
+    """
+    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64) + _U(1)
+    first = np.cumsum([0, *map(len, texts)])[text]
+    out = []
+    for factor in (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93):
+        powers = _powers(factor, len(data) + 1)
+        sums = np.concatenate([[_U(0)], np.cumsum(data * powers[:-1])])
+        a, b = first + start, first + stop
+        out.append((sums[b] - sums[a]) * _powers(pow(factor, -1, 2**64), len(data) + 1)[a])
+    return out[0], out[1]
+
+
+_KNOWN: dict[int, np.ndarray] = {}
+
+
+def _powers(factor: int, n: int) -> np.ndarray:
+    if len(_KNOWN.get(factor, ())) < n:
+        _KNOWN[factor] = np.cumprod(np.concatenate([[_U(1)], np.full(max(n, 1 << 21), factor, np.uint64)]))
+    return _KNOWN[factor][:n]
+
+
 def _runs(buckets: int, length: int):
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """row, doc_id, text, places -> bucket, row, blob: sorted runs, and what is certain to be a repeat.
 
         Of equal strings in documents held here, those of the smallest id go into the run; the others repeat it.
         """
-        strings: dict[bytes, list[tuple[int, int, int]]] = {}
+        held: list[tuple[np.ndarray, ...]] = []
+        texts: list[bytes] = []
 
         def out() -> pa.RecordBatch:
-            spans: dict[int, list[bytes]] = {}
+            text, start, windows, place, row, ident, one, two = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((ident, one))
+            text, start, windows, place, row, ident, one, two = (x[order] for x in (text, start, windows, place, row, ident, one, two))
+            new = np.ones(len(one), bool)
+            new[1:] = (np.diff(one) != 0) | (np.diff(two) != 0)
+            edge = np.flatnonzero(new)
+            size = np.diff(np.append(edge, len(one)))
+            least = np.repeat(ident[edge], size)  # the first, as they are sorted
+            again = np.flatnonzero(ident != least)
+            rows, blobs = _spans(row[again], start[again], (_U(1) << windows[again].astype(np.uint64)) - _U(1))
+            records = []
+            ends = np.append(edge[1:], len(one))
+            own = ident == least
+            for k, e in zip(edge.tolist(), ends.tolist()):
+                refs = [(int(row[m]), int(start[m])) for m in range(k, e) if own[m]] if e - k > 1 else [(int(row[k]), int(start[k]))]
+                records.append((_key(texts[text[k]], int(start[k]), int(windows[k]), int(place[k]), length), int(ident[k]), refs))
+            held.clear()
+            texts.clear()
+            records.sort()
             by: dict[int, list] = {}
-            for key in sorted(strings):
-                refs = strings[key]
-                least = min(r[0] for r in refs)
-                count = len(key) - length
-                own = []
-                for ident, row, start in refs:
-                    if ident == least:
-                        own.append((row, start))
-                    else:
-                        spans.setdefault(row, []).append(struct.pack(_SPAN, start, 2**count - 1))
-                by.setdefault(int.from_bytes(hashlib.blake2b(key[:GRAM], digest_size=8).digest()) % buckets, []).append((key, least, own))
-            strings.clear()
-            rows, blobs = _pack(spans)
+            for r in records:
+                by.setdefault(zlib.crc32(r[0][:GRAM]) % buckets, []).append(r)
             runs = [struct.pack("<I", len(r)) + pa.compress(r, "zstd", asbytes=True) for r in map(front_coded, by.values())]
             return pa.RecordBatch.from_arrays(
                 [pa.array(list(by) + [None] * len(rows), pa.int32()), pa.array([None] * len(by) + rows, pa.int64()), pa.array(runs + blobs, pa.binary())], ["bucket", "row", "blob"]
             )
 
+        count = 0
         for batch in batches:
             row, ident, places = batch.column(0).to_numpy(), _ids(batch.column(1)), batch.column(3).to_pylist()
-            kept = [np.unique(np.concatenate([np.frombuffer(p, "<u4") for p in x])).astype(np.int64) if x else np.zeros(0, np.int64) for x in places]
+            kept = [np.unique(np.frombuffer(b"".join(x), "<u4")).astype(np.int64) if x else np.zeros(0, np.int64) for x in places]
             data = _bytes(batch.column(2))
             wanted = np.concatenate([(i << 40) | k for i, k in enumerate(kept)])
             for text, start, windows, place, _ in anchors(data, length):
-                hit = np.isin((text << 40) | place, wanted, assume_unique=False)
-                for t, s, w, p in zip(text[hit].tolist(), start[hit].tolist(), windows[hit].tolist(), place[hit].tolist()):
-                    strings.setdefault(_key(data[t], s, w, p, length), []).append((int(ident[t]), int(row[t]), s))
-                if len(strings) > RUN:
-                    yield out()
-        if strings:
+                at = (text << 40) | place
+                found = np.searchsorted(wanted, at)
+                hit = wanted[np.minimum(found, len(wanted) - 1)] == at
+                text, start, windows, place = text[hit], start[hit], windows[hit], place[hit]
+                one, two = _range_hashes(data, text, start, start + windows - 1 + length)
+                shape = (place - start).astype(np.uint64) << _U(8) | windows.astype(np.uint64)
+                held.append((text + len(texts), start, windows, place, row[text], ident[text], one ^ shape * _U(0xC2B2AE3D27D4EB4F), two))
+                count += len(text)
+            texts += data
+            if count > RUN:
+                yield out()
+                count = 0
+        if count:
             yield out()
 
     return sort
@@ -320,19 +378,24 @@ def _runs(buckets: int, length: int):
 def _repeats(length: int):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """bucket, blob, sorted by bucket -> row, blob: the windows that repeat one of a smaller id, as bits."""
+        spans: dict[int, list[bytes]] = {}
+        held = 0
         for _, blobs in _by_bucket(batches, ["blob"]):
-            spans: dict[int, list[bytes]] = {}
             gram, group = b"", {}
 
             def settle() -> None:
                 if len(group) == 1:
-                    key, refs = next(iter(group.items()))
+                    ((key, refs),) = group.items()
+                    if len(refs) == 1:
+                        return
                     least = min(i for i, _ in refs)
                     for ident, own in refs:
                         if ident > least:
                             for row, start in own:
                                 spans.setdefault(row, []).append(struct.pack(_SPAN, start, 2 ** (len(key) - length) - 1))
                     return
+                if len({i for refs in group.values() for i, _ in refs}) == 1:
+                    return
                 of, least_of = {key: _windows(key, length) for key in group}, {}
                 for key, refs in group.items():
                     least = min(i for i, _ in refs)
@@ -354,8 +417,13 @@ def _repeats(length: int):
                 group.setdefault(key, []).append((ident, refs))
             if group:
                 settle()
-            rows, blobs = _pack(spans)
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int64()), pa.array(blobs, pa.binary())], ["row", "blob"])
+            held += sum(len(b) for (b,) in blobs)
+            if held > 64 << 20:
+                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(_pack(spans), (pa.int64(), pa.binary()))], ["row", "blob"])
+                spans.clear()
+                held = 0
+        if spans:
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(_pack(spans), (pa.int64(), pa.binary()))], ["row", "blob"])
 
     return merge
 
