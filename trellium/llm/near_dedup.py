@@ -16,12 +16,15 @@ from .rows import bounded, text_key
 from .scratch import Scratch, small_batches
 
 SHINGLE, PERCENT = 5, 75
-#: Trees, minwise functions for the later levels of all trees, and branches of a node there.
-TREES, DEEPER, BRANCHES = 12, 20, 2
+#: Trees, and minwise functions for the later levels of all trees.
+TREES, DEEPER = 12, 20
 #: Documents of a node that are compared exhaustively, levels of a tree, and places of the sketch that prunes in nodes.
 SMALL, LEVELS, SKETCH = 96, 6, 64
 #: Pairs whose sketches agree in a smaller share are not looked at again: 5 standard deviations under 75 %.
 LIKELY = 0.47
+#: Those that agree with a large node's pivot in this share leave the node: whoever is linked with them is likely to be
+#: linked with the pivot, as 1 - similarity is a metric.
+ALIKE = 0.85
 #: Documents that one task compares at once; larger groups are dealt into blocks of that size.
 GROUP = 1_000
 
@@ -79,6 +82,14 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """path, node, least, sketch, pivot -> path, node, least, share: in how much a sketch agrees with the pivot's."""
+    for batch in batches:
+        if batch.num_rows:
+            own, pivot = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, SKETCH) for i in (3, 4))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array((own == pivot).mean(axis=1))], ["path", "node", "least", "share"])
+
+
 class _Union:
     def __init__(self, n: int):
         self.up = list(range(n))
@@ -147,6 +158,29 @@ def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     return 100 * both >= percent * (len(x) + len(y) - both)
 
 
+def _postings(sets: list[np.ndarray]) -> tuple:
+    """An inverted index of a group: sizes, documents by shingle, and where each document's lists begin and how long."""
+    every, size = np.concatenate(sets), np.array([len(x) for x in sets])
+    order = np.argsort(every, kind="stable")
+    of = np.repeat(np.arange(len(sets)), size)[order]
+    new = np.concatenate([[True], every[order][1:] != every[order][:-1]]) if len(every) else np.zeros(0, bool)
+    edge = np.flatnonzero(new)
+    which = np.empty(len(every), np.int64)
+    which[order] = np.cumsum(new) - 1
+    return size, of, edge, np.diff(np.append(edge, len(every))), np.split(which, np.cumsum(size)[:-1])
+
+
+def _links(index: tuple, k: int, percent: int) -> np.ndarray:
+    """Which documents of a group are linked with the k-th: all intersections at once, from the lists of its shingles."""
+    size, of, edge, length, which = index
+    both = np.zeros(len(size), np.int64)
+    for at in range(0, len(which[k]), 2048):
+        begin, n = edge[which[k][at : at + 2048]], length[which[k][at : at + 2048]]
+        place = np.arange(n.sum()) + np.repeat(begin - (np.cumsum(n) - n), n)
+        both += np.bincount(of[place], minlength=len(size))
+    return (both > 0) & (100 * both >= percent * (size + size[k] - both))
+
+
 def _confirmed(percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """key, node, label, minor, text, sorted by key -> a, b: confirmed links that join what is linked in each key.
@@ -161,25 +195,24 @@ def _confirmed(percent: int):
                 own = {int(n): i for i, n in zip(range(lo, hi), node[lo:hi])}  # rows that repeat once
                 rows = list(own.values())
                 sets = [shingles(table.column(4)[i].as_py()) for i in rows]
-                known, first = _Union(len(rows)), {}
-                for k, i in enumerate(rows):
-                    known.join(first.setdefault(int(label[i]), k), k)
-                some = any(minor[i] for i in rows)
-                groups: list[list[int]] = []
-                for k, i in enumerate(rows):
-                    for group in groups:
-                        for j in group[::-1]:
-                            if known.root(j) == known.root(k):
-                                break
-                            if some and not (minor[i] or minor[rows[j]]):
-                                continue
-                            if _linked(sets[j], sets[k], percent):
-                                known.join(j, k)
-                                a.append(int(node[rows[j]]))
-                                b.append(int(node[i]))
-                                break
-                    mine = [g for g in groups if known.root(g[0]) == known.root(k)]
-                    groups = [g for g in groups if known.root(g[0]) != known.root(k)] + [[x for g in mine for x in g] + [k]]
+                _, comp = np.unique(label[rows], return_inverse=True)
+                flag = minor[rows].astype(bool)
+                index = None
+                for k in range(1, len(rows)):
+                    # Most often the document before is of the same group, and there is no other.
+                    if not flag.any() and comp[k - 1] != comp[k] and _linked(sets[k - 1], sets[k], percent):
+                        a.append(int(node[rows[k - 1]]))
+                        b.append(int(node[rows[k]]))
+                        comp[comp == comp[k]] = comp[k - 1]
+                    if (comp[:k] == comp[k]).all():
+                        continue
+                    index = index or _postings(sets)
+                    hit = np.flatnonzero((comp[:k] != comp[k]) & _links(index, k, percent)[:k] & (flag[:k] | flag[k] | ~flag.any()))
+                    for j in hit:
+                        if comp[j] != comp[k]:
+                            a.append(int(node[rows[j]]))
+                            b.append(int(node[rows[k]]))
+                            comp[comp == comp[k]] = comp[j]
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return confirm
@@ -193,28 +226,33 @@ def candidate_links(reps: DataFrame, scratch: Scratch) -> DataFrame:
     """a, b: links of the chosen-path forest over reps (node, tokens, sketch).
 
     In the root of tree t a document chooses the path of its least token under function t; documents in a node of up
-    to SMALL are compared by sketch exhaustively. A larger node draws BRANCHES further functions, and its documents
-    branch by their least token under each, level by level. A node that is still large after the last level, or whose
-    level has not shrunk by a quarter, holds documents that agree almost wholly: all are linked to its first.
+    to SMALL are compared by sketch exhaustively. In a larger node all are compared with its first document, the pivot;
+    likely pairs are linked, and what is nearly the pivot need not go on. The others branch by their least token under
+    one or two further functions, as the path draws, level by level: for pairs at the threshold more than one child
+    on average holds both, while those of little in common part. What is still together after the last level agrees almost
+    wholly and is linked as it is.
     """
+    marks = reps.select("node", "sketch")
     members = reps.select("node", F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token")).select("node", F.xxhash64("tree", "token").alias("path"))
-    links, large, size = [], None, None
+    links = []
     for level in range(LEVELS):
         counted = members.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
         members = scratch.save(members.join(counted, "path"), f"level-{level}")
-        leaves = members.where(F.col("n") <= SMALL).join(reps.select("node", "sketch"), "node").select("path", "node", "sketch")
+        leaves = members.where(F.col("n") <= SMALL).join(marks, "node").select("path", "node", "sketch")
         links.append(scratch.save(_by_key(leaves, "path", _likely_links, "a long, b long").distinct(), f"links-{level}"))
-        large, before = members.where(F.col("n") > SMALL), size
-        size = large.count()
-        if not size or before and size > 0.75 * BRANCHES * before:
+        large = members.where(F.col("n") > SMALL)
+        if large.isEmpty():
             break
-        if level < LEVELS - 1:
-            branch = F.explode(F.array(*[F.lit(b) for b in range(BRANCHES)]))
-            at = F.lit(TREES) + F.pmod(F.xxhash64("path", "branch", F.lit(level)), F.lit(DEEPER)).cast("int")
-            members = large.join(reps.select("node", "tokens"), "node").withColumn("branch", branch).withColumn("at", at)
-            members = members.select("node", F.xxhash64("path", "branch", "at", F.get("tokens", F.col("at"))).alias("path"))
-    if size:
-        links.append(large.select(F.col("least").alias("a"), F.col("node").alias("b")))
+        pivots = marks.select(F.col("node").alias("least"), F.col("sketch").alias("pivot")).join(large.select("least").distinct(), "least")
+        beside = large.join(marks, "node").join(pivots, "least").select("path", "node", "least", "sketch", "pivot")
+        beside = scratch.save(beside.mapInArrow(_shares, "path long, node long, least long, share double"), f"large-{level}")
+        last = level == LEVELS - 1
+        links.append(beside.where(F.lit(last) | (F.col("share") >= LIKELY)).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
+        more = F.pmod(F.xxhash64("path", F.lit(level)), F.lit(2)) == 0
+        branch = F.explode(F.when(more, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+        at = F.lit(TREES) + F.pmod(F.xxhash64("path", "branch", F.lit(level)), F.lit(DEEPER)).cast("int")
+        members = beside.where(F.col("share") < ALIKE).join(reps.select("node", "tokens"), "node").withColumn("branch", branch).withColumn("at", at)
+        members = members.select("node", F.xxhash64("path", "branch", "at", F.get("tokens", F.col("at"))).alias("path"))
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
@@ -233,7 +271,7 @@ def _confirm_large(texts: DataFrame, sizes: DataFrame, percent: int, scratch: Sc
     shared = F.pmod(F.xxhash64("node", F.lit(4)), F.col("n")) < 8
     spread = dealt.withColumn("block", F.explode(F.when(shared, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array("block"))))
     rows = spread.select(F.xxhash64("blob", "block").alias("key"), "node", F.col("node").alias("label"), F.lit(False).alias("minor"), "text")
-    first = scratch.save(_by_key(rows, "key", _confirmed(percent), "a long, b long"), "large-1")
+    first = scratch.save(_by_key(rows, "key", _confirmed(percent), "a long, b long"), "sure-1")
     roots = components(first, scratch, "large")
     labelled = dealt.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
     of = labelled.groupBy("blob", "label").count()
@@ -248,7 +286,7 @@ def _confirm_large(texts: DataFrame, sizes: DataFrame, percent: int, scratch: Sc
     pairs = members.where("not minor").unionByName(members.where("minor").withColumn("minor", F.lit(False))).unionByName(minors)
     rows = pairs.groupBy("blob", "round", "block", "node", "label").agg(F.max("minor").alias("minor"), F.first("text").alias("text"))
     rows = rows.select(F.xxhash64("blob", "round", "block").alias("key"), "node", "label", "minor", "text")
-    return first.unionByName(scratch.save(_by_key(rows, "key", _confirmed(percent), "a long, b long"), "large-2"))
+    return first.unionByName(scratch.save(_by_key(rows, "key", _confirmed(percent), "a long, b long"), "sure-2"))
 
 
 def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
