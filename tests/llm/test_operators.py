@@ -177,7 +177,7 @@ def test_tokens_by_word_equal_tokens_of_the_text(text):
     if "_WHOLE" not in globals():
         _WHOLE = (Tokenizer.from_file(packing.vocabulary()), packing.encoder(packing.vocabulary()))
     text = text.encode("utf-8", "replace").decode()
-    assert np.frombuffer(_WHOLE[1](text), "<u4").tolist() == _WHOLE[0].encode(text, add_special_tokens=False).ids
+    assert np.frombuffer(_WHOLE[1]([text])[0], "<u4").tolist() == _WHOLE[0].encode(text, add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("n", [1, 2, 3, 100, 4097])

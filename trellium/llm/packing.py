@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -25,30 +26,26 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
 
 
 def encoder(path: str):
-    """A function from a text to its ids as little-endian unsigned 32-bit bytes.
+    """A function from texts to their ids, each as little-endian unsigned 32-bit bytes.
 
     The tokenizer drops white space and matches nothing across it, so a text's ids are those of its pieces between
-    ASCII white space, one after the other; each different piece is encoded once.
+    ASCII white space, one after the other; each different piece is encoded once, all new ones of the texts together.
     """
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
     tokenizer, known = Tokenizer.from_file(path), {}
 
-    def learn(pieces: list[bytes]) -> None:
+    def encode(texts: list[str | None]) -> list[bytes]:
+        pieces = [(t or "").encode().split() for t in texts]
         if len(known) > REMEMBERED:
             known.clear()
-        for piece, got in zip(pieces, tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)):
-            known[piece] = np.array(got.ids, dtype="<u4").tobytes()
-
-    def encode(text: str | None) -> bytes:
-        pieces = (text or "").encode().split()
-        try:
-            return b"".join([known[p] for p in pieces])
-        except KeyError:
-            learn(list({p for p in pieces if p not in known}))
-            if len(known) > REMEMBERED:  # emptied on the way
-                learn(list({p for p in pieces if p not in known}))
-            return b"".join([known[p] for p in pieces])
+        new = list({p for own in pieces for p in own if p not in known})
+        for at in range(0, len(new), 10_000):
+            part = new[at : at + 10_000]
+            for piece, got in zip(part, tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)):
+                known[piece] = np.array(got.ids, dtype="<u4").tobytes()
+        return [b"".join([known[p] for p in own]) for own in pieces]
 
     return encode
 
@@ -65,8 +62,8 @@ def token_pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end: i
         encode, last, width = encoder(path), np.array([end], dtype="<u4").tobytes(), 4 * capacity
         for batch in batches:
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                whole = memoryview(encode(text) + last)
+            for i, own in enumerate(encode(batch.column(1).to_pylist())):
+                whole = memoryview(own + last)
                 for k, at in enumerate(range(0, len(whole), width)):
                     part = whole[at : at + width]
                     rows.append(i)
