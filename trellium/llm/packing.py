@@ -16,7 +16,9 @@ from .scratch import Scratch, small_batches
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED = 400_000
+REMEMBERED = 1_200_000
+#: New words that are encoded as one text; their ids are told apart by where they stand in it.
+LINE = 64
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -25,6 +27,14 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _split(piece: bytes) -> tuple[bytes, bytes]:
+    """A piece as a word and the marks after it, which are matched apart; ASCII words in lower case, as all are taken."""
+    word = piece.rstrip(b".,;:!?")
+    if word == piece or not word or not word[-1:].isalnum():
+        word = piece
+    return word.lower() if word.isascii() and word.isalpha() else word, piece[len(word) :]
+
+
 def encoder(path: str):
     """A function from texts to their ids, each as little-endian unsigned 32-bit bytes.
 
@@ -34,17 +44,24 @@ def encoder(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer
 
-    tokenizer, known = Tokenizer.from_file(path), {}
+    tokenizer, known = Tokenizer.from_file(path), {b"": b""}
 
     def encode(texts: list[str | None]) -> list[bytes]:
         pieces = [(t or "").encode().split() for t in texts]
         if len(known) > REMEMBERED:
             known.clear()
-        new = list({p for own in pieces for p in own if p not in known})
-        for at in range(0, len(new), 10_000):
-            part = new[at : at + 10_000]
-            for piece, got in zip(part, tokenizer.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)):
-                known[piece] = np.array(got.ids, dtype="<u4").tobytes()
+            known[b""] = b""
+        fresh = {p for own in pieces for p in own if p not in known}
+        split = {p: _split(p) for p in fresh}
+        new = [p.decode() for p in {x for two in split.values() for x in two if x not in known}]
+        parts = [new[at : at + LINE] for at in range(0, len(new), LINE)]
+        for part, got in zip(parts, tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False)):
+            begin = np.cumsum([0, *(len(p) + 1 for p in part)])
+            ids = np.array(got.ids, dtype="<u4")
+            cut = np.searchsorted(np.fromiter((o[0] for o in got.offsets), np.int64, len(ids)), begin).tolist()
+            for k, piece in enumerate(part):
+                known[piece.encode()] = ids[cut[k] : cut[k + 1]].tobytes()
+        known.update({p: known[a] + known[b] for p, (a, b) in split.items()})
         return [b"".join([known[p] for p in own]) for own in pieces]
 
     return encode
