@@ -111,7 +111,7 @@ def test_vectors(spark):
 @pytest.mark.parametrize(
     "message,want",
     [
-        ("feat(aql): add pattern matching", ("feat", "aql", False, "add pattern matching", [])),
+        ("feat(query): add pattern matching", ("feat", "query", False, "add pattern matching", [])),
         ("fix: handle nil pointer in walker", ("fix", "", False, "handle nil pointer in walker", [])),
         ("refactor!: rename Storage interface", ("refactor", "", True, "rename Storage interface", [])),
         ("feat: x\n\nbody here\n\nRefs: #8, DEV-100", ("feat", "", False, "x", ["#8", "DEV-100"])),
