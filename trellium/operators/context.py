@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.scalars import field as json_field
 from ..sources.text import merged_ranges
 
-#: Verbs of each intent, and words that are no names.
+#: Verbs of each intent, and words that are no names.
 INTENTS = {
     "fix": ["fix", "debug", "repair", "resolve"],
     "modify": ["add", "change", "update", "modify", "extend", "refactor", "implement", "rename", "improve"],

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import path_glob_regex
 
-#: The annotations of comments, and the header of a conventional commit.
+#: The annotations of comments, and the header and trailers of a conventional commit.
 ANNOTATION = r"(?i)^\s*(?://|#|--|;)\s*\*?\s*(TODO|FIXME|HACK|XXX|NOTE)\b[:.]?\s*(.*)"
 HEADER = r"^(\w+)(?:\(([^)]+)\))?(!)?: (.+)$"
 TRAILER = r"^([A-Za-z][\w-]*|BREAKING CHANGE): (.+)$"
@@ -147,7 +147,7 @@ def tagged(nodes: DataFrame, path: Column, rules: Sequence[Rule] = RULES) -> Dat
     return nodes.withColumn("labels", F.array_distinct(F.concat(F.coalesce("labels", F.array().cast("array<string>")), *parts)))
 
 
-#: Manifest names and the language they speak of (fixed values).
+#: Manifest names and the language they speak of.
 MANIFESTS = {"go.mod": "go", "package.json": "javascript", "Cargo.toml": "rust", "pyproject.toml": "python", "setup.py": "python", "pom.xml": "java", "build.gradle": "java", "composer.json": "php", "Gemfile": "ruby"}
 
 
