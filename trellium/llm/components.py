@@ -8,21 +8,23 @@ from pyspark.sql import functions as F
 from .scratch import Scratch
 
 
-def _state(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.expr("bit_xor(xxhash64(a, b))"), F.expr("bit_xor(xxhash64(b, a, 1))")).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether each larger node (a) has one edge, and no smaller one (b) is the larger of another: all lead to roots."""
+    at = edges.select(F.col("a").alias("u"), F.lit(1).alias("n")).unionByName(edges.select(F.col("b").alias("u"), F.lit(None).cast("int").alias("n")).distinct())
+    return at.groupBy("u").agg(F.count("*").alias("all"), F.count("n").alias("larger")).where("larger > 0 AND all > 1").isEmpty()
 
 
 def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
     """node, root for each node of edges (a, b): root is the smallest node that can be reached.
 
     Alternating large-star and small-star steps: each node's neighbours are linked to the smallest node next to it,
-    first the larger ones, then the smaller ones, until nothing changes; every edge then leads to a root. The number
-    of rounds grows with the logarithm of the longest path. Minima are partial aggregates, so a node with very many
-    neighbours costs a row for each task; nothing but three numbers a round comes to the driver.
+    first the larger ones, then the smaller ones, until every edge leads to a root. The number of rounds grows with the
+    logarithm of the longest path. Minima are partial aggregates, so a node with very many neighbours costs a row for
+    each task; nothing but one truth value a round comes to the driver.
     """
     edges = scratch.save(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), f"cc-{name}-0")
-    before, turn = _state(edges), 0
-    while before[0]:
+    turn = 0
+    while not _settled(edges):
         both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy(F.col("a").alias("u")).agg(F.least(F.min("b"), F.first("a")).alias("m"))
         large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
@@ -31,8 +33,4 @@ def components(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
         turn += 1
         edges = scratch.save(small.select("e.*").where("a <> b").distinct(), f"cc-{name}-{turn}")
         scratch.drop(f"cc-{name}-{turn - 1}")
-        now = _state(edges)
-        if now == before:
-            break
-        before = now
     return edges.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(edges.select(F.col("b").alias("node"), F.col("b").alias("root"))).distinct()

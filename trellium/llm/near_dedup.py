@@ -27,6 +27,9 @@ LIKELY = 0.47
 ALIKE = 0.85
 #: Documents that one task compares at once; larger groups are dealt into blocks of that size.
 GROUP = 1_000
+#: A large node with so many documents at most outside its most frequent label is settled by comparing these with all
+#: of it, in blocks of so many.
+STRAYS, BLOCK = 512, 2048
 
 _U = np.uint64
 
@@ -83,27 +86,11 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """path, node, least, sketch, pivot -> path, node, least, share: in how much a sketch agrees with the pivot's."""
+    """path, node, least, sketch, pivot, label -> path, node, least, share, label: in how much a sketch agrees with the pivot's."""
     for batch in batches:
         if batch.num_rows:
             own, pivot = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, SKETCH) for i in (3, 4))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array((own == pivot).mean(axis=1))], ["path", "node", "least", "share"])
-
-
-class _Union:
-    def __init__(self, n: int):
-        self.up = list(range(n))
-
-    def root(self, x: int) -> int:
-        while self.up[x] != x:
-            self.up[x] = self.up[self.up[x]]
-            x = self.up[x]
-        return x
-
-    def join(self, x: int, y: int) -> bool:
-        x, y = self.root(x), self.root(y)
-        self.up[max(x, y)] = min(x, y)
-        return x != y
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array((own == pivot).mean(axis=1)), batch.column(5)], ["path", "node", "least", "share", "label"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -127,11 +114,24 @@ def _bounds(keys: np.ndarray) -> np.ndarray:
     return np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
 
 
+def _stars(node: np.ndarray, comp: np.ndarray, met: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The smallest of the nodes met in each component, with each other one met there."""
+    node, comp = node[met], comp[met]
+    order = np.lexsort((node, comp))
+    node, comp = node[order], comp[order]
+    edges = _bounds(comp)
+    first = np.repeat(node[edges[:-1]], np.diff(edges)) if len(node) else node
+    return first[first != node], node[first != node]
+
+
 def _likely_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """path, node, sketch, sorted by path -> a, b: in each path, links that join all nodes with chains of likely pairs."""
+    """path, node, sketch, label, sorted by path -> a, b: in each path, what chains of likely pairs connect, as stars.
+
+    Nodes of one label are known to be connected and not compared.
+    """
     need = LIKELY * SKETCH
     for table in _groups(batches):
-        path, node = (table.column(i).to_numpy() for i in (0, 1))
+        path, node, label = (table.column(i).to_numpy() for i in (0, 1, 3))
         marks = np.frombuffer(b"".join(table.column(2).to_pylist()), "<u2").reshape(-1, SKETCH)
         edges = _bounds(path)
         size = np.diff(edges)
@@ -140,12 +140,16 @@ def _likely_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         a, b = [node[two]], [node[two + 1]]
         for k in np.flatnonzero(size > 2):
             lo, hi = edges[k], edges[k + 1]
-            own, known = marks[lo:hi], _Union(hi - lo)
+            own, comp, met = marks[lo:hi], np.unique(label[lo:hi], return_inverse=True)[1], np.zeros(hi - lo, bool)
             for i in range(1, hi - lo):
-                for j in np.flatnonzero((own[:i] == own[i]).sum(axis=1) >= need):
-                    if known.join(int(j), i):
-                        a.append(node[lo + j : lo + j + 1])
-                        b.append(node[lo + i : lo + i + 1])
+                other = np.flatnonzero(comp[:i] != comp[i])
+                hit = other[(own[other] == own[i]).sum(axis=1) >= need]
+                if len(hit):
+                    met[hit] = met[i] = True
+                    for c in np.unique(comp[hit]):
+                        comp[comp == c] = comp[i]
+            for x, y in zip((a, b), _stars(node[lo:hi], comp, met)):
+                x.append(y)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
 
 
@@ -183,9 +187,10 @@ def _links(index: tuple, k: int, percent: int) -> np.ndarray:
 
 def _confirmed(percent: int):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """key, node, label, minor, text, sorted by key -> a, b: confirmed links that join what is linked in each key.
+        """key, node, label, minor, text, sorted by key -> a, b: what confirmed links connect in each key.
 
         Nodes of one label are known to be connected. Of two that are not minor nothing is compared once any is minor.
+        Of the nodes with confirmed links the smallest is paired with each other one that it is connected with.
         """
         for table in _groups(batches):
             key, node, label, minor = (table.column(i).to_numpy(zero_copy_only=False) for i in range(4))
@@ -197,12 +202,11 @@ def _confirmed(percent: int):
                 sets = [shingles(table.column(4)[i].as_py()) for i in rows]
                 _, comp = np.unique(label[rows], return_inverse=True)
                 flag = minor[rows].astype(bool)
-                index = None
+                index, met = None, np.zeros(len(rows), bool)
                 for k in range(1, len(rows)):
                     # Most often the document before is of the same group, and there is no other.
                     if not flag.any() and comp[k - 1] != comp[k] and _linked(sets[k - 1], sets[k], percent):
-                        a.append(int(node[rows[k - 1]]))
-                        b.append(int(node[rows[k]]))
+                        met[[k - 1, k]] = True
                         comp[comp == comp[k]] = comp[k - 1]
                     if (comp[:k] == comp[k]).all():
                         continue
@@ -210,9 +214,10 @@ def _confirmed(percent: int):
                     hit = np.flatnonzero((comp[:k] != comp[k]) & _links(index, k, percent)[:k] & (flag[:k] | flag[k] | ~flag.any()))
                     for j in hit:
                         if comp[j] != comp[k]:
-                            a.append(int(node[rows[j]]))
-                            b.append(int(node[rows[k]]))
+                            met[[j, k]] = True
                             comp[comp == comp[k]] = comp[j]
+                for x, y in zip((a, b), _stars(node[rows], comp, met)):
+                    x += y.tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     return confirm
@@ -230,29 +235,45 @@ def candidate_links(reps: DataFrame, scratch: Scratch) -> DataFrame:
     likely pairs are linked, and what is nearly the pivot need not go on. The others branch by their least token under
     one or two further functions, as the path draws, level by level: for pairs at the threshold more than one child
     on average holds both, while those of little in common part. What is still together after the last level agrees almost
-    wholly and is linked as it is.
+    wholly and is linked as it is. What the first level connects is labelled, and nodes of a single label go no further:
+    their links would connect nothing new. Nor do those with few documents outside their most frequent label, once
+    these are compared with the whole node.
     """
     marks = reps.select("node", "sketch")
-    members = reps.select("node", F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token")).select("node", F.xxhash64("tree", "token").alias("path"))
+    members = reps.select("node", F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token")).select("node", F.xxhash64("tree", "token").alias("path"), F.col("node").alias("label"))
     links = []
+    several = F.min("label") < F.max("label")
     for level in range(LEVELS):
-        counted = members.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
+        counted = members.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("least"), several.alias("several")).where("several").drop("several")
         members = scratch.save(members.join(counted, "path"), f"level-{level}")
-        leaves = members.where(F.col("n") <= SMALL).join(marks, "node").select("path", "node", "sketch")
+        leaves = members.where(F.col("n") <= SMALL).join(marks, "node").select("path", "node", "sketch", "label")
         links.append(scratch.save(_by_key(leaves, "path", _likely_links, "a long, b long").distinct(), f"links-{level}"))
         large = members.where(F.col("n") > SMALL)
         if large.isEmpty():
             break
         pivots = marks.select(F.col("node").alias("least"), F.col("sketch").alias("pivot")).join(large.select("least").distinct(), "least")
-        beside = large.join(marks, "node").join(pivots, "least").select("path", "node", "least", "sketch", "pivot")
-        beside = scratch.save(beside.mapInArrow(_shares, "path long, node long, least long, share double"), f"large-{level}")
+        beside = large.join(marks, "node").join(pivots, "least").select("path", "node", "least", "sketch", "pivot", "label")
+        beside = scratch.save(beside.mapInArrow(_shares, "path long, node long, least long, share double, label long"), f"large-{level}")
         last = level == LEVELS - 1
         links.append(beside.where(F.lit(last) | (F.col("share") >= LIKELY)).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
+        if level == 0:
+            known = scratch.save(components(links[0].unionByName(links[1]), scratch, "early"), "early")
+            links = [known.select(F.col("node").alias("a"), F.col("root").alias("b"))]
+            beside = beside.drop("label").join(known, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+            parts = beside.groupBy("path", "label").agg(F.count("*").alias("part")).groupBy("path")
+            parts = parts.agg(F.max_by("label", F.struct("part", "label")).alias("main"), F.sum("part").alias("n"), (F.sum("part") - F.max("part")).alias("strays")).where("strays > 0")
+            beside = scratch.save(beside.join(parts, "path"), "several")
+            blocks = F.ceil(F.col("n") / BLOCK)
+            block = F.when(F.col("label") != F.col("main"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(6)), blocks)))
+            few = beside.where(F.col("strays") <= STRAYS).join(marks, "node").withColumn("block", F.explode(block))
+            few = few.select(F.xxhash64("path", "block").alias("path"), "node", "sketch", "label")
+            links.append(scratch.save(_by_key(few, "path", _likely_links, "a long, b long").distinct(), "strays"))
+            beside = beside.where(F.col("strays") > STRAYS)
         more = F.pmod(F.xxhash64("path", F.lit(level)), F.lit(2)) == 0
         branch = F.explode(F.when(more, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
         at = F.lit(TREES) + F.pmod(F.xxhash64("path", "branch", F.lit(level)), F.lit(DEEPER)).cast("int")
         members = beside.where(F.col("share") < ALIKE).join(reps.select("node", "tokens"), "node").withColumn("branch", branch).withColumn("at", at)
-        members = members.select("node", F.xxhash64("path", "branch", "at", F.get("tokens", F.col("at"))).alias("path"))
+        members = members.select("node", F.xxhash64("path", "branch", "at", F.get("tokens", F.col("at"))).alias("path"), "label")
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
