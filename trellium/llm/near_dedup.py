@@ -86,11 +86,11 @@ def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """path, node, least, sketch, pivot, label -> path, node, least, share, label: in how much a sketch agrees with the pivot's."""
+    """path, node, least, label, tokens, sketch, pivot -> share for pivot: in how much a sketch agrees with the pivot's."""
     for batch in batches:
         if batch.num_rows:
-            own, pivot = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, SKETCH) for i in (3, 4))
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array((own == pivot).mean(axis=1)), batch.column(5)], ["path", "node", "least", "share", "label"])
+            own, pivot = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, SKETCH) for i in (5, 6))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array((own == pivot).mean(axis=1))], [*batch.schema.names[:6], "share"])
 
 
 def _groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
@@ -244,16 +244,20 @@ def candidate_links(reps: DataFrame, scratch: Scratch) -> DataFrame:
     links = []
     several = F.min("label") < F.max("label")
     for level in range(LEVELS):
-        counted = members.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("least"), several.alias("several")).where("several").drop("several")
+        # Below the roots there are few rows, which carry what else would be joined to them at each level.
+        pivot = [F.min_by("sketch", "node").alias("pivot")] if level else []
+        counted = members.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("least"), several.alias("several"), *pivot).where("several").drop("several")
         members = scratch.save(members.join(counted, "path"), f"level-{level}")
-        leaves = members.where(F.col("n") <= SMALL).join(marks, "node").select("path", "node", "sketch", "label")
+        leaves, large = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
+        leaves = (leaves if level else leaves.join(marks, "node")).select("path", "node", "sketch", "label")
         links.append(scratch.save(_by_key(leaves, "path", _likely_links, "a long, b long").distinct(), f"links-{level}"))
-        large = members.where(F.col("n") > SMALL)
         if large.isEmpty():
             break
-        pivots = marks.select(F.col("node").alias("least"), F.col("sketch").alias("pivot")).join(large.select("least").distinct(), "least")
-        beside = large.join(marks, "node").join(pivots, "least").select("path", "node", "least", "sketch", "pivot", "label")
-        beside = scratch.save(beside.mapInArrow(_shares, "path long, node long, least long, share double, label long"), f"large-{level}")
+        if not level:
+            pivots = marks.select(F.col("node").alias("least"), F.col("sketch").alias("pivot")).join(large.select("path", "least").distinct(), "least").drop("least")
+            large = large.join(reps, "node").join(pivots, "path")
+        beside = large.select("path", "node", "least", "label", "tokens", "sketch", "pivot")
+        beside = scratch.save(beside.mapInArrow(_shares, "path long, node long, least long, label long, tokens array<int>, sketch binary, share double"), f"large-{level}")
         last = level == LEVELS - 1
         links.append(beside.where(F.lit(last) | (F.col("share") >= LIKELY)).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
         if level == 0:
@@ -265,15 +269,15 @@ def candidate_links(reps: DataFrame, scratch: Scratch) -> DataFrame:
             beside = scratch.save(beside.join(parts, "path"), "several")
             blocks = F.ceil(F.col("n") / BLOCK)
             block = F.when(F.col("label") != F.col("main"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(6)), blocks)))
-            few = beside.where(F.col("strays") <= STRAYS).join(marks, "node").withColumn("block", F.explode(block))
+            few = beside.where(F.col("strays") <= STRAYS).withColumn("block", F.explode(block))
             few = few.select(F.xxhash64("path", "block").alias("path"), "node", "sketch", "label")
             links.append(scratch.save(_by_key(few, "path", _likely_links, "a long, b long").distinct(), "strays"))
             beside = beside.where(F.col("strays") > STRAYS)
         more = F.pmod(F.xxhash64("path", F.lit(level)), F.lit(2)) == 0
         branch = F.explode(F.when(more, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
         at = F.lit(TREES) + F.pmod(F.xxhash64("path", "branch", F.lit(level)), F.lit(DEEPER)).cast("int")
-        members = beside.where(F.col("share") < ALIKE).join(reps.select("node", "tokens"), "node").withColumn("branch", branch).withColumn("at", at)
-        members = members.select("node", F.xxhash64("path", "branch", "at", F.get("tokens", F.col("at"))).alias("path"), "label")
+        members = beside.where(F.col("share") < ALIKE).withColumn("branch", branch).withColumn("at", at)
+        members = members.select("node", F.xxhash64("path", "branch", "at", F.get("tokens", F.col("at"))).alias("path"), "label", "tokens", "sketch")
     out = links[0]
     for more in links[1:]:
         out = out.unionByName(more)
