@@ -80,10 +80,16 @@ def _ids(column) -> np.ndarray:
     return column.fill_null(_LAST).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-_SEEN = np.dtype([("key", "<u4"), ("row", "<i8"), ("id", "<i8"), ("place", "<u4"), ("known", "u1")])
+_SEEN = np.dtype([("key", "<u4"), ("row", "<i8"), ("id", "<i8"), ("place", "<u4"), ("shape", "<u2"), ("known", "u1")])
+#: A repeated string: its document's row, where it starts, and which of its windows repeat another, as bits.
+_SPAN = np.dtype([("row", "<i8"), ("start", "<u4"), ("bits", "<u8")])
+#: A shared anchor: its document's row, and its place and the shape of its string.
+_SHARED = np.dtype([("row", "<i8"), ("both", "<u8")])
+#: Anchors or repeats in bytes that a task gathers before it deals them out by document.
+GATHERED = 64 << 20
 
 
-def _fingerprints(buckets: int):
+def _fingerprints(buckets: int, length: int):
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """row, doc_id, text -> bucket, found, blob.
 
@@ -95,9 +101,9 @@ def _fingerprints(buckets: int):
         sizes = 0
 
         def out() -> pa.RecordBatch:
-            bucket, row, place, ident, h = (np.concatenate(x) for x in zip(*held))
+            bucket, row, place, shape, ident, h = (np.concatenate(x) for x in zip(*held))
             order = np.lexsort((ident, h))
-            bucket, row, place, ident, h = (x[order] for x in (bucket, row, place, ident, h))
+            bucket, row, place, shape, ident, h = (x[order] for x in (bucket, row, place, shape, ident, h))
             edge = np.flatnonzero(np.concatenate([[True], h[1:] != h[:-1]]))
             stop = np.append(edge[1:], len(h))
             several = np.repeat(ident[edge] != ident[stop - 1], stop - edge)
@@ -106,21 +112,21 @@ def _fingerprints(buckets: int):
             rows = []
             for found, pick in ((False, ~several | single), (True, several)):
                 own = np.zeros(int(pick.sum()), _SEEN)
-                own["key"], own["row"], own["id"], own["place"], own["known"] = (h[pick] >> _U(32)).astype("<u4"), row[pick], ident[pick], place[pick], several[pick]
+                own["key"], own["row"], own["id"], own["place"], own["shape"], own["known"] = (h[pick] >> _U(32)).astype("<u4"), row[pick], ident[pick], place[pick], shape[pick], several[pick]
                 to = bucket[pick] if not found else (row[pick].astype(np.uint64) % _U(buckets)).astype(np.int64)
                 by = np.argsort(to, kind="stable")
                 own, to = own[by], to[by]
                 cuts = np.flatnonzero(np.diff(to, prepend=-1))
                 for a, b in zip(cuts, np.append(cuts[1:], len(to))):
-                    columns = [own["key"][a:b].tobytes(), own["row"][a:b].tobytes(), own["id"][a:b].tobytes(), own["place"][a:b].tobytes(), own["known"][a:b].tobytes()]
+                    columns = [own[name][a:b].tobytes() for name in _SEEN.names]
                     rows.append((int(to[a]), found, struct.pack("<I", b - a) + pa.compress(b"".join(columns), "zstd", asbytes=True)))
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary()))], ["bucket", "found", "blob"])
 
         for batch in batches:
             row, ident = batch.column(0).to_numpy(), _ids(batch.column(1))
-            for text, _, _, place, h in anchors(_bytes(batch.column(2))):
-                held.append(((h % _U(buckets)).astype(np.int64), row[text], place, ident[text], h))
+            for text, start, windows, place, h in anchors(_bytes(batch.column(2)), length):
+                held.append(((h % _U(buckets)).astype(np.int64), row[text], place, (place - start) << 8 | windows, ident[text], h))
                 sizes += len(h)
             if sizes > HELD:
                 yield out()
@@ -156,26 +162,69 @@ def _by_bucket(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[
         yield now, rows
 
 
-def _shared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """bucket, found, blob -> row, places: the anchors whose gram several documents have."""
-    for _, blobs in _by_bucket(batches, ["found", "blob"]):
-        parts = [_open(b) for found, b in blobs if found]
-        if probe := [_open(b) for found, b in blobs if not found]:
-            all_of = np.concatenate(probe)
-            all_of = all_of[np.argsort(all_of["key"], kind="stable")]
-            edge = np.flatnonzero(np.concatenate([[True], all_of["key"][1:] != all_of["key"][:-1]]))
-            least, most = np.minimum.reduceat(all_of["id"], edge), np.maximum.reduceat(all_of["id"], edge)
-            several = (least != most) | np.maximum.reduceat(all_of["known"], edge).astype(bool)
-            hit = np.repeat(several, np.diff(np.append(edge, len(all_of)))) & (all_of["known"] == 0)
-            parts.append(all_of[hit])
-        every = np.concatenate(parts)
-        every = every[np.argsort(every["row"], kind="stable")]
-        cuts = np.flatnonzero(np.diff(every["row"], prepend=every["row"][:1] - 1))
-        places = [every["place"][a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(every)))]
-        yield pa.RecordBatch.from_arrays([pa.array(every["row"][cuts]), pa.array(places, pa.binary())], ["row", "places"])
+def _dealt(own: np.ndarray, buckets: int) -> tuple[list[int], list[bytes]]:
+    """Buckets of rows, and what belongs to each as one blob: so many at most, however many documents there are."""
+    to = (own["row"].astype(np.uint64) % _U(buckets)).astype(np.int64)
+    order = np.argsort(to, kind="stable")
+    own, to = own[order], to[order]
+    cuts = np.flatnonzero(np.diff(to, prepend=-1))
+    blobs = [struct.pack("<I", b - a) + pa.compress(own[a:b].tobytes(), "zstd", asbytes=True) for a, b in zip(cuts, np.append(cuts[1:], len(to)))]
+    return to[cuts].tolist(), blobs
 
 
-_SPAN, _REF = "<IQ", "<qI"
+def _blobs(own: np.ndarray, buckets: int) -> pa.RecordBatch:
+    to, blobs = _dealt(own, buckets)
+    return pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "blob"])
+
+
+def _by_row(kind: np.dtype):
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """bucket, blob, sorted by bucket -> row, own: a row for each document, with all that belongs to it."""
+        for _, blobs in _by_bucket(batches, ["blob"]):
+            every = np.concatenate([np.frombuffer(pa.decompress(b[4:], struct.unpack_from("<I", b)[0] * kind.itemsize, "zstd", asbytes=True), kind) for (b,) in blobs])
+            every = every[np.argsort(every["row"], kind="stable")]
+            cuts = np.flatnonzero(np.concatenate([[True], every["row"][1:] != every["row"][:-1]]))
+            own = [every[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(every)))]
+            yield pa.RecordBatch.from_arrays([pa.array(every["row"][cuts]), pa.array(own, pa.binary())], ["row", "own"])
+
+    return gather
+
+
+def _gathered(df: DataFrame, kind: np.dtype) -> DataFrame:
+    return df.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_by_row(kind), "row long, own binary")
+
+
+def _shared(buckets: int):
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """bucket, found, blob -> bucket, blob: the anchors whose gram several documents have, by row."""
+        held: list[np.ndarray] = []
+        size = 0
+        for _, blobs in _by_bucket(batches, ["found", "blob"]):
+            parts = [_open(b) for found, b in blobs if found]
+            if probe := [_open(b) for found, b in blobs if not found]:
+                all_of = np.concatenate(probe)
+                all_of = all_of[np.argsort(all_of["key"], kind="stable")]
+                edge = np.flatnonzero(np.concatenate([[True], all_of["key"][1:] != all_of["key"][:-1]]))
+                least, most = np.minimum.reduceat(all_of["id"], edge), np.maximum.reduceat(all_of["id"], edge)
+                several = (least != most) | np.maximum.reduceat(all_of["known"], edge).astype(bool)
+                hit = np.repeat(several, np.diff(np.append(edge, len(all_of)))) & (all_of["known"] == 0)
+                parts.append(all_of[hit])
+            for part in parts:
+                own = np.zeros(len(part), _SHARED)
+                own["row"], own["both"] = part["row"], part["place"].astype("<u8") << _U(16) | part["shape"]
+                held.append(own)
+                size += own.nbytes
+            if size > GATHERED:
+                yield _blobs(np.concatenate(held), buckets)
+                held.clear()
+                size = 0
+        if size:
+            yield _blobs(np.concatenate(held), buckets)
+
+    return meet
+
+
+_REF, _FOUND = "<qI", "<qIQ"
 
 
 def _common(a: bytes, b: bytes, at: int) -> int:
@@ -275,19 +324,6 @@ def _windows(key: bytes, length: int) -> list[bytes]:
     return [bytes([anchor - j]) + whole[j : j + length] for j in range(len(whole) - length + 1)]
 
 
-def _pack(spans: dict[int, list[bytes]]) -> tuple[list[int], list[bytes]]:
-    return list(spans), [b"".join(x) for x in spans.values()]
-
-
-def _spans(row: np.ndarray, start: np.ndarray, bits: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Rows, and for each its spans (start, bits of windows) as bytes."""
-    order = np.argsort(row, kind="stable")
-    own = np.zeros(len(order), np.dtype([("start", "<u4"), ("bits", "<u8")]))
-    own["start"], own["bits"], row = start[order], bits[order], row[order]
-    cuts = np.flatnonzero(np.diff(row, prepend=row[:1] - 1)) if len(row) else np.zeros(0, np.int64)
-    return row[cuts].tolist(), [own[a:b].tobytes() for a, b in zip(cuts, np.append(cuts[1:], len(row)))]
-
-
 def _range_hashes(texts: list[bytes], text: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two 64-bit hashes of texts[text][start:stop], from prefix sums of bytes times powers of an odd number.
 
@@ -315,7 +351,7 @@ def _powers(factor: int, n: int) -> np.ndarray:
 
 def _runs(buckets: int, length: int):
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """row, doc_id, text, places -> bucket, row, blob: sorted runs, and what is certain to be a repeat.
+        """row, doc_id, text, own (shared anchors) -> bucket, found, blob: sorted runs, and found already, what is certain to be a repeat.
 
         Of equal strings in documents held here, those of the smallest id go into the run; the others repeat it.
         """
@@ -332,7 +368,9 @@ def _runs(buckets: int, length: int):
             size = np.diff(np.append(edge, len(one)))
             least = np.repeat(ident[edge], size)  # the first, as they are sorted
             again = np.flatnonzero(ident != least)
-            rows, blobs = _spans(row[again], start[again], (_U(1) << windows[again].astype(np.uint64)) - _U(1))
+            spans = np.zeros(len(again), _SPAN)
+            spans["row"], spans["start"], spans["bits"] = row[again], start[again], (_U(1) << windows[again].astype(np.uint64)) - _U(1)
+            to, blobs = _dealt(spans, buckets)
             records = []
             ends = np.append(edge[1:], len(one))
             own = ident == least
@@ -347,24 +385,22 @@ def _runs(buckets: int, length: int):
                 by.setdefault(zlib.crc32(r[0][:GRAM]) % buckets, []).append(r)
             runs = [struct.pack("<I", len(r)) + pa.compress(r, "zstd", asbytes=True) for r in map(front_coded, by.values())]
             return pa.RecordBatch.from_arrays(
-                [pa.array(list(by) + [None] * len(rows), pa.int32()), pa.array([None] * len(by) + rows, pa.int64()), pa.array(runs + blobs, pa.binary())], ["bucket", "row", "blob"]
+                [pa.array(list(by) + to, pa.int32()), pa.array([False] * len(by) + [True] * len(to)), pa.array(runs + blobs, pa.binary())], ["bucket", "found", "blob"]
             )
 
         count = 0
         for batch in batches:
-            row, ident, places = batch.column(0).to_numpy(), _ids(batch.column(1)), batch.column(3).to_pylist()
-            kept = [np.unique(np.frombuffer(b"".join(x), "<u4")).astype(np.int64) if x else np.zeros(0, np.int64) for x in places]
-            data = _bytes(batch.column(2))
-            wanted = np.concatenate([(i << 40) | k for i, k in enumerate(kept)])
-            for text, start, windows, place, _ in anchors(data, length):
-                at = (text << 40) | place
-                found = np.searchsorted(wanted, at)
-                hit = wanted[np.minimum(found, len(wanted) - 1)] == at
-                text, start, windows, place = text[hit], start[hit], windows[hit], place[hit]
-                one, two = _range_hashes(data, text, start, start + windows - 1 + length)
-                shape = (place - start).astype(np.uint64) << _U(8) | windows.astype(np.uint64)
-                held.append((text + len(texts), start, windows, place, row[text], ident[text], one ^ shape * _U(0xC2B2AE3D27D4EB4F), two))
-                count += len(text)
+            if not batch.num_rows:
+                continue
+            row, ident, data = batch.column(0).to_numpy(), _ids(batch.column(1)), _bytes(batch.column(2))
+            kept = [np.unique(np.frombuffer(x, _SHARED)["both"]).astype(np.int64) for x in batch.column(3).to_pylist()]
+            text, both = np.repeat(np.arange(len(kept)), [len(x) for x in kept]), np.concatenate(kept)
+            place, back, windows = both >> 16, both >> 8 & 255, both & 255
+            start = place - back
+            one, two = _range_hashes(data, text, start, start + windows - 1 + length)
+            shape = back.astype(np.uint64) << _U(8) | windows.astype(np.uint64)
+            held.append((text + len(texts), start, windows, place, row[text], ident[text], one ^ shape * _U(0xC2B2AE3D27D4EB4F), two))
+            count += len(text)
             texts += data
             if count > RUN:
                 yield out()
@@ -375,11 +411,16 @@ def _runs(buckets: int, length: int):
     return sort
 
 
-def _repeats(length: int):
+def _repeats(buckets: int, length: int):
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """bucket, blob, sorted by bucket -> row, blob: the windows that repeat one of a smaller id, as bits."""
-        spans: dict[int, list[bytes]] = {}
-        held = 0
+        """bucket, blob, sorted by bucket -> bucket, blob: the windows that repeat one of a smaller id, by row."""
+        spans = bytearray()
+
+        def out() -> pa.RecordBatch:
+            own = np.frombuffer(bytes(spans), _SPAN)
+            spans.clear()
+            return _blobs(own, buckets)
+
         for _, blobs in _by_bucket(batches, ["blob"]):
             gram, group = b"", {}
 
@@ -389,10 +430,11 @@ def _repeats(length: int):
                     if len(refs) == 1:
                         return
                     least = min(i for i, _ in refs)
+                    bits = 2 ** (len(key) - length) - 1
                     for ident, own in refs:
                         if ident > least:
                             for row, start in own:
-                                spans.setdefault(row, []).append(struct.pack(_SPAN, start, 2 ** (len(key) - length) - 1))
+                                spans.extend(struct.pack(_FOUND, row, start, bits))
                     return
                 if len({i for refs in group.values() for i, _ in refs}) == 1:
                     return
@@ -407,7 +449,7 @@ def _repeats(length: int):
                         bits = sum(1 << j for j, window in enumerate(of[key]) if least_of.get(window, _LAST) < ident)
                         if bits:
                             for row, start in own:
-                                spans.setdefault(row, []).append(struct.pack(_SPAN, start, bits))
+                                spans.extend(struct.pack(_FOUND, row, start, bits))
 
             for key, _, ident, refs in merged([decoded(pa.decompress(b[4:], struct.unpack_from("<I", b)[0], "zstd", asbytes=True)) for (b,) in blobs]):
                 if key[:GRAM] != gram:
@@ -417,21 +459,18 @@ def _repeats(length: int):
                 group.setdefault(key, []).append((ident, refs))
             if group:
                 settle()
-            held += sum(len(b) for (b,) in blobs)
-            if held > 64 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(_pack(spans), (pa.int64(), pa.binary()))], ["row", "blob"])
-                spans.clear()
-                held = 0
+            if len(spans) > GATHERED:
+                yield out()
         if spans:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(_pack(spans), (pa.int64(), pa.binary()))], ["row", "blob"])
+            yield out()
 
     return merge
 
 
-def covered(n: int, blobs: list[bytes] | None, length: int) -> np.ndarray:
+def covered(n: int, found: bytes, length: int) -> np.ndarray:
     """Which of n bytes a repeated string covers."""
     depth = np.zeros(n + 1, np.int64)
-    spans = np.frombuffer(b"".join(blobs or []), np.dtype([("start", "<u4"), ("bits", "<u8")]))
+    spans = np.frombuffer(found, _SPAN)
     start, bits = spans["start"].astype(np.int64), spans["bits"]
     whole = (bits & (bits + _U(1))) == 0  # windows 0 .. k - 1, which is most often so
     at, stop = [start[whole]], [start[whole] + np.round(np.log2(bits[whole] + _U(1))).astype(np.int64) - 1 + length]
@@ -450,11 +489,11 @@ def _rest(length: int, with_text: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             out: list[list] = [[], [], [], [], []]
-            for data, blobs in zip(_bytes(batch.column(1)), batch.column(2).to_pylist()):
+            for data, found in zip(_bytes(batch.column(1)), batch.column(2).to_pylist()):
                 kept = data
                 removed = spans = 0
-                if blobs:
-                    gone = covered(len(data), blobs, length)
+                if found:
+                    gone = covered(len(data), found, length)
                     removed, spans = int(gone.sum()), int(np.count_nonzero(np.diff(gone.astype(np.int8), prepend=0) == 1))
                     kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
                 for x, y in zip(out, (len(data), removed, spans, hashlib.sha256(kept).hexdigest(), kept)):
@@ -486,16 +525,16 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, with_text: bool = F
     small_batches(spark)
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.xxhash64("doc_id", text_key()).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
-    sent = texts.mapInArrow(_fingerprints(buckets), "bucket int, found boolean, blob binary")
-    shared = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared, "row long, places binary")
-    places = scratch.save(shared.groupBy("row").agg(F.collect_list("places").alias("places")), "places")
-    some = texts.join(places, "row").select("row", "doc_id", "text", "places")
-    runs = scratch.save(some.mapInArrow(_runs(buckets, length), "bucket int, row long, blob binary"), "runs")
-    exchanged = runs.where("bucket IS NOT NULL").select("bucket", "blob").repartition("bucket").sortWithinPartitions("bucket")
-    repeats = exchanged.mapInArrow(_repeats(length), "row long, blob binary").unionByName(runs.where("bucket IS NULL").select("row", "blob"))
-    repeats = scratch.save(repeats.groupBy("row").agg(F.collect_list("blob").alias("blobs")), "repeats")
+    sent = texts.mapInArrow(_fingerprints(buckets, length), "bucket int, found boolean, blob binary")
+    shared = sent.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_shared(buckets), "bucket int, blob binary")
+    places = scratch.save(_gathered(shared, _SHARED), "places")
+    some = texts.join(places, "row").select("row", "doc_id", "text", "own")
+    runs = scratch.save(some.mapInArrow(_runs(buckets, length), "bucket int, found boolean, blob binary"), "runs")
+    exchanged = runs.where("not found").select("bucket", "blob").repartition("bucket").sortWithinPartitions("bucket")
+    repeats = scratch.save(exchanged.mapInArrow(_repeats(buckets, length), "bucket int, blob binary"), "repeats")
+    repeats = repeats.unionByName(runs.where("found").select("bucket", "blob"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept_bytes binary" * with_text
-    return texts.join(repeats, "row", "left").select("doc_id", "text", "blobs").mapInArrow(_rest(length, with_text), schema)
+    return texts.join(_gathered(repeats, _SPAN), "row", "left").select("doc_id", "text", "own").mapInArrow(_rest(length, with_text), schema)
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
