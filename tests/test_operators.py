@@ -3,6 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+from trellium import queries
 from trellium.engine import Engine
 from trellium.model import NodeNotFound, Registry, make_edges, make_nodes
 from trellium.operators import context, graph, introspect, store, vector
@@ -175,6 +176,28 @@ def test_relations(spark):
     assert {(r.pos, r.owner) for r in graph.enclosing(extents, at).collect()} == {(5, "a"), (15, None), (20, "b")}
 
 
+def test_enclosing_deals_out_one_file(spark):
+    extents = [("f", 10 * k, 10 * k + 6, k) for k in range(300)] + [("g", 0, 10**6, -1), (None, 0, 9, -2)]
+    at = [("f", 10 * k + k % 10) for k in range(300)] + [("g", k) for k in range(300)] + [(None, 4)]
+    want = {(f, p, next((o for g, a, b, o in extents if g == f and a <= p < b), None)) for f, p in at}
+    coalesce = "spark.sql.adaptive.coalescePartitions.enabled"
+    spark.conf.set(coalesce, "false")
+    try:
+        got = graph.enclosing(spark.createDataFrame(extents, "file string, start int, stop int, owner int"), spark.createDataFrame(at, "file string, pos int"))
+        rows = got.withColumn("_task", F.spark_partition_id()).collect()
+    finally:
+        spark.conf.set(coalesce, "true")
+    assert len(rows) == len(at) and {(r.file, r.pos, r.owner) for r in rows} == want
+    assert len({r._task for r in rows if r.file == "f"}) > 1
+
+
+def test_enclosing_extent_reads_all_orders(spark):
+    folder = "/root/testdata/sf0.001"
+    orders = spark.read.parquet(f"{folder}/orders.parquet").collect()
+    want = sorted((o.o_orderkey * 10 + o.o_custkey % 10, o.o_custkey) for o in orders if o.o_custkey % 10 < 6)
+    assert sorted((r.pos, r.owner) for r in queries.QUERIES["enclosing_extent_all"](spark, folder).collect()) == want
+
+
 def test_stream(spark, tmp_path):
     base = store.Store(spark, str(tmp_path / "store"))
 

@@ -170,13 +170,19 @@ def impact(nodes: DataFrame, edges: DataFrame, symbol: str) -> tuple[DataFrame,
 def enclosing(extents: DataFrame, positions: DataFrame) -> DataFrame:
     """file, pos, owner: for each position the innermost extent (file, start, stop, owner) with start <= pos < stop.
 
-    An as-of join without a range join: both are put in order in one window per file, and the last extent that began is
-    the answer if it still holds; extents of one file follow each other or are nested one in another at most.
+    An as-of join without a range join: both are put in order, and the last extent that began is the answer if it
+    still holds; extents of one file follow each other or are nested one in another at most. A file of any size is
+    dealt out in ranges: each range has a window of its own, and takes over the last extent of the ranges before.
     """
     marks = extents.select("file", F.col("start").alias("at"), F.lit(0).alias("_kind"), F.struct("owner", "stop", "start").alias("_x"))
     marks = marks.unionByName(positions.select("file", F.col("pos").alias("at"), F.lit(1).alias("_kind"), F.lit(None).cast(marks.schema["_x"].dataType).alias("_x")))
-    w = Window.partitionBy("file").orderBy("at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    marks = settled(marks.repartitionByRange("file", "at", "_kind").withColumn("_range", F.spark_partition_id()))
+    w = Window.partitionBy("file", "_range").orderBy("at", "_kind").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy("file").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = marks.groupBy("file", "_range").agg(F.max_by("_x", F.when(F.col("_kind") == 0, F.col("at"))).alias("_x"))
+    ranges = ranges.select(F.col("file").alias("_file"), F.col("_range").alias("_of"), F.last("_x", ignorenulls=True).over(before).alias("_carried"))
     seen = marks.withColumn("_last", F.last("_x", ignorenulls=True).over(w)).where("_kind = 1")
+    seen = seen.join(ranges.where("_carried IS NOT NULL"), F.col("file").eqNullSafe(F.col("_file")) & (F.col("_range") == F.col("_of")), "left").withColumn("_last", F.coalesce("_last", "_carried"))
     return seen.select("file", F.col("at").alias("pos"), F.when(F.col("_last.stop") > F.col("at"), F.col("_last.owner")).alias("owner"))
 
 

@@ -312,6 +312,10 @@ _tables(
     "enclosing_extent", lambda s, d: (lambda o: graph.enclosing(o.select(F.lit("f").alias("file"), (F.col("o_orderkey") * 10).alias("start"), (F.col("o_orderkey") * 10 + 6).alias("stop"), F.col("o_custkey").alias("owner")), o.select(F.lit("f").alias("file"), (F.col("o_orderkey") * 10 + F.col("o_custkey") % 10).alias("pos"))).where("owner IS NOT NULL"))(s.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 5 = 0")),
     "SELECT 'f' AS file, o_orderkey * 10 + o_custkey % 10 AS pos, o_custkey AS owner FROM orders WHERE o_orderkey % 5 = 0 AND o_custkey % 10 < 6",
 )
+_tables(
+    "enclosing_extent_all", lambda s, d: (lambda o: graph.enclosing(o.select(F.lit("f").alias("file"), (F.col("o_orderkey") * 10).alias("start"), (F.col("o_orderkey") * 10 + 6).alias("stop"), F.col("o_custkey").alias("owner")), o.select(F.lit("f").alias("file"), (F.col("o_orderkey") * 10 + F.col("o_custkey") % 10).alias("pos"))).where("owner IS NOT NULL"))(s.read.parquet(f"{d}/orders.parquet")),
+    "SELECT 'f' AS file, o_orderkey * 10 + o_custkey % 10 AS pos, o_custkey AS owner FROM orders WHERE o_custkey % 10 < 6",
+)
 _tables(
     "implementations", lambda s, d: (lambda l: graph.implementations(l.select(F.col("l_orderkey").alias("struct"), F.col("l_returnflag").alias("method")), l.select(F.col("l_linestatus").alias("interface"), F.col("l_returnflag").alias("method"))).orderBy("struct", "interface"))(s.read.parquet(f"{d}/lineitem.parquet")),
     "WITH s AS (SELECT DISTINCT l_orderkey AS struct, l_returnflag AS method FROM lineitem), i AS (SELECT DISTINCT l_linestatus AS interface, l_returnflag AS method FROM lineitem), h AS (SELECT struct, interface, count(*) AS have FROM s JOIN i USING (method) GROUP BY ALL) "
