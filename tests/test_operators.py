@@ -1,5 +1,7 @@
 """Graph, store, search, sources, context and streaming over small inputs."""
 
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -198,6 +200,42 @@ def test_enclosing_extent_reads_all_orders(spark):
     assert sorted((r.pos, r.owner) for r in queries.QUERIES["enclosing_extent_all"](spark, folder).collect()) == want
 
 
+DOCUMENTS = [
+    (1, "# Real\n\n// TODO: mend it\nsee [a](b.md)\n```sh\nmake\n```\n"),
+    (2, "Apache License\n  Version   2.0\n" + "word " * 30_000 + "\n; note. at the end"),
+    (3, "## Late\nPermission to use, copy, modify, and/or distribute"),
+    (4, ""),
+    (5, None),
+]
+
+
+@pytest.fixture(scope="module")
+def documents(spark, tmp_path_factory):
+    folder = str(tmp_path_factory.mktemp("documents"))
+    rows = spark.createDataFrame([(i, t, "en" if i < 5 else None, "web") for i, t in DOCUMENTS], "doc_id long, text string, lang string, source string")
+    rows.write.mode("overwrite").parquet(f"{folder}/documents.parquet")
+    return folder
+
+
+def test_text_queries_read_whole_texts(spark, documents):
+    want = []
+    for i, t in DOCUMENTS:
+        for n, line in enumerate(f"{t}\n# TODO: look at web\nplain\n  // fixme first en".split("\n") if t is not None else []):
+            if m := re.match(tx.ANNOTATION, line):
+                want.append((str(i), n + 1, m[1].upper(), m[2].strip(" ")))
+    got = [tuple(r) for r in queries.QUERIES["todo_scan_all"](spark, documents).collect()]
+    assert sorted(got) == sorted(want) and {("1", 3, "TODO", "mend it"), ("2", 4, "NOTE", "at the end")} < set(got)
+    got = {r["licence"]: r["count"] for r in queries.QUERIES["licence_detect_all"](spark, documents).collect()}
+    assert got == {"Apache-2.0": 1, "ISC": 1, "unknown": 3}
+
+
+def test_markdown_query_reads_whole_texts(spark, documents):
+    got = {(r["kind"], r["section"]): r["count"] for r in queries.QUERIES["markdown_parts"](spark, documents).collect()}
+    assert got[("section", "h1-real")] == 1 and got[("codeblock", "h1-real")] == 1 and got[("section", "h2-late")] == 1
+    assert got[("document", "")] == 5 and got[("link", "")] == 5
+    assert got[("section", "h1-doc-4/h2-en")] == 1 and ("section", "h1-doc-5") not in got
+
+
 def test_stream(spark, tmp_path):
     base = store.Store(spark, str(tmp_path / "store"))
 

@@ -298,6 +298,31 @@ _tables(
     "licence_detect", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select(licence(F.concat(F.lit("Licence\nPermission is hereby granted,\n free of charge "), F.coalesce("lang", F.lit("")))).alias("licence")).groupBy("licence").agg(F.count("*").alias("count")),
     "SELECT 'MIT' AS licence, count(*) AS count FROM documents",
 )
+
+
+def _noted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    text = F.concat("text", F.lit("\n# TODO: look at "), F.coalesce("source", F.lit("?")), F.lit("\nplain\n  // fixme first "), F.coalesce("lang", F.lit("?")))
+    return annotations(docs.select(F.col("doc_id").cast("string").alias("path"), text.alias("text"))).select("path", "line", "kind", "text")
+
+
+_tables(
+    "todo_scan_all", _noted,
+    "WITH t AS (SELECT doc_id, text || chr(10) || '# TODO: look at ' || coalesce(source, '?') || chr(10) || 'plain' || chr(10) || '  // fixme first ' || coalesce(lang, '?') AS text FROM documents), l AS (SELECT string_split(text, chr(10)) AS ls, doc_id FROM t WHERE strlen(text) <= 2097152 AND NOT contains(left(text, 512), chr(0))), "
+    "r AS (SELECT doc_id, generate_subscripts(ls, 1) AS line, regexp_extract(unnest(ls), '(?i)^\\s*(?://|#|--|;)\\s*\\*?\\s*(TODO|FIXME|HACK|XXX|NOTE)\\b[:.]?\\s*(.*)', ['kind', 'text']) AS m FROM l) "
+    "SELECT CAST(doc_id AS VARCHAR) AS path, CAST(line AS INT) AS line, upper(m.kind) AS kind, trim(m.text) AS text FROM r WHERE m.kind <> ''",
+)
+_HAS = "contains(head, '{}')".format
+_tables(
+    "licence_detect_all", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select(licence("text").alias("licence")).groupBy("licence").agg(F.count("*").alias("count")),
+    "WITH t AS (SELECT regexp_replace(lower(left(text, 1024)), '\\s+', ' ', 'g') AS head FROM documents) SELECT CASE "
+    f"WHEN {_HAS('apache license')} AND {_HAS('version 2.0')} THEN 'Apache-2.0' WHEN {_HAS('gnu affero general public license')} THEN 'AGPL-3.0' "
+    f"WHEN {_HAS('gnu lesser general public license')} AND {_HAS('version 3')} THEN 'LGPL-3.0' WHEN {_HAS('gnu lesser general public license')} AND {_HAS('version 2.1')} THEN 'LGPL-2.1' "
+    f"WHEN {_HAS('gnu general public license')} AND {_HAS('version 3')} THEN 'GPL-3.0' WHEN {_HAS('gnu general public license')} AND {_HAS('version 2')} THEN 'GPL-2.0' "
+    f"WHEN {_HAS('mozilla public license')} AND {_HAS('2.0')} THEN 'MPL-2.0' WHEN {_HAS('redistribution and use in source and binary forms')} THEN CASE WHEN {_HAS('neither the name')} THEN 'BSD-3-Clause' ELSE 'BSD-2-Clause' END "
+    f"WHEN {_HAS('permission to use, copy, modify, and/or distribute')} THEN 'ISC' WHEN {_HAS('permission is hereby granted, free of charge')} THEN 'MIT' WHEN {_HAS('this is free and unencumbered software')} THEN 'Unlicense' "
+    "ELSE 'unknown' END AS licence, count(*) AS count FROM t GROUP BY 1",
+)
 _tables(
     "commit_parse", lambda s, d: commits(s.read.parquet(f"{d}/events.parquet").select("event_id", F.concat(F.col("event_type"), F.lit("(u"), F.col("user_id").cast("string"), F.lit("): did it\n\nwhy\n\nRefs: #"), F.col("event_id").cast("string"), F.lit(", X-1")).alias("message"))).select("event_id", "type", "scope", "subject", "body", F.array_join("refs", " ").alias("refs")),
     "SELECT event_id, event_type AS type, 'u' || user_id AS scope, 'did it' AS subject, 'why' AS body, '#' || event_id || ' X-1' AS refs FROM events",
@@ -325,7 +350,7 @@ _tables(
 
 def _markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    text = F.concat(F.lit("# Doc "), F.col("doc_id").cast("string"), F.lit("\n\nintro [x](./other.md)\n\n## "), F.coalesce("lang", F.lit("none")), F.lit("\n\n```py\n# no heading\n```\n"))
+    text = F.concat("text", F.lit("\n\n# Doc "), F.col("doc_id").cast("string"), F.lit("\n\nintro [x](./other.md)\n\n## "), F.coalesce("lang", F.lit("none")), F.lit("\n\n```py\n# no heading\n```\n"))
     return markdown(docs.select(F.col("doc_id").cast("string").alias("path"), text.alias("text"))).groupBy("kind", "section").agg(F.count("*").alias("count"))
 
 
