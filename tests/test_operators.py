@@ -172,6 +172,21 @@ def test_ring_walk(spark):
     assert (got["s"], got["g"], got["m"], got["r1"], got["r2"]) == (100, 80, 75, 64, 69)
 
 
+def test_ring_walk_limits_each_symbol(spark):
+    at = lambda f: f'{{"kind":"type","position":{{"file":"{f}","line":1}}}}'
+    rows = [(f"a{i:02}", "go:func", "Alpha", "go:p", None) for i in range(12)] + [("b", "go:struct", "Beta", "go:q", None), ("bm", "go:method", "run", "go:z", None)]
+    rows += [(f"r{i:03}", "go:ref", "Alpha", "go:x", at("a.go")) for i in range(105)] + [("s1", "go:ref", "Beta", "go:x", at("b.go")), ("s2", "go:ref", "Beta", "go:x", None), ("s3", "go:ref", "Beta", "go:x", None)]
+    rows += [("s4", "go:ref", "Gamma", "go:x", at("c.go")), ("s5", "go:ref", "Beta", "go:x", at("a.go"))]
+    rows += [(f"c{i:02}", "go:func", f"C{i}", "go:p", None) for i in range(60)] + [("d", "go:func", "D", "go:q", None)]
+    nodes = make_nodes(spark.createDataFrame(rows, "id string, type string, name string, uri string, data string"))
+    got = {r.id: (r.ring, r.score) for r in context.ring_walk(nodes, edges_of(spark, [("has", "b", "bm")]), context.Task("", ("Alpha", "Beta", "Gamma"))).collect()}
+    assert sorted(k for k, v in got.items() if v[0] == 0) == [f"a{i:02}" for i in range(10)] + ["b"]
+    assert got["bm"] == (1, 80) and got["d"] == (3, 40)
+    assert sorted(k for k, v in got.items() if v[0] == 2) == [f"r{i:03}" for i in range(100)] + ["s1", "s2", "s3", "s5"]
+    assert (got["r000"], got["s1"], got["s2"], got["s5"]) == ((2, 80), (2, 60), (2, 60), (2, 80))
+    assert [k for k in sorted(got) if k[0] == "c"] == [f"c{i:02}" for i in range(38)]  # the twelve definitions are of the package too
+
+
 def test_relations(spark):
     extents = spark.createDataFrame([("f", 0, 10, "a"), ("f", 20, 30, "b")], "file string, start int, stop int, owner string")
     at = spark.createDataFrame([("f", 5), ("f", 15), ("f", 20)], "file string, pos int")

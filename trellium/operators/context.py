@@ -54,11 +54,14 @@ def ring_walk(nodes: DataFrame, edges: DataFrame, task: Task) -> DataFrame:
     """id, ring, score, reason: the nodes around a task's symbols, each in its first ring, best first.
 
     Ring 0 defines a symbol; 1 are its members, and structs with all methods of its interfaces; 2 refers to it, with
-    more for several references in a file and for calls; 3 are other exported nodes of its package.
+    more for several references in a file and for calls; 3 are other exported nodes of its package. Those of the
+    smallest ids are kept: DEFINED for each symbol, REFS for each definition, SIBLINGS for each package.
     """
+    first_of = lambda df, key, most: df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("id"))).where(F.col("_n") <= most).drop("_n")
     symbols = list(task.symbols) or [""]
     of = F.col("type")
-    found = nodes.where(of.startswith("go:") & (of != "go:ref") & F.col("name").isin(symbols)).orderBy("id").limit(DEFINED)
+    found = nodes.where(of.startswith("go:") & (of != "go:ref") & F.col("name").isin(symbols))
+    found = first_of(found, "name", DEFINED)
     zero = found.select("id", F.lit(0).alias("ring"), F.lit(float(SCORE_DEFINED)).alias("score"), F.lit("definition").alias("reason"))
     below = edges.where(F.col("type").isin(*MEMBERS)).select("from_id", "to_id")
     members = below.join(found.select(F.col("id").alias("from_id")), "from_id", "left_semi").select(F.col("to_id").alias("id")).distinct()
@@ -71,8 +74,12 @@ def ring_walk(nodes: DataFrame, edges: DataFrame, task: Task) -> DataFrame:
     fits = structs.join(faces, "method").groupBy("struct", "interface").agg(F.count("*").alias("have")).join(need, "interface").where("have = need").select(F.col("struct").alias("id")).distinct()
     impl = fits.select("id", F.lit(1).alias("ring"), F.lit(float(SCORE_IMPLEMENTS)).alias("score"), F.lit("implements").alias("reason"))
     file, kind = json_field("data", "position.file"), json_field("data", "kind")
-    refs = nodes.where((of == "go:ref") & F.col("name").isin(symbols)).withColumns({"_file": file, "_kind": kind}).orderBy("id").limit(REFS)
-    n = F.count("*").over(Window.partitionBy("_file"))
+    refs = first_of(nodes.where((of == "go:ref") & F.col("name").isin(symbols)).withColumns({"_file": file, "_kind": kind}), "name", REFS)
+    turn = F.array_position(F.array(*[F.lit(x) for x in symbols]), F.col("name"))
+    refs = refs.join(found.groupBy("name").agg(F.count("*").alias("_defs")), "name").withColumn("_turn", turn)
+    # As symbols are taken in turn, a file's count has the references of those before, once for each definition.
+    before = Window.partitionBy("_file").orderBy("_turn").rangeBetween(Window.unboundedPreceding, -1)
+    n = F.when(F.coalesce("_file", F.lit("")) != "", F.coalesce(F.sum("_defs").over(before), F.lit(0)) + F.count("*").over(Window.partitionBy("_file", "_turn"))).otherwise(0)
     score = F.lit(float(SCORE_REF)) + F.when(n > 1, F.least(n, F.lit(10)) * 2).otherwise(0) + F.when(F.col("_kind") == "call", 5).otherwise(0)
     score += F.when(F.col("_file").rlike("_test\\.go$"), 20 if task.intent == "fix" else 5).otherwise(0)
     two = refs.select("id", F.lit(2).alias("ring"), score.cast("double").alias("score"), F.lit("reference").alias("reason"))
@@ -82,7 +89,7 @@ def ring_walk(nodes: DataFrame, edges: DataFrame, task: Task) -> DataFrame:
     hit = F.lit(False)
     for w in task.keywords:
         hit |= F.contains(F.lower("name"), F.lit(w))
-    three = near.join(homes, "_package", "left_semi").orderBy("id").limit(SIBLINGS).select("id", F.lit(3).alias("ring"), (F.lit(float(SCORE_SIBLING)) + F.when(hit, 10).otherwise(0)).alias("score"), F.lit("sibling").alias("reason"))
+    three = first_of(near.join(homes, "_package", "left_semi"), "_package", SIBLINGS).select("id", F.lit(3).alias("ring"), (F.lit(float(SCORE_SIBLING)) + F.when(hit, 10).otherwise(0)).alias("score"), F.lit("sibling").alias("reason"))
     every = zero.unionByName(one).unionByName(impl).unionByName(two).unionByName(three)
     first = Window.partitionBy("id").orderBy("ring", F.desc("score"))
     return every.withColumn("_n", F.row_number().over(first)).where("_n = 1").drop("_n").orderBy(F.desc("score"), "id")
