@@ -1,5 +1,6 @@
 """Graph, store, search, sources, context and streaming over small inputs."""
 
+import json
 import re
 
 import pytest
@@ -251,6 +252,26 @@ def test_markdown_query_reads_whole_texts(spark, documents):
     assert got[("section", "h1-doc-4/h2-en")] == 1 and ("section", "h1-doc-5") not in got
 
 
+def test_whole_graph_queries_read_all_tables(spark):
+    folder = "/root/testdata/sf0.001"
+    t = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
+    size = {x: t(x).count() for x in ("region", "nation", "supplier", "customer", "part", "orders", "events")}
+    users = t("events").select("user_id").distinct().count()
+    run = lambda name: queries.QUERIES[name](spark, folder)
+    star = run("flat_star_all").collect()
+    assert len(star) == sum(size.values()) + users
+    one = t("orders").orderBy("o_orderkey").first()
+    data = json.loads(next(r.data for r in star if r.id == f"order:{one.o_orderkey}"))
+    assert data == {"status": one.o_orderstatus, "priority": one.o_orderpriority, "total": one.o_totalprice}
+    assert run("flat_not_glob_all").count() == sum(size[x] for x in ("region", "nation", "part", "orders", "events"))
+    assert run("flat_not_in_all").count() == len(star) - size["region"] - size["customer"]
+    lines = [t("lineitem").select(x, "l_partkey").distinct().count() for x in ("l_orderkey", "l_suppkey")]
+    has = sum(size[x] for x in ("supplier", "customer", "orders", "events"))
+    want = {"contains": size["nation"], "contained_by": size["nation"], "has": has, "belongs_to": has, "references": lines[0], "supplies": lines[1]}
+    assert {r["type"]: r["count"] for r in run("edges_group_type_all").collect()} == want
+    assert run("edges_star_all").count() == sum(want.values())
+
+
 def test_stream(spark, tmp_path):
     base = store.Store(spark, str(tmp_path / "store"))
 

@@ -138,6 +138,15 @@ _language("flat_parameters", ITEM, "SELECT id FROM nodes WHERE data.size > $leas
 _language("edges_star", GEO, "SELECT * FROM edges", "SELECT id, type, from_id, to_id, NULL::VARCHAR AS data, NULL::VARCHAR AS generation, NULL::VARCHAR AS created_at FROM edges")
 QUERIES["edges_star"] = lambda spark, d, f=QUERIES["edges_star"]: f(spark, d).withColumn("data", F.to_json("data"))
 _language("edges_group_type", FULL, "SELECT type, COUNT(*) AS count FROM edges GROUP BY type", "SELECT type, count(*) AS count FROM edges GROUP BY type")
+
+# Those above whose text speaks of the whole graph, over all of it.
+_operator("flat_star_all", ALL, lambda n, e: compile_query(parse("SELECT * FROM nodes"), n, e, None).df.withColumn("labels", F.to_json("labels")).withColumn("data", F.to_json("data")), None)
+_language("flat_not_glob_all", ALL, "SELECT id FROM nodes WHERE type NOT GLOB 'org:*'", "SELECT id FROM nodes WHERE type NOT LIKE 'org:%'")
+_language("flat_not_in_all", ALL, "SELECT id FROM nodes WHERE type NOT IN ('geo:region', 'org:customer')", "SELECT id FROM nodes WHERE type NOT IN ('geo:region', 'org:customer')")
+_language("edges_star_all", ALL, "SELECT * FROM edges", "SELECT id, type, from_id, to_id, NULL::VARCHAR AS data, NULL::VARCHAR AS generation, NULL::VARCHAR AS created_at FROM edges")
+QUERIES["edges_star_all"] = lambda spark, d, f=QUERIES["edges_star_all"]: f(spark, d).withColumn("data", F.to_json("data"))
+_language("edges_group_type_all", ALL, "SELECT type, COUNT(*) AS count FROM edges GROUP BY type", "SELECT type, count(*) AS count FROM edges GROUP BY type")
+
 _language(
     "in_subquery", DOC, "SELECT id FROM nodes WHERE type = 'org:customer' AND id IN (SELECT from_id FROM edges WHERE type = 'has')",
     "SELECT id FROM nodes WHERE type = 'org:customer' AND id IN (SELECT from_id FROM edges WHERE type = 'has')",

@@ -21,7 +21,7 @@ def _data(**fields):
 def table_graph(spark: SparkSession, folder: str, parts: tuple[str, ...] = ("geo", "org", "item", "doc", "event")) -> tuple[DataFrame, DataFrame]:
     """nodes and edges of the tables in a folder; parts chooses which, so that a query reads no more than it needs.
 
-    geo: regions, nations. org: customers, suppliers. item: parts. doc: orders, documents. event: events, users.
+    geo: regions, nations. org: customers, suppliers. item: parts. doc: orders. event: events, users.
     Ids are readable, such as nation:3; contains and has edges come with their reverses.
     """
     t = lambda name: spark.read.parquet(f"{folder}/{name}.parquet")
