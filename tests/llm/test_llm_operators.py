@@ -111,6 +111,13 @@ def test_loser_tree_merges(runs):
     assert [x[0] for x in suffix_dedup.merged(coded)] == sorted(k for r in runs for k in r)
 
 
+def test_front_coding_keeps_trailing_nuls():
+    keys = [b"", b"abc", b"abc", b"abc\0", b"abc\0\0\0", b"abc\0\0\0x", b"abd", b"abd\0"]
+    run = suffix_dedup.front_coded([(k, n, [(n, 1)]) for n, k in enumerate(keys)])
+    assert [(k, n, refs) for k, _, n, refs in suffix_dedup.decoded(run)] == [(k, n, [(n, 1)]) for n, k in enumerate(keys)]
+    assert [same for _, same, _, _ in suffix_dedup.decoded(run)] == [0, 0, 3, 3, 4, 6, 2, 3]
+
+
 def test_decontamination(spark, odd):
     items = [(1, " ".join(LONG.split()[50:75])), (1, "unrelated words"), (2, "kan lot"), (3, None), (None, " ".join(LONG.split()[60:72])), (5, LONG)]
     bench = spark.createDataFrame(items, "item_id long, text string")

@@ -241,8 +241,9 @@ def front_coded(records: list[tuple[bytes, int, list[tuple[int, int]]]]) -> byte
     differ = np.ones((len(records), width + 1), bool)
     differ[1:, :width] = keys[1:] != keys[:-1]
     parts = []
+    last = 0
     for (key, ident, refs), same in zip(records, differ.argmax(axis=1).tolist()):
-        same = min(same, len(key))
+        same, last = min(same, len(key), last), len(key)  # the padding is no part of a key
         parts.append(struct.pack("<BBqI", same, len(key) - same, ident, len(refs)))
         parts.append(key[same:])
         for r in refs:
