@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from trellium.llm import chat, decontamination, exact_dedup, language_id, near_dedup, packing, quality, sharding, suffix_dedup, toxicity
+from trellium.llm import chat, decontamination, exact_dedup, language_id, near_dedup, packing, quality, sampling, scratch, sharding, suffix_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, row string"
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(20_000))
@@ -226,29 +226,92 @@ def _split(spark, label):
     return docs, labels, {r.doc_id: r[label] for r in labels.collect()}
 
 
-def test_quality(spark, odd):
-    docs, labels, truth = _split(spark, "quality")
-    score = quality.quality_model(toxicity.labelled_documents(docs, labels, "quality"))
-    got = [(truth[r.doc_id], r.s >= 0.3) for r in docs.select("doc_id", score("text").alias("s")).collect() if r.doc_id in truth and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
-    assert np.mean([a == b for a, b in got]) > 0.95
+def _odd_scores(spark, odd, score):
     every = [r.s for r in table(spark, odd).select(score("text").alias("s")).collect()]
     assert len(every) == len(odd) and all(0 <= s <= 1 for s in every)
-    lone = quality.quality_model(toxicity.labelled_documents(docs, labels.where("quality = 1"), "quality"))
+    assert table(spark, [], True).select(score("text").alias("s")).count() == 0
+
+
+def _held_out(docs, truth, score, least):
+    rows = docs.select("doc_id", score("text").alias("s")).collect()
+    return [(truth[r.doc_id], r.s >= least) for r in rows if r.doc_id in truth and zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
+
+
+def test_quality(spark, odd):
+    docs, labels, truth = _split(spark, "quality")
+    score = quality.quality_model(docs, toxicity.teaching(labels))
+    assert np.mean([a == b for a, b in _held_out(docs, truth, score, 0.3)]) > 0.95
+    _odd_scores(spark, odd, score)
+    lone = quality.quality_model(docs, labels.where("quality = 1"))
     assert table(spark, odd).select(lone("text").alias("s")).where("s < 0.99").count() == 0
 
 
+def test_quality_depends_on_words():
+    good, bad = quality.passages(["the same shape of text"])[0], quality.passages(["hte same shape of text"])[0]
+    assert (good[:, : -quality.WORDS] == bad[:, : -quality.WORDS]).all() and (good != bad).any()
+
+
+def _marked(n, toxic):
+    rng = np.random.default_rng(n)
+    words = [f"{a}{b}{c}" for a in ("ka", "lo", "mi") for b in ("n", "t", "s") for c in ("o", "e", "u")]
+    out = []
+    for i in range(n):
+        own = rng.choice(words, 60).tolist()
+        if toxic(i):
+            own[7] = "gr" + "".join(rng.permutation(list("au"))) + "nkel"
+        out.append((i, " ".join(own)))
+    return out
+
+
+def test_toxicity_of_held_out_rows(spark):
+    """Learned from four folds of five, judged by the fifth; the toxic word is misspelt in two ways."""
+    toxic = lambda i: i % 7 == 3
+    rows = _marked(900, toxic)
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(i, int(toxic(i))) for i, _ in rows], "doc_id long, toxic int")
+    score = toxicity.toxicity_model(docs, toxicity.teaching(labels))
+    held = _held_out(docs, {i: int(toxic(i)) for i, _ in rows}, score, 0.5)
+    assert len(held) > 120 and np.mean([a == b for a, b in held]) > 0.97
+    assert np.mean([b for a, b in held if a]) > 0.9
+
+
 def test_toxicity(spark, odd):
-    docs, labels, truth = _split(spark, "toxic")
-    score = toxicity.toxicity_model(toxicity.labelled_documents(docs, labels, "toxic"))
-    rows = docs.select("doc_id", score("text").alias("s")).collect()
-    seen = [(truth[r.doc_id], r.s >= 0.5) for r in rows if r.doc_id in truth and zlib.crc32(str(r.doc_id).encode()) % 5]
-    assert np.mean([a == b for a, b in seen]) > 0.95
-    every = [r.s for r in table(spark, odd).select(score("text").alias("s")).collect()]
-    assert len(every) == len(odd) and all(0 <= s <= 1 for s in every)
-    none = toxicity.toxicity_model(toxicity.labelled_documents(docs, labels.limit(0), "toxic"))
+    docs, labels, _ = _split(spark, "toxic")
+    score = toxicity.toxicity_model(docs, toxicity.teaching(labels))
+    _odd_scores(spark, odd, score)
+    none = toxicity.toxicity_model(docs, labels.limit(0))
     assert table(spark, odd).select(none("text").alias("s")).where("s > 0.01").count() == 0
 
 
+def test_labelled_sample(spark):
+    """Labels that disagree or are null, null ids and texts, repeated rows, clashing columns, and the two bounds."""
+    docs = table(spark, [(1, "a"), (1, "a"), (2, "b"), (3, None), (None, "c"), (4, "d"), (5, "e"), (6, "f"), (7, "")])
+    labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, 1), (None, 1), (4, None), (5, 0), (6, 2), (7, 0), (9, 1)], "doc_id long, toxic int")
+    take = lambda bound: sampling.labelled_sample(docs, labels, "toxic", bound)
+    assert sorted(take(100).collect()) == [(1, "a", 1), (5, "e", 0), (7, "", 0)]
+    many = spark.range(20_000).selectExpr("id AS doc_id", "'t' AS text", "int(id % 3 = 0) AS toxic")
+    counts = {r.toxic: r["count"] for r in sampling.labelled_sample(many, many.drop("text"), "toxic", 500).groupBy("toxic").count().collect()}
+    assert all(400 < counts[k] < 600 for k in (0, 1))
+    blobs = many.selectExpr("doc_id", "CAST(repeat('x', 10) AS BINARY) AS bag")
+    assert 8_000 < sampling.within_bytes(blobs, "bag", 100_000).count() < 12_000 and sampling.within_bytes(blobs, "bag", 200_000).count() == 20_000
+    assert take(100).where("doc_id > 99").count() == 0 and sampling.labelled_sample(docs.limit(0), labels, "toxic", 5).count() == 0
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.integers(0, 50), max_size=30), st.integers(1, 7), st.integers(1, 60))
+def test_cuts_cover_all_rows_within_bounds(lengths, rows, size):
+    got = list(scratch.cuts(np.array(lengths, np.int64), rows, size))
+    assert [i for a, b in got for i in range(a, b)] == list(range(len(lengths)))
+    assert all(b - a <= rows and (b - a == 1 or sum(lengths[a:b]) <= size) for a, b in got)
+
+
+def test_language_needs_letters(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = [(1, "½ ² 12"), (2, "① Ⅳ 4"), (3, "_ 7"), (4, "the house"), (5, "é"), (6, "")]
+    got = {r.doc_id: r.lang_pred for r in language_id.identify(table(spark, texts), docs).collect()}
+    assert [got[i] == "und" for i in range(1, 7)] == [True, True, True, False, False, True]
+    assert language_id.identify(table(spark, [], True), docs).count() == 0
+
+
 def test_language(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language_id.identify(docs, docs.where("doc_id % 2 = 0")).collect()

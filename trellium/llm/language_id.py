@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -13,21 +12,18 @@ from pyspark.sql import functions as F
 
 from .ngrams import BLOCK, blocks, code_points
 from .sampling import bounded_sample, fold
-from .scratch import small_batches
+from .scratch import cuts, slices
 
 ORDERS, BITS = (1, 2, 3), 16
 #: Documents of each language that are learned from, about; see bounded_sample.
 TRAIN_BOUND = 5_000
-LETTER = re.compile(r"[^\W\d_]")
 
 
 def gram_counts(rows: DataFrame, label: str, bits: int = BITS) -> DataFrame:
     """label, bucket, n: how often the n-grams of each bucket occur in the texts of each label."""
-    small_batches(rows.sparkSession)
-
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for batch in batches:
+        for batch in slices(batches, 1):
             names = batch.column(0).to_pylist()
             texts = batch.column(1).to_pylist()
             for name in set(names):
@@ -72,12 +68,11 @@ def identify(docs: DataFrame, labelled: DataFrame, *, label: str = "lang", bound
 
     The model is learned from labelled (doc_id, text and a label), about `bound` documents of each label; rows without
     text or label teach nothing. lang_pred is the label of the highest posterior under equal priors and score that
-    posterior. Null texts and those without a letter are `und` with score 0, and so is every text when there was
+    posterior. Null texts and those without a letter (Unicode category L) are `und` with score 0, and so is every text when there was
     nothing to learn from; ties go to the first label in order. Repeated rows and null ids are rows like others, other
     columns are ignored, and an empty table gives an empty result.
     """
     spark = docs.sparkSession
-    small_batches(spark)
     teach = labelled.where(F.col("text").isNotNull() & F.col(label).isNotNull()).select("doc_id", "text", F.col(label).cast("string").alias(label))
     names, table = train(bounded_sample(teach, label, bound), label)
     model = spark.sparkContext.broadcast(table)
@@ -88,10 +83,11 @@ def identify(docs: DataFrame, labelled: DataFrame, *, label: str = "lang", bound
             texts = texts.tolist()
             lang, score = ["und"] * len(texts), np.zeros(len(texts))
             if names and texts:
-                logs = log_likelihoods(texts, model.value)
+                sizes = np.fromiter((len(t or "") for t in texts), np.int64, len(texts))
+                logs = np.concatenate([log_likelihoods(texts[a:b], model.value) for a, b in cuts(sizes)])
                 odds = np.exp(logs - logs.max(axis=1, keepdims=True))
                 best = logs.argmax(axis=1)
-                has = np.array([bool(t and LETTER.search(t)) for t in texts])
+                has = np.array([any(map(str.isalpha, t or "")) for t in texts])
                 score = np.where(has, 1 / odds.sum(axis=1), 0.0)
                 lang = [names[b] if h else "und" for b, h in zip(best, has)]
             yield pd.DataFrame({"lang_pred": lang, "score": score})
@@ -100,6 +96,7 @@ def identify(docs: DataFrame, labelled: DataFrame, *, label: str = "lang", bound
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document; learned from documents outside the held-out fold."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     out = identify(docs.select("doc_id", "text"), docs.where(fold(3) != 1).select("doc_id", "text", "lang"))
     return out.select("doc_id", (fold(3) == 1).alias("held_out"), "lang_pred", "score")

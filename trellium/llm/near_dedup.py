@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .components import components
 from .exact_dedup import HOT_GROUPS
 from .rows import bounded, text_key
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, slices
 
 SHINGLE, PERCENT = 5, 75
 #: Trees, and minwise functions for the later levels of all trees.
@@ -65,7 +65,7 @@ def _functions() -> tuple[np.ndarray, np.ndarray]:
 
 def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     factor, shift = _functions()
-    for batch in batches:
+    for batch in slices(batches, 1):
         number, digest, tokens, sketch = [], [], [], []
         for text in batch.column(1).to_pylist():
             own = shingles(text)
@@ -331,7 +331,6 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, scratch: Scratch
     """
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "near_dedup")
-    small_batches(spark)
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key"))
     schema = "doc_id long, text_key long, n_shingles long, digest binary, tokens array<int>, sketch binary"
     rows = scratch.save(texts.mapInArrow(_sketches, schema).withColumn("row", F.monotonically_increasing_id()), "sketches")

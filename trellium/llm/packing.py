@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, slices
 
 CAPACITY = 2048
 #: Words whose ids a worker remembers; the memory is emptied when full.
@@ -73,11 +73,9 @@ def token_pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end: i
     A document is its ids and then the id `end`; one longer than capacity is cut into pieces of capacity, the last of
     which may be shorter. A null or empty text is the one id `end`.
     """
-    small_batches(docs.sparkSession)
-
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, last, width = encoder(path), np.array([end], dtype="<u4").tobytes(), 4 * capacity
-        for batch in batches:
+        for batch in slices(batches, 1):
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
             for i, own in enumerate(encode(batch.column(1).to_pylist())):
                 whole = memoryview(own + last)

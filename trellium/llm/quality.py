@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -10,18 +11,22 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sampling import bounded_sample
-from .sampling import fold
-from .scratch import small_batches
-from .toxicity import labelled_documents
+from .sampling import fold, labelled_sample, learned
+from .scratch import Scratch, cuts, slices
+from .toxicity import teaching
 
-#: Words of a passage, and documents of each label that are learned from, about; see bounded_sample.
-PASSAGE, TRAIN_BOUND = 48, 2_000
+#: Words of a passage; documents of each label that are learned from, about, and bytes of their passages; see
+#: labelled_sample and within_bytes.
+PASSAGE, TRAIN_BOUND, TRAIN_BYTES = 48, 2_000, 64 << 20
 HIDDEN, ATTEND = 12, 8
-EPOCHS, BATCH, RATE = 40, 64, 0.01
+EPOCHS, BATCH, RATE, DECAY = 40, 64, 0.01, 4e-4
 #: Kinds of bytes whose share is a feature of a passage.
 KINDS = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789", ".,;:", "!?", "|<>{}[]\\/=_", "#$%&*@~^+", "\"'()-`", "\n\r", "\t\f\v"]
-FEATURES = len(KINDS) + 8
+#: Features by which words are hashed, each with a sign.
+WORDS = 64
+FEATURES = len(KINDS) + 8 + WORDS
+#: Bytes of text whose passages are worked out at once.
+TEXT = 1 << 20
 
 
 def _kinds() -> np.ndarray:
@@ -33,9 +38,9 @@ def _kinds() -> np.ndarray:
 
 
 def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-    """The features of every passage, and how many passages each text has; an empty text has one, of zeros.
+    """The features of every passage, its bytes, words and their repetition, and how many passages each text has.
 
-    A passage is PASSAGE words between white space, the last of a text may be shorter.
+    An empty text has one, of zeros. A passage is PASSAGE words between white space, the last of a text may be shorter.
     """
     kinds = _kinds()
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
@@ -79,6 +84,10 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     out[at, base + 4] = np.sqrt(np.maximum(np.add.reduceat(size**2, starts) / count - mean**2, 0)) / 8
     out[at, base + 5] = np.add.reduceat(size == 1, starts, dtype=np.int64) / count
     out[at, base + 6] = count / PASSAGE
+    # What words a passage has: signed counts by hash, over the root of their number.
+    slot, sign = (word >> np.uint64(8)).astype(np.int64) % WORDS, np.where(word & np.uint64(64), 1.0, -1.0)
+    bag = np.bincount(passage * WORDS + slot, weights=sign, minlength=len(out) * WORDS).reshape(-1, WORDS)[at]
+    out[at, base + 7 :] = bag / np.sqrt(count)[:, None]
     return out, number
 
 
@@ -116,8 +125,9 @@ class GatedAttention:
 
     def fit(self, docs: list[np.ndarray], labels: np.ndarray, seed: int = 3) -> GatedAttention:
         rng, step = np.random.default_rng(seed), 0
-        every = np.concatenate(docs)
-        self.mean, self.spread = every.mean(axis=0), every.std(axis=0) + 1e-3
+        passages, sums = sum(map(len, docs)), sum(d.sum(axis=0, dtype=np.float64) for d in docs)
+        self.mean = sums / passages
+        self.spread = np.sqrt(sum(((d - self.mean) ** 2).sum(axis=0) for d in docs) / passages) + 1e-3
         m = {k: (np.zeros_like(v), np.zeros_like(v)) for k, v in self.p.items()}
         for _ in range(EPOCHS):
             order = rng.permutation(len(docs))
@@ -127,6 +137,8 @@ class GatedAttention:
                 step += 1
                 for k, grad in self.gradients((score - labels[rows]) / len(rows), kept).items():
                     one, two = m[k]
+                    if k not in "eb":
+                        grad = grad + DECAY * self.p[k]
                     one += 0.1 * (grad - one)
                     two += 0.001 * (grad**2 - two)
                     self.p[k] -= RATE * (one / (1 - 0.9**step)) / (np.sqrt(two / (1 - 0.999**step)) + 1e-8)
@@ -135,46 +147,56 @@ class GatedAttention:
 
 def _features(rows: DataFrame, label: str) -> DataFrame:
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x, number = passages(batch.column(1).to_pylist())
+        for batch in slices(batches, 2, size=TEXT):
+            x, number = passages(batch.column(2).to_pylist())
             parts = np.split(x, np.cumsum(number)[:-1])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([p.astype("<f4").tobytes() for p in parts], pa.binary())], ["label", "passages"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([p.astype("<f4").tobytes() for p in parts], pa.binary())], ["doc_id", "label", "passages"])
 
-    return rows.select(F.col(label).cast("int"), "text").mapInArrow(take, "label int, passages binary")
+    return rows.select(F.col("doc_id").cast("long"), F.col(label).cast("int"), "text").mapInArrow(take, "doc_id long, label int, passages binary")
 
 
-def quality_model(labelled: DataFrame, *, label: str = "quality", bound: int = TRAIN_BOUND):
+def quality_model(docs: DataFrame, labels: DataFrame, *, label: str = "quality", bound: int = TRAIN_BOUND, most: int = TRAIN_BYTES):
     """A function from a column of texts to their quality, from 0 to 1.
 
-    It is learned from labelled (doc_id, text and a label 0 or 1), about `bound` documents of each label; rows without
-    text or label teach nothing. Null and empty texts are one passage of zeros. With no rows to learn from, or of one
-    label only, every score is that label's share, 0 without any.
+    It is learned from docs (doc_id, text) whose id has a label 0 or 1 in labels (doc_id, label), about `bound`
+    documents of each label and at most about `most` bytes of passages in all; rows without text or label, and ids
+    whose labels disagree, teach nothing, and rows that repeat count once. Null and empty texts are one passage of
+    zeros. With no rows to learn from, or of one label only, every score is that label's share, 0 without any. Other
+    columns are ignored.
     """
-    spark = labelled.sparkSession
-    small_batches(spark)
-    teach = labelled.where(F.col("text").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", "text", F.col(label).cast("int").alias(label))
-    rows = sorted((r.label, bytes(r.passages)) for r in _features(bounded_sample(teach, label, bound), label).collect())
-    labels = np.array([r[0] for r in rows], dtype=np.float64)
-    net = GatedAttention(FEATURES)
-    if len(set(labels)) == 2:
-        net.fit([np.frombuffer(b, "<f4").reshape(-1, FEATURES).astype(np.float64) for _, b in rows], labels)
-    else:
-        net.p["c"][:] = 0
-        net.p["b"][:] = 30 if labels.any() else -30
-    model = spark.sparkContext.broadcast((net.mean, net.spread, net.p))
+    spark = docs.sparkSession
+
+    def fit(rows: list[memoryview], truth: np.ndarray) -> bytes:
+        net = GatedAttention(FEATURES)
+        if len(set(truth)) == 2:
+            net.fit([np.frombuffer(b, "<f4").reshape(-1, FEATURES) for b in rows], truth)
+        else:
+            net.p["c"][:] = 0
+            net.p["b"][:] = 30 if truth.any() else -30
+        return pickle.dumps((net.mean, net.spread, net.p))
+
+    scratch = Scratch(spark, "quality")
+    net = pickle.loads(learned(_features(labelled_sample(docs, labels, label, bound), label), "passages", most, fit, scratch))
+    scratch.drop()
+    model = spark.sparkContext.broadcast(net)
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         own = GatedAttention(FEATURES)
         own.mean, own.spread, own.p = model.value
         for texts in batches:
-            yield pd.Series(own.forward(*passages(texts.tolist()))[0] if len(texts) else np.zeros(0))
+            texts = texts.tolist()
+            got = np.zeros(len(texts))
+            for a, b in cuts(np.fromiter((len(t or "") for t in texts), np.int64, len(texts)), size=TEXT):
+                got[a:b] = own.forward(*passages(texts[a:b]))[0]
+            yield pd.Series(got)
 
     return score
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality of every document; learned from labels outside the held-out fold."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    score = quality_model(labelled_documents(docs, labels, "quality"))
+    score = quality_model(docs, teaching(labels))
     out = docs.select("doc_id", (fold(5) == 0).alias("held_out"), score("text").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.3).cast("int"))

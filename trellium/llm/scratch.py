@@ -1,16 +1,35 @@
-"""Intermediate tables, and the size of batches that go to Python."""
+"""Intermediate tables, and the size of batches that Python works on."""
 
 from __future__ import annotations
 
-from pyspark.sql import SparkSession
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from ..shared import Scratch, shared_folder
 
-__all__ = ["Scratch", "shared_folder", "small_batches"]
+__all__ = ["Scratch", "cuts", "shared_folder", "slices"]
+
+#: Rows and bytes of text that Python works on at once; a text that is longer stands alone.
+ROWS, BYTES = 512, 4 << 20
+
+
+def cuts(lengths: np.ndarray, rows: int = ROWS, size: int = BYTES) -> Iterator[tuple[int, int]]:
+    """Ranges of so many rows, and of so many bytes together, at most; at least a row each."""
+    total = np.concatenate([[0], np.cumsum(lengths)])
+    at = 0
+    while at < len(lengths):
+        stop = int(np.searchsorted(total, total[at] + size, side="right")) - 1
+        stop = max(at + 1, min(stop, at + rows, len(lengths)))
+        yield at, stop
+        at = stop
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
-    """Keep Arrow batches of whole texts small: by default 10,000 rows go to Python at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if int(spark.conf.get(key)) > rows or int(spark.conf.get(key)) <= 0:
-        spark.conf.set(key, str(rows))
+def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = ROWS, size: int = BYTES) -> Iterator[pa.RecordBatch]:
+    """The batches, which Spark bounds by rows and by bytes for all its tables alike, in parts with little text in a column."""
+    for batch in batches:
+        lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+        for a, b in cuts(lengths, rows, size):
+            yield batch.slice(a, b - a)

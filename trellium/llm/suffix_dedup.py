@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .rows import text_key
-from .scratch import Scratch, small_batches
+from .scratch import Scratch, slices
 
 #: Bytes of a string that counts as repeated, and of the gram by which equal strings find each other.
 LENGTH, GRAM = 50, 16
@@ -123,7 +123,7 @@ def _fingerprints(buckets: int, length: int):
             held.clear()
             return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), (pa.int32(), pa.bool_(), pa.binary()))], ["bucket", "found", "blob"])
 
-        for batch in batches:
+        for batch in slices(batches, 2):
             row, ident = batch.column(0).to_numpy(), _ids(batch.column(1))
             for text, start, windows, place, h in anchors(_bytes(batch.column(2)), length):
                 held.append(((h % _U(buckets)).astype(np.int64), row[text], place, (place - start) << 8 | windows, ident[text], h))
@@ -390,9 +390,7 @@ def _runs(buckets: int, length: int):
             )
 
         count = 0
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in slices(batches, 2):
             row, ident, data = batch.column(0).to_numpy(), _ids(batch.column(1)), _bytes(batch.column(2))
             kept = [np.unique(np.frombuffer(x, _SHARED)["both"]).astype(np.int64) for x in batch.column(3).to_pylist()]
             text, both = np.repeat(np.arange(len(kept)), [len(x) for x in kept]), np.concatenate(kept)
@@ -488,7 +486,7 @@ def covered(n: int, found: bytes, length: int) -> np.ndarray:
 
 def _rest(length: int, with_text: bool):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1):
             out: list[list] = [[], [], [], [], []]
             for data, found in zip(_bytes(batch.column(1)), batch.column(2).to_pylist()):
                 kept = data
@@ -523,7 +521,6 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, with_text: bool = F
         raise ValueError("length must be from 17 to 79")
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "suffix_dedup")
-    small_batches(spark)
     buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.xxhash64("doc_id", text_key()).alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     sent = texts.mapInArrow(_fingerprints(buckets, length), "bucket int, found boolean, blob binary")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,37 +12,41 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .ngrams import alnum_table, blocks, code_points
-from .sampling import bounded_sample, fold
-from .scratch import small_batches
+from .sampling import fold, labelled_sample, learned
+from .scratch import Scratch, cuts, slices
 
 ORDERS, BITS, WIDTH = (3, 4, 5), 18, 8
-#: Documents of each label that are learned from, about; see bounded_sample.
-TRAIN_BOUND = 4_000
+#: Documents of each label that are learned from, about, and bytes of their subwords; see labelled_sample and within_bytes.
+TRAIN_BOUND, TRAIN_BYTES = 4_000, 192 << 20
 EPOCHS, BATCH, RATE, DECAY = 12, 128, 0.05, 1e-6
 #: Subwords of embedding zero that count in every average, so that a handful of them decides little.
 PRIOR = 60
 
 
 def bags(rows: DataFrame, label: str, bits: int = BITS) -> DataFrame:
-    """label, buckets, counts: the subwords of each text, as bytes of int32 and of float32."""
-    small_batches(rows.sparkSession)
+    """doc_id, label, bag: the subwords of each text, as bytes of int32 buckets and then uint16 counts, 65,535 at most."""
 
     def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = alnum_table()
-        for batch in batches:
-            buckets, counts = [], []
-            for text in batch.column(1).to_pylist():
+        for batch in slices(batches, 2):
+            bag = []
+            for text in batch.column(2).to_pylist():
                 points, begins = code_points([text], table)
                 all_of = [b[c] for n in ORDERS for b, c, _, _ in blocks(points, begins, n, bits, True)]
                 bucket, count = np.unique(np.concatenate(all_of), return_counts=True)
-                buckets.append(bucket.astype("<i4").tobytes())
-                counts.append(count.astype("<f4").tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(buckets, pa.binary()), pa.array(counts, pa.binary())], ["label", "buckets", "counts"])
+                bag.append(bucket.astype("<i4").tobytes() + np.minimum(count, 65_535).astype("<u2").tobytes())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(bag, pa.binary())], ["doc_id", "label", "bag"])
 
-    return rows.select(F.col(label).cast("int"), "text").mapInArrow(take, "label int, buckets binary, counts binary")
+    return rows.select(F.col("doc_id").cast("long"), F.col(label).cast("int"), "text").mapInArrow(take, "doc_id long, label int, bag binary")
 
 
-def train(bag: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: int = BITS, seed: int = 11) -> tuple[np.ndarray, float]:
+def opened(bag: memoryview) -> tuple[np.ndarray, np.ndarray]:
+    """Buckets and counts of a bag, as views."""
+    n = len(bag) // 6
+    return np.frombuffer(bag, "<i4", n), np.frombuffer(bag, "<u2", n, 4 * n)
+
+
+def train(bag: list[memoryview], labels: np.ndarray, bits: int = BITS, seed: int = 11) -> tuple[np.ndarray, float]:
     """Fit subword vectors and a softmax over their average together; the logit of each subword and the bias.
 
     Softmax of two classes is a logistic on the difference of their weights, so E (subwords by WIDTH) and one weight
@@ -58,9 +63,10 @@ def train(bag: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, bits: in
         order = rng.permutation(len(bag))
         for at in range(0, len(order), BATCH):
             rows = order[at : at + BATCH]
-            of = np.repeat(np.arange(len(rows)), [len(bag[r][0]) for r in rows])
-            bucket = np.concatenate([bag[r][0] for r in rows])
-            part = np.concatenate([bag[r][1] / (bag[r][1].sum() + PRIOR) for r in rows]).astype(np.float32) * scale
+            own = [opened(bag[r]) for r in rows]
+            of = np.repeat(np.arange(len(rows)), [len(b) for b, _ in own])
+            bucket = np.concatenate([b for b, _ in own])
+            part = np.concatenate([c / (c.sum(dtype=np.int64) + PRIOR) for _, c in own]).astype(np.float32) * scale
             used, slot = np.unique(bucket, return_inverse=True)
             logit = np.bincount(of, weights=part * (embed[used] @ weight)[slot], minlength=len(rows)) + bias
             error = ((1 / (1 + np.exp(-np.clip(logit, -30, 30)))) - labels[rows]).astype(np.float32) / len(rows)
@@ -90,42 +96,48 @@ def logits(texts: list[str | None], subwords: np.ndarray, bias: float, table: np
     return total / (number + PRIOR) + bias
 
 
-def toxicity_model(labelled: DataFrame, *, label: str = "toxic", bound: int = TRAIN_BOUND):
+def toxicity_model(docs: DataFrame, labels: DataFrame, *, label: str = "toxic", bound: int = TRAIN_BOUND, most: int = TRAIN_BYTES):
     """A function from a column of texts to their toxicity, from 0 to 1.
 
-    It is learned from labelled (doc_id, text and a label 0 or 1), about `bound` documents of each label; rows without
-    text or label teach nothing. Null and empty texts, and those without a letter or digit, get the score of an empty
-    bag. With no rows to learn from, or of one label only, every score is that label's share, 0 without any.
+    It is learned from docs (doc_id, text) whose id has a label 0 or 1 in labels (doc_id, label), about `bound`
+    documents of each label and at most about `most` bytes of subwords in all; rows without text or label, and ids
+    whose labels disagree, teach nothing, and rows that repeat count once. Null and empty texts, and those without a
+    letter or digit, get the score of an empty bag. With no rows to learn from, or of one label only, every score is
+    that label's share, 0 without any. Other columns are ignored.
     """
-    spark = labelled.sparkSession
-    small_batches(spark)
-    teach = labelled.where(F.col("text").isNotNull() & F.col(label).isin(0, 1)).select("doc_id", "text", F.col(label).cast("int").alias(label))
-    rows = sorted((r.label, bytes(r.buckets), bytes(r.counts)) for r in bags(bounded_sample(teach, label, bound), label).collect())
-    labels = np.array([r[0] for r in rows], dtype=np.float32)
-    if len(set(labels)) == 2:
-        subwords, bias = train([(np.frombuffer(b, "<i4"), np.frombuffer(c, "<f4")) for _, b, c in rows], labels)
-    else:
-        subwords, bias = np.zeros(2**BITS, np.float32), 30.0 if labels.any() else -30.0
+    spark = docs.sparkSession
+
+    def fit(bag: list[memoryview], truth: np.ndarray) -> bytes:
+        if len(set(truth)) == 2:
+            return pickle.dumps(train(bag, truth.astype(np.float32)))
+        return pickle.dumps((np.zeros(2**BITS, np.float32), 30.0 if truth.any() else -30.0))
+
+    scratch = Scratch(spark, "toxicity")
+    subwords, bias = pickle.loads(learned(bags(labelled_sample(docs, labels, label, bound), label), "bag", most, fit, scratch))
+    scratch.drop()
     model = spark.sparkContext.broadcast((subwords, bias))
 
     @F.pandas_udf("double")
     def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         table = alnum_table()
         for texts in batches:
-            got = logits(texts.tolist(), *model.value, table) if len(texts) else np.zeros(0)
+            texts = texts.tolist()
+            got = np.zeros(len(texts))
+            for a, b in cuts(np.fromiter((len(t or "") for t in texts), np.int64, len(texts))):
+                got[a:b] = logits(texts[a:b], *model.value, table)
             yield pd.Series(1 / (1 + np.exp(-np.clip(got, -30, 30))))
 
     return score
 
 
-def labelled_documents(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
-    """doc_id, text, label of the labelled rows that may teach: those whose fold of five is not 0."""
-    marks = labels.select("doc_id", label).where(F.col(label).isNotNull() & (fold(5) != 0)).dropDuplicates(["doc_id"])
-    return docs.select("doc_id", "text").join(marks, "doc_id")
+def teaching(labels: DataFrame) -> DataFrame:
+    """The rows of labels that may teach in the registered queries: those whose fold of five is not 0."""
+    return labels.where(fold(5) != 0)
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document; learned from labels outside the held-out fold."""
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    score = toxicity_model(labelled_documents(docs, labels, "toxic"))
+    score = toxicity_model(docs, teaching(labels))
     out = docs.select("doc_id", (fold(5) == 0).alias("held_out"), score("text").alias("score"))
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
