@@ -11,7 +11,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from trellium.llm import chat, decontamination, exact_dedup, language_id, near_dedup, packing, quality, sampling, scratch, sharding, suffix_dedup, toxicity
+from trellium.llm import chat, components, decontamination, exact_dedup, language_id, near_dedup, packing, quality, sampling, scratch, sharding, suffix_dedup, toxicity
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept string, row string"
 LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(20_000))
@@ -58,9 +58,62 @@ def test_near_duplicates(spark, odd):
     assert near_dedup.near_duplicates(table(spark, [], True)).count() == 0
 
 
+def _families(seed=4):
+    """300 near copies of one text, so large nodes; 250 of a template (57 % alike, no links) with 60 pairs at 75 to 80 %; 300 pairs of their own."""
+    rng = np.random.default_rng(seed)
+    rows, word = [], lambda: f"w{rng.integers(10**9)}"
+    base = [word() for _ in range(160)]
+    for _ in range(300):
+        own = list(base)
+        for k in rng.choice(160, 2, replace=False):
+            own[k] = word()
+        rows.append(own)
+    frame = [word() for _ in range(120)]
+    for _ in range(250):
+        rows.append(frame + [word() for _ in range(46)])
+    for other in list(rows[300:360]):
+        rows.append(other[:-20] + [word() for _ in range(int(rng.integers(14, 21)))])
+    for _ in range(300):
+        own = [word() for _ in range(100)]
+        rows += [own, [*own[: int(rng.integers(88, 93))], *[word() for _ in range(9)]]]
+    order = rng.permutation(len(rows))
+    return [(int(i), " ".join(rows[k])) for i, k in enumerate(order)]
+
+
+@pytest.mark.parametrize("small, local, few, group", [(96, 4096, 500_000, 1000), (16, 64, 0, 40)])
+def test_recall_against_brute_force(spark, monkeypatch, small, local, few, group):
+    """Links within and without large nodes, in one task and level by level over all, are found; none is made up."""
+    for name, value in (("SMALL", small), ("LOCAL", local), ("GROUP", group), ("STRAYS", small)):
+        monkeypatch.setattr(near_dedup, name, value)
+    monkeypatch.setattr(components, "FEW", few)
+    rows = _families()
+    want = brute_components(rows)
+    got = {r.doc_id: r.component_id for r in near_dedup.near_duplicates(table(spark, rows)).collect()}
+    linked = [i for (i, _), c in zip(rows, want) if c != i]
+    assert len(linked) > 400 and all(got[i] == i for (i, _), c in zip(rows, want) if want.count(i) == 1 and c == i)
+    assert sum(got[i] == want[i] for i in linked) >= 0.99 * len(linked)
+
+
+def test_trees_follow_recall():
+    counts = [near_dedup.trees(r) for r in (0.5, 0.9, 0.99, 0.9995)]
+    assert counts == sorted(counts) and counts[0] >= 1 and near_dedup.trees(0.99, 95) < near_dedup.trees(0.99, 75)
+
+
+@settings(max_examples=50, deadline=None)
+@given(st.lists(st.tuples(st.integers(0, 30), st.integers(0, 30)), max_size=60))
+def test_roots(edges):
+    a, b = (np.array([e[i] for e in edges], np.int64) for i in (0, 1))
+    least = {n: n for e in edges for n in e}
+    for _ in least:
+        for x, y in edges:
+            least[x] = least[y] = min(least[x], least[y])
+    assert dict(zip(*(x.tolist() for x in components.roots(a, b)))) == least
+
+
 def test_large_groups_are_compared_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "GROUP", 8)
     monkeypatch.setattr(near_dedup, "SMALL", 4)
+    monkeypatch.setattr(near_dedup, "LOCAL", 12)
     base = [f"a{i}" for i in range(200)]
     rows = []
     for i in range(60):

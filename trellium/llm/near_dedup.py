@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import struct
 from collections.abc import Iterator
 
 import numpy as np
@@ -16,10 +17,13 @@ from .rows import bounded, text_key
 from .scratch import Scratch, slices
 
 SHINGLE, PERCENT = 5, 75
-#: Trees, and minwise functions for the later levels of all trees.
-TREES, DEEPER = 12, 20
-#: Documents of a node that are compared exhaustively, levels of a tree, and places of the sketch that prunes in nodes.
-SMALL, LEVELS, SKETCH = 96, 6, 64
+#: Share of the pairs at the threshold that the forest finds at least, by which trees are counted.
+RECALL = 0.9995
+#: Levels below a tree's root; each has two minwise functions of its own in every tree.
+DEEP = 4
+#: Documents of a node that are compared exhaustively, that one task branches further by itself, and places of the
+#: sketch that prunes in nodes.
+SMALL, LOCAL, SKETCH = 96, 4096, 64
 #: Pairs whose sketches agree in a smaller share are not looked at again: 5 standard deviations under 75 %.
 LIKELY = 0.47
 #: Those that agree with a large node's pivot in this share leave the node: whoever is linked with them is likely to be
@@ -27,8 +31,8 @@ LIKELY = 0.47
 ALIKE = 0.85
 #: Documents that one task compares at once; larger groups are dealt into blocks of that size.
 GROUP = 1_000
-#: A large node with so many documents at most outside its most frequent label is settled by comparing these with all
-#: of it, in blocks of so many.
+#: A node too large for a task with so many documents at most outside its most frequent label is settled by comparing
+#: these with all of it, in blocks of so many.
 STRAYS, BLOCK = 512, 2048
 
 _U = np.uint64
@@ -57,39 +61,62 @@ def shingles(text: str | None, n: int = SHINGLE) -> np.ndarray:
     return np.unique(_mixed(out))
 
 
-def _functions() -> tuple[np.ndarray, np.ndarray]:
+def trees(recall: float = RECALL, percent: int = PERCENT) -> int:
+    """Trees by which a pair at the threshold is found with probability recall.
+
+    It shares a minwise token, and so a root, with probability s = percent / 100. Below, a node branches by one
+    function or by two, evenly, so what holds for a level with probability p holds for the one above with
+    1 - (1 - s p) / 2 - (1 - s p)^2 / 2. Pairs that are more alike are found more often, and nodes that are compared
+    before the last level lose fewer.
+    """
+    s, p = percent / 100, 1.0
+    for _ in range(DEEP):
+        p = 1 - (1 - s * p) / 2 - (1 - s * p) ** 2 / 2
+    return 1 if s * p >= 1 else max(1, int(np.ceil(np.log(1 - recall) / np.log(1 - s * p))))
+
+
+def _functions(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of n trees: the roots' functions, then two for each level of each tree, then the sketch's."""
     rng = np.random.default_rng(97)
-    n = TREES + DEEPER + SKETCH
+    n += 2 * DEEP * n + SKETCH
     return rng.integers(0, 2**32, n, dtype=np.uint32) | np.uint32(1), rng.integers(0, 2**32, n, dtype=np.uint32)
 
 
-def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    factor, shift = _functions()
-    for batch in slices(batches, 1):
-        number, digest, tokens, sketch = [], [], [], []
-        for text in batch.column(1).to_pylist():
-            own = shingles(text)
-            number.append(len(own))
-            digest.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
-            least = np.full(len(factor), 2**32 - 1, np.uint32)
-            x = (own >> _U(32)).astype(np.uint32)
-            for at in range(0, len(x), 4096):
-                part = x[at : at + 4096]
-                np.minimum(least, (factor[:, None] * part[None, :] + shift[:, None]).min(axis=1), out=least)
-            tokens.append(least[: TREES + DEEPER].view(np.int32))
-            sketch.append(_mixed(least[TREES + DEEPER :].astype(np.uint64)).astype("<u2").tobytes())
-        lists = pa.ListArray.from_arrays(pa.array(np.arange(len(tokens) + 1) * (TREES + DEEPER), pa.int32()), pa.array(np.concatenate(tokens) if tokens else [], pa.int32()))
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(0), batch.column(2), pa.array(number, pa.int64()), pa.array(digest, pa.binary()), lists, pa.array(sketch, pa.binary())],
-            ["doc_id", "text_key", "n_shingles", "digest", "tokens", "sketch"],
-        )
+def _sketches(n: int):
+    def take(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        factor, shift = _functions(n)
+        for batch in slices(batches, 1):
+            number, digest, first, deeper, sketch = [], [], [], [], []
+            for text in batch.column(1).to_pylist():
+                own = shingles(text)
+                number.append(len(own))
+                digest.append(xxhash.xxh3_128_digest(own.tobytes()) if len(own) else None)
+                least = np.full(len(factor), 2**32 - 1, np.uint32)
+                x = (own >> _U(32)).astype(np.uint32)
+                for at in range(0, len(x), 2048):
+                    part = x[at : at + 2048]
+                    np.minimum(least, (factor[:, None] * part[None, :] + shift[:, None]).min(axis=1), out=least)
+                first.append(least[:n].view(np.int32))
+                deeper.append(least[n:-SKETCH].astype("<u4").tobytes())
+                sketch.append(_mixed(least[-SKETCH:].astype(np.uint64)).astype("<u2").tobytes())
+            lists = pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1) * n, pa.int32()), pa.array(np.concatenate(first) if first else [], pa.int32()))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), batch.column(2), pa.array(number, pa.int64()), pa.array(digest, pa.binary()), lists, pa.array(deeper, pa.binary()), pa.array(sketch, pa.binary())],
+                ["doc_id", "text_key", "n_shingles", "digest", "roots", "deeper", "sketch"],
+            )
+
+    return take
+
+
+def _marks(column: pa.Array, kind: str, n: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(-1, n)
 
 
 def _shares(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """path, node, least, label, tokens, sketch, pivot -> share for pivot: in how much a sketch agrees with the pivot's."""
+    """path, least, node, label, deeper, sketch, pivot -> share for pivot: in how much a sketch agrees with the pivot's."""
     for batch in batches:
         if batch.num_rows:
-            own, pivot = (np.frombuffer(b"".join(batch.column(i).to_pylist()), "<u2").reshape(-1, SKETCH) for i in (5, 6))
+            own, pivot = (_marks(batch.column(i), "<u2", SKETCH) for i in (5, 6))
             yield pa.RecordBatch.from_arrays([*batch.columns[:6], pa.array((own == pivot).mean(axis=1))], [*batch.schema.names[:6], "share"])
 
 
@@ -124,33 +151,73 @@ def _stars(node: np.ndarray, comp: np.ndarray, met: np.ndarray) -> tuple[np.ndar
     return first[first != node], node[first != node]
 
 
-def _likely_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """path, node, sketch, label, sorted by path -> a, b: in each path, what chains of likely pairs connect, as stars.
+def _compare(rows: np.ndarray, marks: np.ndarray, comp: np.ndarray, met: np.ndarray) -> None:
+    """Join the components of all likely pairs among rows; rows of one component are not compared."""
+    own = marks[rows]
+    for k in range(1, len(rows)):
+        other = np.flatnonzero(comp[rows[:k]] != comp[rows[k]])
+        _join(rows[k], rows[other[(own[other] == own[k]).sum(axis=1) >= LIKELY * SKETCH]], comp, met)
 
-    Nodes of one label are known to be connected and not compared.
-    """
-    need = LIKELY * SKETCH
-    for table in _groups(batches):
-        path, node, label = (table.column(i).to_numpy() for i in (0, 1, 3))
-        marks = np.frombuffer(b"".join(table.column(2).to_pylist()), "<u2").reshape(-1, SKETCH)
-        edges = _bounds(path)
-        size = np.diff(edges)
-        two = edges[:-1][size == 2]
-        two = two[(marks[two] == marks[two + 1]).sum(axis=1) >= need]
-        a, b = [node[two]], [node[two + 1]]
-        for k in np.flatnonzero(size > 2):
-            lo, hi = edges[k], edges[k + 1]
-            own, comp, met = marks[lo:hi], np.unique(label[lo:hi], return_inverse=True)[1], np.zeros(hi - lo, bool)
-            for i in range(1, hi - lo):
-                other = np.flatnonzero(comp[:i] != comp[i])
-                hit = other[(own[other] == own[i]).sum(axis=1) >= need]
-                if len(hit):
-                    met[hit] = met[i] = True
-                    for c in np.unique(comp[hit]):
-                        comp[comp == c] = comp[i]
-            for x, y in zip((a, b), _stars(node[lo:hi], comp, met)):
-                x.append(y)
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+def _join(row: int, hit: np.ndarray, comp: np.ndarray, met: np.ndarray) -> None:
+    hit = hit[comp[hit] != comp[row]]
+    if len(hit):
+        met[hit] = met[row] = True
+        comp[np.isin(comp, comp[hit])] = comp[row]
+
+
+def _branched(path: int, level: int, deeper: np.ndarray, marks: np.ndarray, comp: np.ndarray, met: np.ndarray) -> None:
+    """Join the components of likely pairs that the subtree of a node finds; a node of one component ends."""
+    todo = [(np.arange(len(comp)), level, path)]
+    while todo:
+        rows, level, path = todo.pop()
+        if (comp[rows] == comp[rows[0]]).all():
+            continue
+        if len(rows) <= SMALL:
+            _compare(rows, marks, comp, met)
+            continue
+        agree = (marks[rows] == marks[rows[0]]).sum(axis=1)
+        last = level == DEEP
+        _join(rows[0], rows if last else rows[agree >= LIKELY * SKETCH], comp, met)
+        rest = rows[agree < ALIKE * SKETCH]
+        for branch in range(0 if last else 1 + (path & 1)):
+            order = np.argsort(deeper[rest, 2 * level + branch], kind="stable")
+            edges = _bounds(deeper[rest[order], 2 * level + branch])
+            for lo, hi in zip(edges[:-1], edges[1:]):
+                if hi - lo > 1:
+                    some = rest[order[lo:hi]]
+                    below = struct.pack("<QBI", path & (2**64 - 1), 2 * level + branch, deeper[some[0], 2 * level + branch])
+                    todo.append((some, level + 1, xxhash.xxh3_64_intdigest(below)))
+
+
+def _likely_links(level: int | None):
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """path, node, label, deeper, sketch, sorted by path -> a, b: in each path, what chains of likely pairs connect, as stars.
+
+        Nodes of one label are known to be connected. Of a level, larger nodes are branched; without one, every pair
+        is compared.
+        """
+        for table in _groups(batches):
+            path, node, label = (table.column(i).to_numpy() for i in (0, 1, 2))
+            marks = _marks(table.column(4), "<u2", SKETCH)
+            deeper = None if level is None else _marks(table.column(3), "<u4", 2 * DEEP)
+            edges = _bounds(path)
+            size = np.diff(edges)
+            two = edges[:-1][size == 2]
+            two = two[(label[two] != label[two + 1]) & ((marks[two] == marks[two + 1]).sum(axis=1) >= LIKELY * SKETCH)]
+            a, b = [node[two]], [node[two + 1]]
+            for k in np.flatnonzero(size > 2):
+                lo, hi = edges[k], edges[k + 1]
+                comp, met = np.unique(label[lo:hi], return_inverse=True)[1], np.zeros(hi - lo, bool)
+                if level is None:
+                    _compare(np.arange(hi - lo), marks[lo:hi], comp, met)
+                else:
+                    _branched(int(path[lo]), level, deeper[lo:hi], marks[lo:hi], comp, met)
+                for x, y in zip((a, b), _stars(node[lo:hi], comp, met)):
+                    x.append(y)
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], ["a", "b"])
+
+    return link
 
 
 def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -227,72 +294,75 @@ def _by_key(df: DataFrame, key: str, function, schema: str) -> DataFrame:
     return df.repartition(key).sortWithinPartitions(key).mapInArrow(function, schema)
 
 
-def candidate_links(reps: DataFrame, scratch: Scratch) -> DataFrame:
-    """a, b: links of the chosen-path forest over reps (node, tokens, sketch).
+_PATHS = "path long, least long, node long, label long, deeper binary, sketch binary"
+
+
+def candidate_groups(reps: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, root: what the links of the chosen-path forest over reps (node, roots, deeper, sketch) connect.
+
+    In the root of a tree a document chooses the path of its least token under the tree's function; documents in a node
+    of up to SMALL are compared by sketch exhaustively. In a larger node all are compared with its first document, the
+    pivot; likely pairs are linked, and what is nearly the pivot need not go on. The others branch by their least token
+    under one or two functions of this level and tree, as the path draws, level by level: for pairs at the threshold
+    more than one child on average holds both, while those of little in common part. What is still together after the
+    last level agrees almost wholly and is linked as it is.
 
-    In the root of tree t a document chooses the path of its least token under function t; documents in a node of up
-    to SMALL are compared by sketch exhaustively. In a larger node all are compared with its first document, the pivot;
-    likely pairs are linked, and what is nearly the pivot need not go on. The others branch by their least token under
-    one or two further functions, as the path draws, level by level: for pairs at the threshold more than one child
-    on average holds both, while those of little in common part. What is still together after the last level agrees almost
-    wholly and is linked as it is. What the first level connects is labelled, and nodes of a single label go no further:
-    their links would connect nothing new. Nor do those with few documents outside their most frequent label, once
-    these are compared with the whole node.
+    A node of up to LOCAL documents is branched to the end by one task. A larger one takes its step over all tasks; what
+    has been connected so far is labelled, and nodes of a single label go no further: their links would connect nothing
+    new. Nor do those with few documents outside their most frequent label, once these are compared with the whole node.
     """
-    marks = reps.select("node", "sketch")
-    members = reps.select("node", F.posexplode(F.slice("tokens", 1, TREES)).alias("tree", "token")).select("node", F.xxhash64("tree", "token").alias("path"), F.col("node").alias("label"))
-    links = []
-    several = F.min("label") < F.max("label")
-    for level in range(LEVELS):
-        # Below the roots there are few rows, which carry what else would be joined to them at each level.
-        pivot = [F.min_by("sketch", "node").alias("pivot")] if level else []
-        counted = members.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("least"), several.alias("several"), *pivot).where("several").drop("several")
-        members = scratch.save(members.join(counted, "path"), f"level-{level}")
-        leaves, large = members.where(F.col("n") <= SMALL), members.where(F.col("n") > SMALL)
-        leaves = (leaves if level else leaves.join(marks, "node")).select("path", "node", "sketch", "label")
-        links.append(scratch.save(_by_key(leaves, "path", _likely_links, "a long, b long").distinct(), f"links-{level}"))
+    members = reps.select("node", F.posexplode("roots").alias("tree", "token")).select("node", "tree", F.xxhash64("tree", "token").alias("path"))
+    counted = members.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("least")).where("n > 1")
+    own = F.substring("deeper", F.col("tree") * (8 * DEEP) + 1, 8 * DEEP).alias("deeper")
+    members = members.join(counted, "path").join(reps.drop("roots"), "node").select("path", "n", "least", "node", F.col("node").alias("label"), own, "sketch")
+    members = scratch.save(members, "level-0")
+    known = None
+    for level in range(DEEP + 1):
+        fitting = members.where(F.col("n") <= LOCAL).select("path", "node", "label", "deeper", "sketch")
+        links = scratch.save(_by_key(fitting, "path", _likely_links(level), "a long, b long"), f"links-{level}")
+        if known is not None:
+            links = links.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b")))
+        large = members.where(F.col("n") > LOCAL)
         if large.isEmpty():
-            break
-        if not level:
-            pivots = marks.select(F.col("node").alias("least"), F.col("sketch").alias("pivot")).join(large.select("path", "least").distinct(), "least").drop("least")
-            large = large.join(reps, "node").join(pivots, "path")
-        beside = large.select("path", "node", "least", "label", "tokens", "sketch", "pivot")
-        beside = scratch.save(beside.mapInArrow(_shares, "path long, node long, least long, label long, tokens array<int>, sketch binary, share double"), f"large-{level}")
-        last = level == LEVELS - 1
-        links.append(beside.where(F.lit(last) | (F.col("share") >= LIKELY)).select(F.col("least").alias("a"), F.col("node").alias("b")).distinct())
-        if level == 0:
-            known = scratch.save(components(links[0].unionByName(links[1]), scratch, "early"), "early")
-            links = [known.select(F.col("node").alias("a"), F.col("root").alias("b"))]
-            beside = beside.drop("label").join(known, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
-            parts = beside.groupBy("path", "label").agg(F.count("*").alias("part")).groupBy("path")
-            parts = parts.agg(F.max_by("label", F.struct("part", "label")).alias("main"), F.sum("part").alias("n"), (F.sum("part") - F.max("part")).alias("strays")).where("strays > 0")
-            beside = scratch.save(beside.join(parts, "path"), "several")
-            blocks = F.ceil(F.col("n") / BLOCK)
-            block = F.when(F.col("label") != F.col("main"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(6)), blocks)))
-            few = beside.where(F.col("strays") <= STRAYS).withColumn("block", F.explode(block))
-            few = few.select(F.xxhash64("path", "block").alias("path"), "node", "sketch", "label")
-            links.append(scratch.save(_by_key(few, "path", _likely_links, "a long, b long").distinct(), "strays"))
-            beside = beside.where(F.col("strays") > STRAYS)
-        more = F.pmod(F.xxhash64("path", F.lit(level)), F.lit(2)) == 0
-        branch = F.explode(F.when(more, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
-        at = F.lit(TREES) + F.pmod(F.xxhash64("path", "branch", F.lit(level)), F.lit(DEEPER)).cast("int")
-        members = beside.where(F.col("share") < ALIKE).withColumn("branch", branch).withColumn("at", at)
-        members = members.select("node", F.xxhash64("path", "branch", "at", F.get("tokens", F.col("at"))).alias("path"), "label", "tokens", "sketch")
-    out = links[0]
-    for more in links[1:]:
-        out = out.unionByName(more)
-    return out
-
-
-def _confirm_large(texts: DataFrame, sizes: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
-    """Confirmed links of groups of over GROUP nodes. texts: blob, node, text; sizes: blob, n.
+            return components(links, scratch, f"known-{level}")
+        pivots = large.where("node = least").select("path", F.col("sketch").alias("pivot")).dropDuplicates(["path"])
+        beside = large.join(pivots, "path").select("path", "least", "node", "label", "deeper", "sketch", "pivot")
+        beside = scratch.save(beside.mapInArrow(_shares, f"{_PATHS}, share double"), f"large-{level}")
+        last = level == DEEP
+        links = links.unionByName(beside.where(F.lit(last) | (F.col("share") >= LIKELY)).select(F.col("least").alias("a"), F.col("node").alias("b")))
+        known = components(links, scratch, f"known-{level}")
+        if last:
+            return known
+        beside = beside.drop("label").join(known, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root")
+        parts = beside.groupBy("path", "label").agg(F.count("*").alias("part")).groupBy("path")
+        parts = parts.agg(F.max_by("label", F.struct("part", "label")).alias("main"), F.sum("part").alias("n"), (F.sum("part") - F.max("part")).alias("strays")).where("strays > 0")
+        beside = scratch.save(beside.join(parts, "path"), f"several-{level}")
+        if beside.isEmpty():
+            return known
+        blocks = F.ceil(F.col("n") / BLOCK)
+        block = F.when(F.col("label") != F.col("main"), F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(6)), blocks)))
+        few = beside.where(F.col("strays") <= STRAYS).withColumn("block", F.explode(block))
+        few = few.select(F.xxhash64("path", "block").alias("path"), "node", "label", "deeper", "sketch")
+        strays = scratch.save(_by_key(few, "path", _likely_links(None), "a long, b long"), f"strays-{level}")
+        known = components(strays.unionByName(known.select(F.col("node").alias("a"), F.col("root").alias("b"))), scratch, f"all-{level}")
+        branch = F.explode(F.when(F.col("path") % 2 != 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0))))
+        rest = beside.where((F.col("strays") > STRAYS) & (F.col("share") < ALIKE)).withColumn("branch", branch)
+        token = F.expr(f"substring(deeper, 4 * ({2 * level} + branch) + 1, 4)")
+        rest = rest.select("node", "label", "deeper", "sketch", F.xxhash64("path", "branch", token).alias("path"))
+        counted = rest.groupBy("path").agg(F.count("*").alias("n"), F.min("node").alias("least"), (F.min("label") < F.max("label")).alias("several")).where("several").drop("several")
+        members = scratch.save(rest.join(counted, "path"), f"level-{level + 1}")
+    return known
+
+
+def _confirm_large(texts: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """node, root: what confirmed links connect in groups of over GROUP nodes. texts: blob, n, node, text.
 
     First the nodes of every block are compared with each other and with a few that all blocks share; as soon as two
     are connected they need no more comparisons. Then what is not connected with the largest component of its blob is
     compared with all blocks, block by block; so no pair is left out, though most need no look.
     """
     blocks = F.ceil(F.col("n") / (GROUP // 2))
-    dealt = texts.join(sizes, "blob").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), blocks))
+    dealt = scratch.save(texts, "large-texts").withColumn("block", F.pmod(F.xxhash64("node", F.lit(3)), blocks))
     shared = F.pmod(F.xxhash64("node", F.lit(4)), F.col("n")) < 8
     spread = dealt.withColumn("block", F.explode(F.when(shared, F.sequence(F.lit(0).cast("long"), blocks - 1)).otherwise(F.array("block"))))
     rows = spread.select(F.xxhash64("blob", "block").alias("key"), "node", F.col("node").alias("label"), F.lit(False).alias("minor"), "text")
@@ -301,6 +371,9 @@ def _confirm_large(texts: DataFrame, sizes: DataFrame, percent: int, scratch: Sc
     labelled = dealt.join(roots, "node", "left").withColumn("label", F.coalesce("root", "node"))
     of = labelled.groupBy("blob", "label").count()
     most = of.groupBy("blob").agg(F.max_by("label", F.struct("count", "label")).alias("main"), F.count("*").alias("parts")).where("parts > 1")
+    most = scratch.save(most, "parted")
+    if most.isEmpty():
+        return roots
     left = labelled.join(most, "blob").withColumn("minor", F.col("label") != F.col("main"))
     counts = left.groupBy("blob").agg(F.count(F.when(F.col("minor"), 1)).alias("minors")).withColumn("rounds", F.ceil(F.col("minors") / (GROUP // 2)))
     left = left.join(counts, "blob").withColumn("round", F.pmod(F.xxhash64("node", F.lit(5)), F.col("rounds")))
@@ -311,18 +384,19 @@ def _confirm_large(texts: DataFrame, sizes: DataFrame, percent: int, scratch: Sc
     pairs = members.where("not minor").unionByName(members.where("minor").withColumn("minor", F.lit(False))).unionByName(minors)
     rows = pairs.groupBy("blob", "round", "block", "node", "label").agg(F.max("minor").alias("minor"), F.first("text").alias("text"))
     rows = rows.select(F.xxhash64("blob", "round", "block").alias("key"), "node", "label", "minor", "text")
-    return first.unionByName(scratch.save(_by_key(rows, "key", _confirmed(percent), "a long, b long"), "sure-2"))
+    more = _by_key(rows, "key", _confirmed(percent), "a long, b long").unionByName(roots.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    return components(more, scratch, "sure-2")
 
 
-def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, scratch: Scratch | None = None) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, recall: float = RECALL, scratch: Scratch | None = None) -> DataFrame:
     """One row for each row of docs: doc_id, n_shingles, component_id, kept, text_key.
 
     Two documents are linked when 100 * |intersection| >= percent * |union| of their sets of five-word shingles;
     component_id is the smallest doc_id that can be reached over links, and one row of each component is kept: that
     with this id. Documents with equal sets are one class, of which a representative takes part: copies are never
     expanded into pairs. The chosen-path forest only says which classes may belong together; every link is confirmed
-    on the full sets. A pair at the threshold misses all TREES roots with probability (1 - percent / 100) ** TREES,
-    6e-8, and is pruned by its sketch with 2e-7; more alike pairs with less.
+    on the full sets. A pair at the threshold shares a leaf of some tree with probability recall at least (see trees);
+    every tree has functions of its own. Its sketch then hides it with 2e-7; more alike pairs are missed less.
 
     A null text counts as empty; documents without words have no shingles and are linked with nothing. Repeated rows
     are of one class. A null doc_id comes after all others; a component of such rows only has a null id. Of rows with
@@ -332,26 +406,26 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, scratch: Scratch
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "near_dedup")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", text_key().alias("text_key"))
-    schema = "doc_id long, text_key long, n_shingles long, digest binary, tokens array<int>, sketch binary"
-    rows = scratch.save(texts.mapInArrow(_sketches, schema).withColumn("row", F.monotonically_increasing_id()), "sketches")
+    schema = "doc_id long, text_key long, n_shingles long, digest binary, roots array<int>, deeper binary, sketch binary"
+    rows = scratch.save(texts.mapInArrow(_sketches(trees(recall, percent)), schema).withColumn("row", F.monotonically_increasing_id()), "sketches")
     smallest = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key", "row")
     classes = rows.where("digest IS NOT NULL").groupBy("digest").agg(F.min(smallest).alias("least"), F.count("*").alias("n"))
-    classes = scratch.save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    reps = classes.select("node", "least.row").join(rows.select("row", "tokens", "sketch"), "row").select("node", "tokens", "sketch")
-    reps = scratch.save(reps, "reps")
+    classes = scratch.save(classes.withColumn("node", F.col("least.row")), "classes")
+    reps = rows.join(classes.select(F.col("node").alias("row")), "row", "left_semi").withColumnRenamed("row", "node")
+    reps = reps.select("node", "roots", "deeper", "sketch")
 
-    blobs = scratch.save(components(candidate_links(reps, scratch), scratch, "blobs").withColumnRenamed("root", "blob"), "blobs")
+    blobs = candidate_groups(scratch.save(reps, "reps"), scratch).withColumnRenamed("root", "blob")
     sizes = scratch.save(blobs.groupBy("blob").agg(F.count("*").alias("n")), "sizes")
     count, most = sizes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.max("n"), F.lit(0))).first()
     active = blobs.join(classes.select("node", F.col("least.doc_id").alias("id"), F.col("least.text_key").alias("key")), "node")
-    active = bounded(scratch.save(active, "active"), count)
-    found = texts.join(active, texts["doc_id"].eqNullSafe(active["id"]) & (texts["text_key"] == active["key"])).select("blob", "node", "text")
-    of = bounded(sizes.where(F.col("n") <= GROUP), count)
-    small = found.join(of, "blob", "left_semi").select(F.col("blob").alias("key"), "node", F.col("node").alias("label"), F.lit(False).alias("minor"), "text")
+    active = bounded(scratch.save(active.join(sizes, "blob"), "active"), count, 40)
+    found = texts.join(active, texts["doc_id"].eqNullSafe(active["id"]) & (texts["text_key"] == active["key"])).select("blob", "n", "node", "text")
+    small = found.where(F.col("n") <= GROUP).select(F.col("blob").alias("key"), "node", F.col("node").alias("label"), F.lit(False).alias("minor"), "text")
+    # A group of up to GROUP is whole in its task, which so knows its components.
     links = scratch.save(_by_key(small, "key", _confirmed(percent), "a long, b long"), "confirmed")
+    roots = links.select(F.col("b").alias("node"), F.col("a").alias("root")).unionByName(links.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct())
     if most > GROUP:
-        links = links.unionByName(_confirm_large(found, bounded(sizes.where(F.col("n") > GROUP), count), percent, scratch))
-    roots = components(links, scratch, "roots")
+        roots = roots.unionByName(_confirm_large(found.where(F.col("n") > GROUP), percent, scratch))
 
     member = classes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     whole = member.groupBy("root").agg(F.min("least").alias("least"), F.sum("n").alias("size")).where("size > 1")
@@ -365,4 +439,5 @@ def near_duplicates(docs: DataFrame, *, percent: int = PERCENT, scratch: Scratch
 
 
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicates among all documents."""
     return near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")).drop("text_key")

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from .scratch import Scratch
 
-#: Rows of two longs that are broadcast at most (about 50 MB); above, both sides are shuffled.
-BROADCAST_ROWS = 1_000_000
+#: Bytes of rows that are broadcast at most; above, both sides are shuffled.
+BROADCAST_BYTES = 16 << 20
 
 
 def text_key(text: str | Column = "text") -> Column:
@@ -16,9 +16,9 @@ def text_key(text: str | Column = "text") -> Column:
     return F.xxhash64(F.col(text) if isinstance(text, str) else text)
 
 
-def bounded(df: DataFrame, n: int) -> DataFrame:
-    """df with a broadcast hint if its n rows, counted before, are few; else as it is."""
-    return F.broadcast(df) if n <= BROADCAST_ROWS else df
+def bounded(df: DataFrame, n: int, width: int = 16) -> DataFrame:
+    """df with a broadcast hint if its n rows of width bytes, both counted before, are small; else as it is."""
+    return F.broadcast(df) if n * width <= BROADCAST_BYTES else df
 
 
 def keep_rows(docs: DataFrame, decisions: DataFrame, scratch: Scratch) -> DataFrame:
