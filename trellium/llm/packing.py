@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +21,8 @@ CAPACITY = 2048
 REMEMBERED = 1_200_000
 #: New words that are encoded as one text; their ids are told apart by where they stand in it.
 LINE = 64
+#: Texts, and bytes of them, that are split together.
+TEXTS, BYTES = 4096, 8 << 20
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -27,42 +31,81 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-def _split(piece: bytes) -> tuple[bytes, bytes]:
-    """A piece as a word and the marks after it, which are matched apart; ASCII words in lower case, as all are taken."""
-    word = piece.rstrip(b".,;:!?")
-    if word == piece or not word or not word[-1:].isalnum():
-        word = piece
-    return word.lower() if word.isascii() and word.isalpha() else word, piece[len(word) :]
+#: Letters that the tokenizer's normaliser only puts in lower case, and of which a run is one match of its pattern.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_WORD = re.compile(f"[{_LETTERS}]+").fullmatch
+#: Marks at the end of a piece are matched apart from a letter or digit before them.
+_MARKED = re.compile(f"(.*[0-9{_LETTERS}])([.,;:!?]+)", re.DOTALL).fullmatch
+
+
+def _byte_letters() -> dict[int, str]:
+    """For letters of _LETTERS beyond ASCII: their UTF-8 bytes as the characters that stand for bytes in byte-level BPE.
+
+    Printable bytes of Latin-1 stand for themselves, the others for the characters from 256 on, in order.
+    """
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in own]
+    sign = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
+    return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
 
 
 def encoder(path: str):
-    """A function from texts to their ids, each as little-endian unsigned 32-bit bytes.
+    """A function from a column of texts to all their ids, little-endian unsigned 32-bit, and where each text's ids end.
 
     The tokenizer drops white space and matches nothing across it, so a text's ids are those of its pieces between
-    ASCII white space, one after the other; each different piece is encoded once, all new ones of the texts together.
+    ASCII white space, one after the other. Arrow splits the texts and numbers the different pieces; what is new among
+    these is encoded, all of it together, and the ids of all pieces are gathered with numpy. Plain words skip the
+    normaliser and the pattern, which would only put them in lower case and match them whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
-    from tokenizers import Tokenizer
-
-    tokenizer, known = Tokenizer.from_file(path), {b"": b""}
+    from tokenizers import Tokenizer, pre_tokenizers
+
+    whole, known = Tokenizer.from_file(path), {"": b""}
+    plain, letters = Tokenizer(whole.model), _byte_letters()
+    plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+
+    def lines(pieces: list[str], tokenizer):
+        parts = [pieces[at : at + LINE] for at in range(0, len(pieces), LINE)]
+        return zip(parts, tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False))
+
+    def keep(part: list[str], ids: list[int], cut: np.ndarray) -> None:
+        data, cut = np.array(ids, dtype="<u4").tobytes(), (4 * cut).tolist()
+        known.update({piece: data[a:b] for piece, a, b in zip(part, cut, cut[1:])})
+
+    def learn(fresh: list[str]) -> None:
+        halves = {}
+        for piece in fresh:
+            word, marks = m.groups() if (m := _MARKED(piece)) else (piece, "")
+            halves[piece] = word.lower() if _WORD(word) else word, marks
+        new = {x for two in halves.values() for x in two if x not in known}
+        words = [x for x in new if _WORD(x) and x.lower() == x]
+        signs = {x if x.isascii() else x.translate(letters): x for x in words}
+        for part, got in lines(list(signs), plain):
+            cut = np.searchsorted(np.array(got.word_ids), np.arange(len(part) + 1))
+            keep([signs[x] for x in part], got.ids, cut)
+        for part, got in lines(list(new.difference(words)), whole):
+            begin = np.cumsum([0, *(len(p) + 1 for p in part)])
+            keep(part, got.ids, np.searchsorted(np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids)), begin))
+        known.update({p: known[a] + known[b] for p, (a, b) in halves.items()})
 
-    def encode(texts: list[str | None]) -> list[bytes]:
-        pieces = [(t or "").encode().split() for t in texts]
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        pieces = pc.ascii_split_whitespace(texts.fill_null(""))
+        number = pieces.flatten().dictionary_encode()
+        different = number.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(known) > REMEMBERED:
             known.clear()
-            known[b""] = b""
-        fresh = {p for own in pieces for p in own if p not in known}
-        split = {p: _split(p) for p in fresh}
-        new = [p.decode() for p in {x for two in split.values() for x in two if x not in known}]
-        parts = [new[at : at + LINE] for at in range(0, len(new), LINE)]
-        for part, got in zip(parts, tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False)):
-            begin = np.cumsum([0, *(len(p) + 1 for p in part)])
-            ids = np.array(got.ids, dtype="<u4")
-            cut = np.searchsorted(np.fromiter((o[0] for o in got.offsets), np.int64, len(ids)), begin).tolist()
-            for k, piece in enumerate(part):
-                known[piece.encode()] = ids[cut[k] : cut[k + 1]].tobytes()
-        known.update({p: known[a] + known[b] for p, (a, b) in split.items()})
-        return [b"".join([known[p] for p in own]) for own in pieces]
+            known[""] = b""
+        fresh = [p for p, ids in zip(different, map(known.get, different)) if ids is None]
+        if fresh:
+            learn(fresh)
+        parts = list(map(known.__getitem__, different))
+        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
+        at = number.indices.to_numpy()
+        length = size[at]
+        stop = np.cumsum(length)
+        first = (np.cumsum(size) - size)[at] - (stop - length)
+        ids = np.frombuffer(b"".join(parts), "<u4")[np.repeat(first, length) + np.arange(length.sum())]
+        return ids, np.concatenate([[0], stop])[np.cumsum(pc.list_value_length(pieces).to_numpy())]
 
     return encode
 
@@ -75,10 +118,11 @@ def token_pieces(docs: DataFrame, path: str, *, capacity: int = CAPACITY, end: i
     """
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, last, width = encoder(path), np.array([end], dtype="<u4").tobytes(), 4 * capacity
-        for batch in slices(batches, 1):
+        for batch in slices(batches, 1, TEXTS, BYTES):
             rows, piece, start, length, crc, ids = [], [], [], [], [], []
-            for i, own in enumerate(encode(batch.column(1).to_pylist())):
-                whole = memoryview(own + last)
+            every, stops = encode(batch.column(1))
+            for i, (a, b) in enumerate(zip([0, *stops[:-1].tolist()], stops.tolist())):
+                whole = memoryview(every[a:b].tobytes() + last)
                 for k, at in enumerate(range(0, len(whole), width)):
                     part = whole[at : at + width]
                     rows.append(i)
@@ -192,4 +236,5 @@ def pack_documents(docs: DataFrame, *, path: str | None = None, capacity: int =
 
 
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents in sequences of at most 2,048 tokens."""
     return pack_documents(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
