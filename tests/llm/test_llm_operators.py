@@ -174,7 +174,9 @@ def test_front_coding_keeps_trailing_nuls():
 def test_decontamination(spark, odd):
     items = [(1, " ".join(LONG.split()[50:75])), (1, "unrelated words"), (2, "kan lot"), (3, None), (None, " ".join(LONG.split()[60:72])), (5, LONG)]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    rows = [(i, t if t is None or len(t) < 5000 else t[:5000]) for i, t in odd]
+    rows = odd + [(40, "a b c d e f g h i j " * 30), (41, "same " * 40)]
+    items += [(6, "same " * 12), (7, "c d e f g h i j a b c d"), (8, "b a")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
     got = decontamination.contamination(table(spark, rows), bench).collect()
     words = lambda t: [w for w in __import__("re").split(decontamination.GAP, (t or "").lower()) if w]
     want = []

@@ -37,6 +37,20 @@ def winnowed(texts: DataFrame, keep: list[str], window: int, gram: int) -> DataF
     return hashed.select(*keep, "words", "hashes", least.alias("least") if per > 1 else F.col("grams").alias("least"))
 
 
+def fingerprints(found: DataFrame, keep: list[str], window: int, shorter: list[int]) -> DataFrame:
+    """keep and a row (n, at, stop, mark) for all windows that start from at to before stop: winnowing keeps a mark once
+    for neighbouring windows that share it. For each n of shorter, also the hash of every n words."""
+    least, size = F.col("least"), F.size("least")
+    begins = F.when(size > 0, F.filter(F.sequence(F.lit(0), size - 1), lambda i: (i == 0) | (F.get(least, i) != F.get(least, i - 1))))
+    some = found.withColumn("begins", begins)
+    begins = F.col("begins")
+    row = lambda n, at, stop, mark: F.struct(F.lit(n).alias("n"), at.alias("at"), stop.cast("int").alias("stop"), mark.alias("mark"))
+    rows = [F.transform(begins, lambda i, k: row(window, i, F.when(k + 1 < F.size(begins), F.get(begins, k + 1)).otherwise(size), F.get(least, i)))]
+    rows += [F.transform(_gram_hashes("hashes", n), (lambda n: lambda h, i: row(n, i, i + 1, h))(n)) for n in shorter]
+    none = F.array().cast("array<struct<n:int,at:int,stop:int,mark:bigint>>")
+    return some.select(*keep, F.explode_outer(F.concat(*[F.coalesce(r, none) for r in rows])).alias("mark")).select(*keep, "mark.*")
+
+
 # Generators below are the outer kind and joins drop their nulls: for the inner kind Catalyst adds a filter on the array
 # and pushes it below the projections, which then nests their lambdas into one expression of cubic cost.
 
@@ -69,8 +83,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
 
     A window is `window` consecutive words of a benchmark item, or all words of an item that has fewer, but not none.
     Winnowing: in either text the smallest hash of the grams in a window is the window's mark, so equal windows have
-    equal marks; document windows whose mark the benchmark has are hits, and a hit is extended from its gram to the
-    whole window and compared word by word. n_hit counts the words of the document inside a window that the benchmark
+    equal marks; neighbouring windows that share a mark keep it once. Marks that the benchmark has are hits, and a hit
+    is extended from its gram to every window that it stands for and compared word by word. n_hit counts the words of the document inside a window that the benchmark
     has; items are the item ids, as sorted strings, of which a window occurs. No shared window is missed.
 
     Null texts have no words, and empty ones neither: zero counts, no items. Rows of documents that repeat give rows
@@ -80,40 +94,28 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     spark = docs.sparkSession
     scratch = scratch or Scratch(spark, "decontamination")
     marks = benchmark_windows(benchmark, window, gram, scratch)
-    sizes = {r["n"]: r["count"] for r in marks.groupBy("n").count().collect()}  # a row for each window length
+    width = F.octet_length("window") + F.octet_length(F.array_join("items", ",")) + 64
+    sizes = {r["n"]: (r["count"], r["bytes"]) for r in marks.groupBy("n").agg(F.count("*").alias("count"), F.sum(width).alias("bytes")).collect()}  # a row for each window length
     texts = docs.select("doc_id", "text", text_key().alias("text_key"))
 
     found = winnowed(texts.withColumn("words", words_of("text")), ["doc_id", "text_key"], window, gram)
-    hits = None
-    for n, count in sizes.items():
-        at = F.col("least") if n == window else _gram_hashes("hashes", n)
-        known = bounded(marks.where(F.col("n") == n).select("mark").distinct(), count)
-        part = found.select("doc_id", "text_key", F.posexplode_outer(at).alias("at", "mark")).join(known, "mark", "left_semi").select("doc_id", "text_key", F.lit(n).alias("n"), "at")
-        hits = part if hits is None else hits.unionByName(part)
-    if hits is None:
-        hits = texts.select("doc_id", "text_key", F.lit(0).alias("n"), F.lit(0).alias("at")).limit(0)
-    hits = scratch.save(hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "n")).alias("hits")), "hits")
-    in_all = hits.agg(F.coalesce(F.sum(F.size("hits")), F.lit(0))).first()[0]
-
-    known = bounded(hits.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}), in_all)
+    known = bounded(marks.select("n", "mark").distinct(), sum(n for n, _ in sizes.values()))
+    hits = fingerprints(found, ["doc_id", "text_key"], window, sorted(set(sizes) - {window})).join(known, ["n", "mark"], "left_semi")
+    hits = scratch.save(hits.groupBy("doc_id", "text_key").agg(F.collect_set(F.struct("at", "stop", "n")).alias("hits")), "hits")
+    in_all = hits.agg(F.coalesce(F.sum(F.size("hits") + 2), F.lit(0))).first()[0]
+
+    known = bounded(hits.withColumnsRenamed({"doc_id": "_id", "text_key": "_key"}), in_all, 12)
     marked = texts.join(known, texts["doc_id"].eqNullSafe(known["_id"]) & (texts["text_key"] == known["_key"]), "left")
+    spell = lambda at, n: F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda j: F.get("words", at + j)), " ")
+    windows = lambda h: F.transform(
+        F.sequence(h["at"], h["stop"] - 1), lambda i: F.struct(i.alias("at"), h["n"].alias("n"), spell(i, h["n"]).alias("window"))
+    )
     marked = marked.select("doc_id", "text_key", words_of("text").alias("words"), "hits").select(
-        "doc_id",
-        "text_key",
-        F.size("words").alias("n_words"),
-        F.transform(
-            "hits",
-            lambda h: F.struct(
-                h["at"].alias("at"),
-                h["n"].alias("n"),
-                F.array_join(F.transform(F.sequence(F.lit(0), h["n"] - 1), lambda j: F.get("words", h["at"] + j)), " ").alias("window"),
-            ),
-        ).alias("hits"),
-        F.monotonically_increasing_id().alias("row"),
+        "doc_id", "text_key", F.size("words").alias("n_words"), F.flatten(F.transform("hits", windows)).alias("hits"), F.monotonically_increasing_id().alias("row")
     )
     marked = scratch.save(marked, "marked")
     seen = marked.where("hits IS NOT NULL").select("row", F.explode_outer("hits").alias("hit")).select("row", "hit.*")
-    exact = scratch.save(seen.join(bounded(marks.drop("mark"), sum(sizes.values())), ["n", "window"]).select("row", "at", "n", "items"), "exact")
+    exact = scratch.save(seen.join(bounded(marks.drop("mark"), sum(size for _, size in sizes.values()), 1), ["n", "window"]).select("row", "at", "n", "items"), "exact")
     # Words in a union of spans: those of each, in order of start, beyond the furthest end so far.
     start = F.struct(F.lit(0).alias("end"), F.lit(0).cast("long").alias("total"))
     step = lambda a, x: F.struct(
@@ -137,6 +139,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
 
 
 def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What of the benchmark occurs in every document."""
     docs, items = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark"))
     out = contamination(docs.select("doc_id", "text"), items.select("item_id", "text"))
     return out.select(
