@@ -17,12 +17,12 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, slices
 
 CAPACITY = 2048
-#: Words whose ids a worker remembers; the memory is emptied when full.
-REMEMBERED = 1_200_000
+#: Words whose ids a worker remembers, in two generations: when the younger is half of it, the older one goes.
+REMEMBERED = 800_000
 #: New words that are encoded as one text; their ids are told apart by where they stand in it.
 LINE = 64
 #: Texts, and bytes of them, that are split together.
-TEXTS, BYTES = 4096, 8 << 20
+TEXTS, BYTES = 1500, 5 << 20
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -60,7 +60,7 @@ def encoder(path: str):
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer, pre_tokenizers
 
-    whole, known = Tokenizer.from_file(path), {"": b""}
+    whole, known, older = Tokenizer.from_file(path), {"": b""}, {}
     plain, letters = Tokenizer(whole.model), _byte_letters()
     plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
 
@@ -75,9 +75,15 @@ def encoder(path: str):
     def learn(fresh: list[str]) -> None:
         halves = {}
         for piece in fresh:
+            if (ids := older.get(piece)) is not None:
+                known[piece] = ids
+                continue
             word, marks = m.groups() if (m := _MARKED(piece)) else (piece, "")
             halves[piece] = word.lower() if _WORD(word) else word, marks
         new = {x for two in halves.values() for x in two if x not in known}
+        again = new & older.keys() if older else set()
+        known.update({x: older[x] for x in again})
+        new -= again
         words = [x for x in new if _WORD(x) and x.lower() == x]
         signs = {x if x.isascii() else x.translate(letters): x for x in words}
         for part, got in lines(list(signs), plain):
@@ -92,7 +98,9 @@ def encoder(path: str):
         pieces = pc.ascii_split_whitespace(texts.fill_null(""))
         number = pieces.flatten().dictionary_encode()
         different = number.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(known) > REMEMBERED:
+        if len(known) > REMEMBERED // 2:
+            older.clear()
+            older.update(known)
             known.clear()
             known[""] = b""
         fresh = [p for p, ids in zip(different, map(known.get, different)) if ids is None]

@@ -72,6 +72,9 @@ def learned(rows: DataFrame, column: str, most: int, fit: Callable[[list[memoryv
         ids, labels = (np.concatenate([np.zeros(0, np.int64), *(b.column(i).to_numpy() for b in parts)]) for i in (0, 1))
         order = sorted(range(len(data)), key=lambda i: (ids[i], zlib.crc32(data[i])))
         model = fit([memoryview(data[i]) for i in order], labels[order].astype(np.float64))
+        parts.clear()
+        data.clear()
+        pa.default_memory_pool().release_unused()
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
     found = within_bytes(scratch.save(rows.select(names), "learned"), column, most).coalesce(1).mapInArrow(learn, "model binary").collect()

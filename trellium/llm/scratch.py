@@ -33,3 +33,4 @@ def slices(batches: Iterator[pa.RecordBatch], column: int, rows: int = ROWS, siz
         lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
         for a, b in cuts(lengths, rows, size):
             yield batch.slice(a, b - a)
+        pa.default_memory_pool().release_unused()  # workers are used again, by other stages too
