@@ -292,3 +292,26 @@ def test_stream(spark, tmp_path):
     assert {(r.name, r.subscriber) for r in got} == {("a.md", "md"), ("b.go", "gone")}
     twice = spark.createDataFrame([("/x", 1, None, "a"), ("/x", 2, None, "b")], CHANGES)
     assert coalesced(twice).first().ops == 3
+
+
+def test_a_writer_that_dies_leaves_the_version_before_it(spark, tmp_path):
+    kept = store.Store(spark, f"file://{tmp_path}/graph")
+    kept.append_run(root_path="one")
+    kept.append_run(root_path="two")
+    (tmp_path / "graph/index_runs/v999999999999-dead").mkdir()  # begun, and no more than that
+    assert {r.root_path for r in kept.read("index_runs").collect()} == {"one", "two"}
+    assert kept.read("nodes").count() == 0
+
+
+def test_vectors_of_one_batch_that_repeat_an_id(spark):
+    base = spark.createDataFrame([("a", [1.0]), ("b", [1.0])], "node_id string, embedding array<float>")
+    batch = spark.createDataFrame([("a", [2.0]), ("a", [3.0]), ("c", [0.0])], "node_id string, embedding array<float>")
+    got = sorted((r.node_id, r.embedding[0]) for r in store.upsert_embeddings(base, batch).collect())
+    assert got == [("a", 3.0), ("b", 1.0), ("c", 0.0)]
+
+
+def test_extents_of_several_files_side_by_side(spark):
+    extents = spark.createDataFrame([("f", 0, 10, "a"), ("f", 10, 20, "b"), ("g", 5, 8, "c")], "file string, start long, stop long, owner string")
+    positions = spark.createDataFrame([("f", 9), ("f", 10), ("f", 20), ("g", 4), ("g", 5), ("h", 1)], "file string, pos long")
+    got = {(r.file, r.pos): r.owner for r in graph.enclosing(extents, positions).collect()}
+    assert got == {("f", 9): "a", ("f", 10): "b", ("f", 20): None, ("g", 4): None, ("g", 5): "c", ("h", 1): None}

@@ -186,6 +186,8 @@ class Engine:
         old = store.stale(self.nodes, generation, uri).count()
         self.nodes = store.fresh(store.upsert_nodes(self.nodes, nodes), generation, uri)
         self.edges = store.upsert_edges(self.edges, edges)
+        gone = store.stale_edges(self.nodes, self.edges, generation, uri)
+        self.edges = self.edges.join(gone.select("id"), "id", "left_anti").select(*self.edges.columns)
         self._save("nodes", "edges")
         if not skip_gc:
             self.edges = store.connected_edges(self.nodes, self.edges)

@@ -53,13 +53,13 @@ def parents(nodes: DataFrame, edges: DataFrame, node_id: str, types: Sequence[st
     return children(nodes, edges, node_id, types)
 
 
-def ancestors(edges: DataFrame, starts: DataFrame, types: Sequence[str] = ("contained_by", "belongs_to"), most: int = 64) -> DataFrame:
-    """start, depth, id: the chain of first parents (by edge id) of each start (id), nearest first."""
+def ancestors(edges: DataFrame, starts: DataFrame, types: Sequence[str] = ("contained_by", "belongs_to")) -> DataFrame:
+    """start, depth, id: the chain of first parents (by edge id) of each start (id), nearest first; cycles end."""
     first = Window.partitionBy("from_id").orderBy("id")
     up = of_types(edges, types).withColumn("_n", F.row_number().over(first)).where("_n = 1").select(F.col("from_id").alias("_from"), F.col("to_id").alias("_to"))
     front = starts.select(F.col("id").alias("start"), F.lit(0).alias("depth"), "id", F.array("id").alias("_seen"))
     out = None
-    for _ in range(most):
+    while True:
         front = front.join(up, F.col("id") == F.col("_from")).where(~F.array_contains("_seen", F.col("_to")))
         front = front.select("start", (F.col("depth") + 1).alias("depth"), F.col("_to").alias("id"), F.concat("_seen", F.array("_to")).alias("_seen"))
         front = settled(front)
@@ -168,10 +168,10 @@ def impact(nodes: DataFrame, edges: DataFrame, symbol: str) -> tuple[DataFrame,
 
 
 def enclosing(extents: DataFrame, positions: DataFrame) -> DataFrame:
-    """file, pos, owner: for each position the innermost extent (file, start, stop, owner) with start <= pos < stop.
+    """file, pos, owner: for each position the extent (file, start, stop, owner) with start <= pos < stop.
 
     An as-of join without a range join: both are put in order, and the last extent that began is the answer if it
-    still holds; extents of one file follow each other or are nested one in another at most. A file of any size is
+    still holds. Extents of one file must not overlap, nor nest: beyond an inner one's end a position would have no owner. A file of any size is
     dealt out in ranges: each range has a window of its own, and takes over the last extent of the ranges before.
     """
     marks = extents.select("file", F.col("start").alias("at"), F.lit(0).alias("_kind"), F.struct("owner", "stop", "start").alias("_x"))

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import time
 import uuid
 from functools import reduce
 
@@ -10,19 +9,25 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import EDGE, EMBEDDING, NODE, RUN, EngineError, conform, empty
+from ..shared import settled
 
 
 def _latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
 
 
+def _numbered(batch: DataFrame, order: str | None) -> DataFrame:
+    """batch with the order of its rows; made-up numbers are written, as a plan that ran twice could give others."""
+    return batch.withColumn("_seq", F.col(order)) if order else settled(batch.withColumn("_seq", F.monotonically_increasing_id()))
+
+
 def upsert_nodes(base: DataFrame, batch: DataFrame, order: str | None = None) -> DataFrame:
     """base with batch written over it by id: all but created_at (and root) is replaced, the last row of an id counts.
 
     batch may carry an order column of its own; else its rows of one id must agree, or any is taken.
     """
     _unique_uris(base, batch)
-    new = batch.withColumn("_seq", F.col(order) if order else F.monotonically_increasing_id())
+    new = _numbered(batch, order)
     first = new.groupBy("id").agg(F.min_by("created_at", "_seq").alias("_first"))
     new = _latest(new, ["id"], "_seq").drop("_seq", *([order] if order else [])).join(first, "id")
     old = base.select("id", F.col("created_at").alias("_old"), F.col("root").alias("_root"), F.lit(True).alias("_known"))
@@ -43,7 +48,7 @@ def _unique_uris(base: DataFrame, batch: DataFrame) -> None:
 def upsert_edges(base: DataFrame, batch: DataFrame, order: str | None = None) -> DataFrame:
     """base with batch written over it by (type, from_id, to_id): id and created_at of the first writing stay."""
     keys = ["type", "from_id", "to_id"]
-    new = batch.withColumn("_seq", F.col(order) if order else F.monotonically_increasing_id())
+    new = _numbered(batch, order)
     first = new.groupBy(*keys).agg(F.min_by(F.struct("id", "created_at"), "_seq").alias("_first"))
     new = _latest(new, keys, "_seq").drop("_seq", *([order] if order else [])).join(first, keys)
     merged = new.join(base.select(*keys, F.struct("id", "created_at").alias("_old")), keys, "left")
@@ -53,7 +58,15 @@ def upsert_edges(base: DataFrame, batch: DataFrame, order: str | None = None) ->
 
 
 def upsert_embeddings(base: DataFrame, batch: DataFrame) -> DataFrame:
-    return base.join(batch.select("node_id"), "node_id", "left_anti").select("node_id", "embedding").unionByName(batch.select("node_id", "embedding"))
+    """base with batch written over it by node_id; of several rows of one id in a batch the greatest vector counts."""
+    new = batch.groupBy("node_id").agg(F.max("embedding").alias("embedding"))
+    return base.join(new.select("node_id"), "node_id", "left_anti").select("node_id", "embedding").unionByName(new)
+
+
+def stale_edges(nodes: DataFrame, edges: DataFrame, generation: str, uri_prefix: str) -> DataFrame:
+    """Edges of another generation (null is none) that start at a node under a prefix of its URI."""
+    own = nodes.where(F.col("uri").startswith(uri_prefix)).select(F.col("id").alias("from_id"))
+    return edges.where(F.col("generation") != generation).join(own, "from_id", "left_semi").select(*edges.columns)
 
 
 def stale(df: DataFrame, generation: str, uri_prefix: str | None = None) -> DataFrame:
@@ -114,10 +127,11 @@ def collect_garbage(nodes: DataFrame, edges: DataFrame, now: int | None = None)
 
 
 class Store:
-    """Tables in a folder, each version a folder of its own; a small file, written last, names the current one.
+    """Tables in a folder, each version a folder of its own; the last one that is whole counts.
 
-    A writer that dies leaves the version before it as it was, and the last version but one stays for frames that read
-    it still. Tables are written as Parquet; nodes and edges are
+    A version is whole once its mark _SUCCESS is there, which Spark writes after all else. So a writer that dies at any
+    time leaves the version before it current, and the last version but one stays for frames that read it still. Tables
+    are written as Parquet; nodes and edges are
     sorted by type and id within files, so that a type or id prefix reads few row groups.
     """
 
@@ -131,9 +145,10 @@ class Store:
         return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def _versions(self, table: str) -> list[str]:
-        """The current version and the one before it."""
-        fs, p = self._fs(f"{self.folder}/{table}/CURRENT")
-        return [r[0] for r in self.spark.read.text(p.toString(), wholetext=True).collect()][0].split() if fs.exists(p) else []
+        """The versions that are whole, the current one first."""
+        fs, p = self._fs(f"{self.folder}/{table}")
+        names = sorted((f.getPath().getName() for f in fs.listStatus(p)), reverse=True) if fs.exists(p) else []
+        return [n for n in names if n.startswith("v") and fs.exists(self._fs(f"{self.folder}/{table}/{n}/_SUCCESS")[1])]
 
     def read(self, table: str) -> DataFrame:
         known = self._versions(table)
@@ -142,17 +157,15 @@ class Store:
         return conform(self.spark.read.parquet(f"{self.folder}/{table}/{known[0]}"), self.TABLES[table])
 
     def write(self, table: str, df: DataFrame) -> None:
-        known, version = self._versions(table), f"v{int(time.time() * 1000)}-{uuid.uuid4().hex[:8]}"
+        known = self._versions(table)
+        version = f"v{int(known[0][1:13]) + 1 if known else 0:012d}-{uuid.uuid4().hex[:8]}"
         rows = conform(df, self.TABLES[table])
         if table in ("nodes", "edges"):
             rows = rows.sortWithinPartitions("type", "id")
         rows.write.parquet(f"{self.folder}/{table}/{version}")
-        fs, p = self._fs(f"{self.folder}/{table}/CURRENT")
-        out = fs.create(p, True)
-        out.write(bytearray("\n".join([version, *known[:1]]).encode()))
-        out.close()
         for old in known[1:]:
-            fs.delete(self._fs(f"{self.folder}/{table}/{old}")[1], True)
+            fs, p = self._fs(f"{self.folder}/{table}/{old}")
+            fs.delete(p, True)
 
     def append_run(self, **values) -> None:
         row = self.spark.createDataFrame([tuple(values.get(c.split(" ")[0]) for c in RUN.split(", "))], RUN)

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions.scalars import glob_regex
 from ..shared import settled
 
+#: Rows of a frontier (an id and a number) that are broadcast at most.
+FEW = 100_000
 #: Hops of an unbounded pattern in FROM; reachability in EXISTS has no bound.
 MOST_HOPS = 20
 
@@ -40,21 +42,20 @@ def oriented(edges: DataFrame, direction: str) -> DataFrame:
 def reachable(hops: DataFrame, seeds: DataFrame, low: int, high: int | None) -> DataFrame:
     """The ids, once each, that low to high hops (src, dst) lead to from seeds (id).
 
-    With low of 0 or 1 a frontier of new ids advances until it is empty, so cycles end; a higher low needs the ids at
-    each distance, which end with the upper bound, or MOST_HOPS beyond low.
+    Up to low, the frontier is what walks of just so many hops lead to; from there on it is what is new, and advances
+    until it is empty, so cycles end. Edges are never shuffled for a frontier that is counted as small.
     """
-    hops = hops.select("src", "dst").distinct()
+    hops = hops.select("src", "dst")
     frontier = seeds.select("id").distinct()
     found = frontier if low == 0 else None
     seen, turn = frontier, 0
-    last = high if high is not None else (None if low <= 1 else low + MOST_HOPS)
-    while last is None or turn < last:
+    while high is None or turn < high:
         nxt = hops.join(frontier, F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id")).distinct()
-        if low <= 1 and found is not None:
+        if found is not None:
             nxt = nxt.join(found, "id", "left_anti")
-        nxt = settled(nxt)
+        nxt, count = counted(nxt)
         turn += 1
-        if nxt.isEmpty():
+        if not count:
             break
         if turn >= low:
             found = nxt if found is None else found.unionByName(nxt)
@@ -62,6 +63,13 @@ def reachable(hops: DataFrame, seeds: DataFrame, low: int, high: int | None) ->
     return seen.limit(0) if found is None else found.distinct()
 
 
+def counted(frontier: DataFrame) -> tuple[DataFrame, int]:
+    """A frontier, computed once, with a broadcast hint if it has few rows; and how many it has."""
+    frontier = settled(frontier)
+    count = frontier.count()
+    return (F.broadcast(frontier) if count <= FEW else frontier), count
+
+
 def walks(hops: DataFrame, seeds: DataFrame, low: int, high: int | None, most: int = MOST_HOPS) -> DataFrame:
     """src, dst of every walk of low to high hops from seeds (id): a row for each walk, however often it ends alike."""
     step = hops.select(F.col("src").alias("_at"), F.col("dst").alias("_to"))
@@ -83,13 +91,13 @@ def walks(hops: DataFrame, seeds: DataFrame, low: int, high: int | None, most: i
 
 def distances(hops: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     """id, distance of all that at most so many hops (src, dst) lead to from seeds (id)."""
-    hops = hops.select("src", "dst").distinct()
+    hops = hops.select("src", "dst")
     front = seeds.select("id", F.lit(0).alias("distance")).distinct()
     found = front
     for turn in range(1, most + 1):
         nxt = hops.join(front, F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id")).distinct().join(found, "id", "left_anti")
-        front = settled(nxt.withColumn("distance", F.lit(turn)))
-        if front.isEmpty():
+        front, count = counted(nxt.withColumn("distance", F.lit(turn)))
+        if not count:
             break
         found = found.unionByName(front)
     return found

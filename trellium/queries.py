@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .engine import Engine
 from .functions.scalars import edge_id, short_id
 from .model import active
 from .operators import context, graph, introspect, store, vector
@@ -152,8 +153,8 @@ _language(
     "SELECT id FROM nodes WHERE type = 'org:customer' AND id IN (SELECT from_id FROM edges WHERE type = 'has')",
 )
 _language(
-    "not_in_subquery", DOC, "SELECT id FROM nodes WHERE type = 'org:customer' AND id NOT IN (SELECT from_id FROM edges WHERE type = 'has')",
-    "SELECT id FROM nodes WHERE type = 'org:customer' AND id NOT IN (SELECT from_id FROM edges WHERE type = 'has')",
+    "not_in_subquery", DOC, "SELECT id FROM nodes WHERE type IN ('org:customer', 'org:supplier') AND id NOT IN (SELECT from_id FROM edges WHERE type = 'has')",
+    "SELECT id FROM nodes WHERE type IN ('org:customer', 'org:supplier') AND id NOT IN (SELECT from_id FROM edges WHERE type = 'has')",
 )
 _language("not_in_subquery_with_null", DOC, "SELECT id FROM nodes WHERE id NOT IN (SELECT name FROM nodes)", "SELECT id FROM nodes WHERE id NOT IN (SELECT name FROM nodes)")
 _language(
@@ -193,7 +194,7 @@ _language(
 _language("pattern_rows", GEO, "SELECT a.name, b.name FROM (a:geo:region)-[:contains]->(b) WHERE a.name LIKE 'a%'", f'SELECT a.name AS "a.name", b.name AS "b.name" {_CHAIN} WHERE a.type = \'geo:region\' AND e.type = \'contains\' AND a.name ILIKE \'a%\'')
 _language("pattern_group_bare", GEO, "SELECT a.name AS name, a.type AS type, COUNT(*) AS count FROM (a:geo:region)-[:contains]->(b) GROUP BY a.id", f"SELECT any_value(a.name) AS name, any_value(a.type) AS type, count(*) AS count {_CHAIN} WHERE a.type = 'geo:region' AND e.type = 'contains' GROUP BY a.id")
 _language("pattern_having", DOC, "SELECT c.id AS id, COUNT(*) AS count FROM (c:org:customer)-[:has]->(o:doc:order) GROUP BY c.id HAVING COUNT(*) > 15", f"SELECT a.id AS id, count(*) AS count {_CHAIN} WHERE a.type = 'org:customer' AND e.type = 'has' AND b.type = 'doc:order' GROUP BY 1 HAVING count(*) > 15")
-_language("pattern_inline_where", ORG, "SELECT b.id AS id FROM (:geo:nation WHERE name = 'CHINA' OR name LIKE 'i%')-[:has]->(b:org:supplier)", f"SELECT b.id AS id {_CHAIN} WHERE a.type = 'geo:nation' AND (a.name = 'CHINA' OR a.name ILIKE 'i%') AND e.type = 'has' AND b.type = 'org:supplier'")
+_language("pattern_inline_where", ORG, "SELECT b.id AS id FROM (:geo:nation WHERE name = 'NATION_3' OR name LIKE 'nation_1%')-[:has]->(b:org:supplier)", f"SELECT b.id AS id {_CHAIN} WHERE a.type = 'geo:nation' AND (a.name = 'NATION_3' OR a.name ILIKE 'nation_1%') AND e.type = 'has' AND b.type = 'org:supplier'")
 _language("pattern_count", ORG, "SELECT COUNT(*) AS count FROM (a:geo:nation)-[:has]->(b:org:customer)", f"SELECT count(*) AS count {_CHAIN} WHERE a.type = 'geo:nation' AND e.type = 'has' AND b.type = 'org:customer'")
 _language("pattern_distinct_order", ORG, "SELECT DISTINCT a.name AS name FROM (a:geo:nation)-[:has]->(b) ORDER BY a.name LIMIT 8", f"SELECT DISTINCT a.name AS name {_CHAIN} WHERE a.type = 'geo:nation' AND e.type = 'has' ORDER BY 1 NULLS FIRST LIMIT 8")
 
@@ -217,14 +218,14 @@ _language("hops_zero", ORG, "SELECT b.type AS type, COUNT(*) AS count FROM (a:ge
 ORACLES["hops_zero"] = f"{prelude(ORG)} {_hops(0, 2, _CONTAINS, _REGIONS)}".replace("SELECT start, place, n FROM walk", "SELECT type, count(*) AS count FROM walk JOIN nodes ON id = place") + " GROUP BY type"
 
 _language("exists_1hop", DOC, "SELECT id FROM nodes WHERE type = 'org:customer' AND EXISTS (nodes)-[:has]->(:doc:order)", "SELECT id FROM nodes WHERE type = 'org:customer' AND id IN (SELECT from_id FROM edges JOIN nodes o ON o.id = to_id WHERE edges.type = 'has' AND o.type = 'doc:order')")
-_language("not_exists_1hop", DOC, "SELECT id FROM nodes WHERE type = 'org:customer' AND NOT EXISTS (nodes)-[:has]->(:doc:order)", "SELECT id FROM nodes WHERE type = 'org:customer' AND id NOT IN (SELECT from_id FROM edges JOIN nodes o ON o.id = to_id WHERE edges.type = 'has' AND o.type = 'doc:order')")
+_language("not_exists_1hop", DOC, "SELECT id FROM nodes WHERE type = 'org:customer' AND NOT EXISTS (nodes)-[:has]->(:doc:order WHERE data.total > 300000)", "SELECT id FROM nodes WHERE type = 'org:customer' AND id NOT IN (SELECT from_id FROM edges JOIN nodes o ON o.id = to_id WHERE edges.type = 'has' AND o.type = 'doc:order' AND o.total > 300000)")
 _language(
     "exists_inline_where", DOC, "SELECT COUNT(*) AS count FROM nodes WHERE EXISTS (nodes)-[:has]->(:doc:order WHERE data.total > 250000)",
     "SELECT count(*) AS count FROM nodes WHERE id IN (SELECT from_id FROM edges JOIN nodes o ON o.id = to_id WHERE edges.type = 'has' AND o.type = 'doc:order' AND o.total > 250000)",
 )
 _language(
-    "exists_in_pattern", DOC, "SELECT c.id AS id FROM (n:geo:nation)-[:has]->(c:org:customer) WHERE n.name = 'CHINA' AND NOT EXISTS (c)-[:has]->(:doc:order WHERE data.status = 'F')",
-    f"SELECT b.id AS id {_CHAIN} WHERE a.type = 'geo:nation' AND a.name = 'CHINA' AND e.type = 'has' AND b.type = 'org:customer' AND b.id NOT IN (SELECT from_id FROM edges x JOIN nodes o ON o.id = x.to_id WHERE x.type = 'has' AND o.status = 'F')",
+    "exists_in_pattern", DOC, "SELECT c.id AS id FROM (n:geo:nation)-[:has]->(c:org:customer) WHERE n.name = 'NATION_3' AND NOT EXISTS (c)-[:has]->(:doc:order WHERE data.total > 460000)",
+    f"SELECT b.id AS id {_CHAIN} WHERE a.type = 'geo:nation' AND a.name = 'NATION_3' AND e.type = 'has' AND b.type = 'org:customer' AND b.id NOT IN (SELECT from_id FROM edges x JOIN nodes o ON o.id = x.to_id WHERE x.type = 'has' AND o.total > 460000)",
 )
 _SCOPE = f", under AS (SELECT 'region:2' AS id UNION SELECT to_id FROM under JOIN edges ON from_id = under.id AND edges.type IN ({_TYPES}))"
 _ROOT = "(r WHERE id = 'region:2')-[:contains|has*0..]->"
@@ -245,9 +246,17 @@ _operator(
     ", up AS (SELECT from_id AS f, min(id) AS e, arg_min(to_id, id) AS t FROM edges WHERE type IN ('contained_by', 'belongs_to') GROUP BY 1), w AS (SELECT id AS start, id AS place, 0 AS depth FROM nodes WHERE type = 'doc:order' "
     "UNION ALL SELECT start, t, depth + 1 FROM w JOIN up ON f = place WHERE depth < 10) SELECT depth, count(*) AS count, count(DISTINCT place) AS ids FROM w WHERE depth > 0 GROUP BY depth",
 )
+_STEP = "struct_pack(node_id := t, edge_type := kind, incoming := back)"
 _operator(
-    "paths_shortest", ORG, lambda n, e: graph.find_paths(n, e, "customer:1", "supplier:1", 6, 1).select("length"),
-    ", both_ways AS (SELECT from_id AS s, to_id AS t FROM edges UNION SELECT to_id, from_id FROM edges), d AS (SELECT 'customer:1' AS place, 0 AS n UNION SELECT t, n + 1 FROM d JOIN both_ways ON s = place WHERE n < 6) SELECT CAST(min(n) AS INT) AS length FROM d WHERE place = 'supplier:1' HAVING min(n) > 0",
+    "paths_shortest", ORG,
+    lambda n, e: graph.find_paths(n, e, "customer:1", "supplier:3", 5, 7).select(
+        "length", F.array_join(F.transform("steps", lambda x: F.concat_ws(" ", x["node_id"], x["edge_type"], x["incoming"].cast("string"))), ", ").alias("steps")
+    ),
+    ", hop AS (SELECT from_id AS s, to_id AS t, type AS kind, false AS back FROM edges UNION ALL SELECT to_id, from_id, type, true FROM edges), "
+    f"d AS (SELECT 'customer:1' AS place, ['customer:1'] AS seen, 0 AS n, list_slice([struct_pack(node_id := '', edge_type := '', incoming := false)], 2, 1) AS steps "
+    f"UNION ALL SELECT t, list_append(seen, t), n + 1, list_append(steps, {_STEP}) FROM d JOIN hop ON s = place WHERE n < 5 AND place <> 'supplier:3' AND NOT list_contains(seen, t) "
+    "AND (t LIKE 'nation:%' OR t LIKE 'region:%' OR t = 'supplier:3')), p AS (SELECT n AS length, steps FROM d WHERE place = 'supplier:3' ORDER BY n, steps LIMIT 7) "
+    "SELECT length, array_to_string(list_transform(steps, lambda x: x.node_id || ' ' || x.edge_type || ' ' || x.incoming), ', ') AS steps FROM p",
 )
 _operator(
     "tree_rows", ORG, lambda n, e: graph.tree(n, e, "region:0", 1).select("depth", "id", "name"),
@@ -267,7 +276,12 @@ _operator("delete_by_prefix", ORG, lambda n, e: store.connected_edges(k := store
 _operator("count_nodes_type", ALL, lambda n, e: introspect.count_nodes(n, e), "SELECT type AS name, count(*) AS count FROM nodes GROUP BY type")
 _operator("count_nodes_label", DOC, lambda n, e: introspect.count_nodes(n, e, by="label", limit=6), "SELECT l AS name, count(*) AS count FROM (SELECT unnest(labels) AS l FROM nodes) GROUP BY l ORDER BY 2 DESC, 1 LIMIT 6")
 _operator("count_edges_from_to", DOC, lambda n, e: introspect.count_edges(n, e, NodeFilter(types=["org:*"]), NodeFilter(labels=["status:F"])), f"SELECT e.type AS name, count(*) AS count {_CHAIN} WHERE a.type LIKE 'org:%' AND list_contains(b.labels, 'status:F') GROUP BY 1")
-_operator("describe_edges", DOC, lambda n, e: introspect.describe_edges(n, e).select("type", "count", F.to_json("connections").alias("connections")), None)
+_operator(
+    "describe_edges", DOC,
+    lambda n, e: introspect.describe_edges(n, e).select("type", F.col("count").alias("total"), F.posexplode("connections").alias("at", "c")).select("type", "total", "at", "c.from_type", "c.to_type", "c.count"),
+    f", c AS (SELECT e.type AS type, a.type AS from_type, b.type AS to_type, count(*) AS count {_CHAIN} GROUP BY 1, 2, 3) SELECT type, CAST(sum(count) OVER (PARTITION BY type) AS BIGINT) AS total, "
+    "CAST(row_number() OVER (PARTITION BY type ORDER BY count DESC, from_type, to_type) - 1 AS INT) AS at, from_type, to_type, count FROM c",
+)
 _operator("describe_edge_types", DOC, lambda n, e: introspect.describe_edges(n, e).select("type", "count", F.size("connections").cast("long").alias("kinds")), f"SELECT e.type AS type, count(*) AS count, count(DISTINCT a.type || ' ' || b.type) AS kinds {_CHAIN} GROUP BY 1")
 _operator("describe_fields", FULL, lambda n, e: introspect.describe_fields(n), "SELECT * FROM (VALUES ('org:supplier', 'acctbal'), ('org:customer', 'acctbal'), ('org:customer', 'segment'), ('item:part', 'type'), ('item:part', 'size'), ('item:part', 'price'), ('doc:order', 'status'), ('doc:order', 'priority'), ('doc:order', 'total')) AS t(type, field)")
 _operator("stats_sections", DOC, lambda n, e: introspect.stats(n, e, "region:2"), f"{_SCOPE} SELECT 'types' AS section, type AS name, count(*) AS count FROM nodes WHERE id IN (SELECT id FROM under) GROUP BY type UNION ALL SELECT 'edges', type, count(*) FROM edges WHERE from_id IN (SELECT id FROM under) GROUP BY type UNION ALL SELECT 'labels', l, count(*) FROM (SELECT unnest(labels) AS l FROM nodes WHERE id IN (SELECT id FROM under)) GROUP BY l")
@@ -298,6 +312,68 @@ _tables(
     "SELECT node_id, query, round(score::DOUBLE, 4) AS score FROM b ORDER BY b.score DESC, node_id LIMIT 12",
 )
 
+# The engine's own calls, most of them looked up by a row that every table has.
+def _engine(name: str, parts: tuple[str, ...], run: Callable[[Engine], DataFrame], sql: str) -> None:
+    _operator(name, parts, lambda n, e: run(Engine(n.sparkSession, n, e)), sql)
+
+
+_engine("node_by_id", ORG, lambda g: g.node("customer:7").select("id", "type", "uri", "key", "name"), "SELECT id, type, uri, key, name FROM nodes WHERE id = 'customer:7'")
+_engine("node_by_uri", ORG, lambda g: g.node_by_uri("tbl://nation/3").select("id", "name"), "SELECT id, name FROM nodes WHERE uri = 'tbl://nation/3'")
+_engine("node_by_key", ORG, lambda g: g.node_by_key("org:supplier", "5").select("id", "uri"), "SELECT id, uri FROM nodes WHERE type = 'org:supplier' AND key = '5'")
+_engine("nodes_by_prefix", DOC, lambda g: g.by_prefix("customer:1", 25).select("id", "type"), "SELECT id, type FROM nodes WHERE starts_with(id, 'customer:1') ORDER BY id LIMIT 25")
+_engine("edges_from_node", DOC, lambda g: g.edges_from("nation:3").select("type", "to_id"), "SELECT type, to_id FROM edges WHERE from_id = 'nation:3'")
+_engine("edges_to_node", DOC, lambda g: g.edges_to("nation:3").select("type", "from_id"), "SELECT type, from_id FROM edges WHERE to_id = 'nation:3'")
+_engine("neighbors_limited", DOC, lambda g: g.neighbors("NATION_4", "in", ["belongs_to"], 9).select("direction", "edge_type", "id"), "SELECT 'in' AS direction, edges.type AS edge_type, from_id AS id FROM edges WHERE to_id = 'nation:4' AND type = 'belongs_to' ORDER BY id LIMIT 9")
+_engine(
+    "tree_by_type", ORG, lambda g: g.tree("region:1", 2, ["org:supplier"]).select("depth", "id", "name", "more"),
+    "SELECT 0 AS depth, id, name, 0 AS more FROM nodes WHERE id = 'region:1' AND EXISTS (SELECT 1 FROM edges x JOIN edges y ON y.from_id = x.to_id AND y.type = 'has' AND y.to_id LIKE 'supplier:%' WHERE x.from_id = 'region:1' AND x.type = 'contains') "
+    "UNION ALL SELECT 1, n.id, n.name, 0 FROM edges x JOIN nodes n ON n.id = x.to_id WHERE x.from_id = 'region:1' AND x.type = 'contains' AND EXISTS (SELECT 1 FROM edges y WHERE y.from_id = n.id AND y.to_id LIKE 'supplier:%') "
+    "UNION ALL SELECT 2, s.id, s.name, 0 FROM edges x JOIN edges y ON y.from_id = x.to_id AND y.type = 'has' JOIN nodes s ON s.id = y.to_id AND s.type = 'org:supplier' WHERE x.from_id = 'region:1' AND x.type = 'contains'",
+)
+_engine("delete_one_node", ORG, lambda g: (g.delete_node("nation:2"), g.nodes.groupBy("type").agg(F.count("*").alias("count")))[1], "SELECT type, count(*) AS count FROM nodes WHERE id <> 'nation:2' GROUP BY type")
+_engine(
+    "delete_path", DOC, lambda g: (g.delete_by_path("tbl://nation/1"), g.edges.groupBy("type").agg(F.count("*").alias("count")))[1],
+    ", k AS (SELECT id FROM nodes WHERE NOT starts_with(uri, 'tbl://nation/1')) SELECT type, count(*) AS count FROM edges WHERE from_id IN (FROM k) AND to_id IN (FROM k) GROUP BY type",
+)
+_engine(
+    "write_nodes_again", ORG,
+    lambda g: (g.put_nodes(g.nodes.where("type = 'org:supplier'").withColumns({"name": F.concat(F.lit("new "), "name"), "created_at": F.lit("later")})), g.nodes.where("type LIKE 'org:%'").select("id", "name", F.col("created_at").alias("made")))[1],
+    "SELECT id, CASE type WHEN 'org:supplier' THEN 'new ' || name ELSE name END AS name, CAST(NULL AS VARCHAR) AS made FROM nodes WHERE type LIKE 'org:%'",
+)
+_engine(
+    "write_edges_again", ORG,
+    lambda g: (
+        g.put_edges(g.edges.where("type = 'has'").withColumn("id", F.lit("other")).unionByName(g.edges.where("type = 'has'").withColumns({"type": F.lit("owns"), "id": F.concat(F.lit("owns "), "id")}))),
+        g.edges.groupBy("type").agg(F.count("*").alias("count"), F.count_distinct("id").alias("ids"), F.count(F.when(F.col("id") == "other", 1)).alias("other")),
+    )[1],
+    "SELECT type, count(*) AS count, count(*) AS ids, 0 AS other FROM (SELECT type FROM edges UNION ALL SELECT 'owns' FROM edges WHERE type = 'has') GROUP BY type",
+)
+_engine("query_params", DOC, lambda g: g.sql("SELECT id FROM nodes WHERE type = $kind AND data.total > $least", {"kind": "doc:order", "least": 400000}), "SELECT id FROM nodes WHERE type = 'doc:order' AND total > 400000")
+_engine("count_by_extension", DOC, lambda g: introspect.count_nodes(g.nodes.withColumns({"type": F.lit("fs:file"), "data": F.parse_json(F.concat(F.lit('{"ext":"x'), F.length("key"), F.lit('"}')))}), g.edges, by="extension"), "SELECT 'x' || length(key) AS name, count(*) AS count FROM nodes GROUP BY 1")
+_engine("counts_narrowed", DOC, lambda g: introspect.narrowed(introspect.count_nodes(g.nodes, g.edges, by="label"), "seg:", "name", 3), "SELECT l AS name, count(*) AS count FROM (SELECT unnest(labels) AS l FROM nodes) WHERE starts_with(l, 'seg:') GROUP BY l ORDER BY l LIMIT 3")
+_engine("graph_totals", DOC, lambda g: (lambda i: g.spark.createDataFrame([(i["nodes"], i["edges"], i["orphans"])], "nodes long, edges long, orphans long"))(g.info()), "SELECT (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, 0 AS orphans")
+_engine(
+    "stale_edges", ORG, lambda g: store.stale_edges(g.nodes, g.edges.withColumn("generation", F.when(F.col("type") == "has", "old").when(F.col("type") == "contains", "new")), "new", "tbl://nation/1").groupBy("type", "from_id").agg(F.count("*").alias("count")),
+    "SELECT type, from_id, count(*) AS count FROM edges WHERE type = 'has' AND from_id LIKE 'nation:1%' GROUP BY 1, 2",
+)
+_engine("expiry_views", ORG, lambda g: store.unexpired(store.with_ttl(g.nodes.where("type = 'org:supplier'"), 60, 1000).unionByName(store.with_ttl(g.nodes.where("type = 'geo:nation'"), 0, 1000)), 1060).groupBy("type").agg(F.count("*").alias("count")), "SELECT type, count(*) AS count FROM nodes WHERE type = 'geo:nation' GROUP BY type")
+_engine("reachable_low_bound", DOC, lambda g: reachable(oriented(of_types(g.edges, ["contains", "has"]), "out"), g.nodes.where("id = 'region:2'").select("id"), 2, None), f"{_SCOPE} SELECT id FROM under WHERE id <> 'region:2' AND id NOT LIKE 'nation:%'")
+_engine(
+    "impact_packages", ORG,
+    lambda g: graph.impact(
+        g.nodes.withColumns({"type": F.when(F.col("type") == "org:supplier", "go:ref").otherwise(F.col("type")), "data": F.parse_json(F.lit('{"kind":"call"}'))}),
+        g.edges.where("type = 'belongs_to'").withColumn("type", F.lit("references")), "NATION_3")[0].select("package", "refs", F.array_join("kinds", ",").alias("kinds")),
+    "SELECT 'tbl://supplier' AS package, count(*) AS refs, 'call' AS kinds FROM edges WHERE type = 'belongs_to' AND to_id = 'nation:3' AND from_id LIKE 'supplier:%' HAVING count(*) > 0",
+)
+_tables(
+    "embeddings_again", lambda s, d: (lambda v: store.upsert_embeddings(v, v.where("node_id LIKE 'vec:1%'").withColumn("embedding", F.transform("embedding", lambda x: x * 0))).select("node_id", (F.aggregate("embedding", F.lit(0.0), lambda a, x: a + F.abs(x)) == 0).alias("blank")))(embeddings_of(s, d)),
+    "SELECT 'vec:' || vec_id AS node_id, CAST(vec_id AS VARCHAR) LIKE '1%' AS blank FROM embeddings",
+)
+_tables(
+    "calls_once", lambda s, d: graph.calls(s.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_suppkey").cast("string").alias("caller"), F.col("l_partkey").cast("string").alias("callee"))).select("type", "from_id", "to_id"),
+    "SELECT DISTINCT 'calls' AS type, CAST(l_suppkey AS VARCHAR) AS from_id, CAST(l_partkey AS VARCHAR) AS to_id FROM lineitem",
+)
+
 # Texts.
 _tables(
     "todo_scan", lambda s, d: annotations(s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("# TODO: look at "), F.coalesce("source", F.lit("?")), F.lit("\nplain\n  // fixme first "), F.coalesce("lang", F.lit("?"))).alias("text"))).select("path", "line", "kind", "text"),
@@ -369,7 +445,7 @@ _tables("markdown_parts", _markdown, None)
 def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = table_graph(spark, sf_dir, ORG)
     kinds = F.when(F.col("type") == "geo:nation", "go:interface").when(F.col("type") == "org:supplier", "go:method").otherwise("go:ref")
-    return context.ring_walk(nodes.withColumn("type", kinds), edges, context.Task("", ("CHINA",), ("supplier",)))
+    return context.ring_walk(nodes.withColumn("type", kinds), edges, context.Task("", ("NATION_3",), ("supplier",)))
 
 
 _tables("ring_walk", _rings, None)

@@ -12,10 +12,12 @@ _LOCAL: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset, as in tests, a temporary one of our own."""
+    """The folder in spark.checkpoint.dir; where that is unset and all runs on one machine, as in tests, a temporary one."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the whole cluster shares")
     app = spark.sparkContext.applicationId
     if app not in _LOCAL:
         _LOCAL[app] = f"file://{tempfile.mkdtemp(prefix='trellium-')}"
