@@ -136,26 +136,60 @@ def test_exact_copies(spark, odd):
     assert exact_dedup.exact_dedup(table(spark, [], True)).count() == 0
 
 
-def test_repeats(spark, odd):
-    rows = [(i, (t or "")[:4000]) for i, t in odd]
-    data = [(2**63 - 1 if i is None else i, t.encode()) for i, t in rows]
+def brute_repeats(rows, length):
+    data = [(2**63 - 1 if i is None else i, (t or "").encode()) for i, t in rows]
     first = {}
     for i, t in sorted(data):
-        for s in range(len(t) - 49):
-            first.setdefault(t[s : s + 50], i)
+        for s in range(len(t) - length + 1):
+            first.setdefault(t[s : s + length], i)
     want = []
     for (i, _), (key, t) in zip(rows, data):
         gone = np.zeros(len(t), bool)
-        for s in range(len(t) - 49):
-            if first[t[s : s + 50]] < key:
-                gone[s : s + 50] = True
+        for s in range(len(t) - length + 1):
+            if first[t[s : s + length]] < key:
+                gone[s : s + length] = True
         spans = int((np.diff(gone.astype(int), prepend=0) == 1).sum())
         want.append((i, len(t), int(gone.sum()), spans, hashlib.sha256(bytes(np.frombuffer(t, np.uint8)[~gone])).hexdigest()))
-    got = suffix_dedup.remove_repeats(table(spark, rows)).collect()
-    assert sorted_rows(got) == sorted_rows(want)
+    return sorted_rows(want)
+
+
+def test_repeats(spark, odd):
+    """Whole texts, the longest too."""
+    assert sorted_rows(suffix_dedup.remove_repeats(table(spark, odd)).collect()) == brute_repeats(odd, 50)
     assert suffix_dedup.remove_repeats(table(spark, [], True)).count() == 0
 
 
+_LETTERS = "nnaritvchqekjptsiputunpmphlfnsusefjzarhncvwmumsgie"
+
+
+@pytest.mark.parametrize("length", [50, 65, 79])
+def test_repeats_with_nuls_and_other_lengths(spark, monkeypatch, length):
+    long = _LETTERS * 2
+    rows = [(1, _LETTERS), (2, "\0" + _LETTERS), (3, _LETTERS + "\0"), (4, "\0\0" + long), (5, long[3:] + "\0x"), (6, "\0" * 200), (7, "\0" * 130 + long), (8, "é" * 90), (9, "é" * 60 + long)]
+    got = suffix_dedup.remove_repeats(table(spark, rows), length=length).collect()
+    assert sorted_rows(got) == brute_repeats(rows, length)
+    if length == 50:
+        assert {r.doc_id: r.kept_sha256 for r in got}[2] == hashlib.sha256(b"\0").hexdigest()
+
+
+def test_strings_are_equal_by_their_bytes(monkeypatch):
+    """A run whose hashes all collide still takes nothing for a repeat that is none."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(suffix_dedup, "_range_hashes", lambda texts, text, start, stop: (np.zeros(len(text), np.uint64), np.zeros(len(text), np.uint64)))
+    texts = [_LETTERS, _LETTERS[::-1], _LETTERS]
+    shared = []
+    for t in texts:
+        ((_, start, windows, place, _),) = suffix_dedup.anchors([t.encode()])
+        own = np.zeros(len(start), suffix_dedup._SHARED)
+        own["both"] = place.astype("<u8") << np.uint64(16) | ((place - start) << 8 | windows).astype("<u8")
+        shared.append(own.tobytes())
+    batch = pa.RecordBatch.from_arrays([pa.array([10, 11, 12]), pa.array([1, 2, 3]), pa.array(texts), pa.array(shared, pa.binary())], ["row", "doc_id", "text", "own"])
+    out = pa.Table.from_batches(list(suffix_dedup._runs(4, 50)(iter([batch])))).to_pylist()
+    found = [r for x in out if x["found"] for r in np.frombuffer(pa.decompress(x["blob"][4:], int.from_bytes(x["blob"][:4], "little") * suffix_dedup._SPAN.itemsize, "zstd", asbytes=True), suffix_dedup._SPAN)["row"].tolist()]
+    assert 11 not in found and set(found) <= {12}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.binary(min_size=1, max_size=6), max_size=12), min_size=1, max_size=7))
 def test_loser_tree_merges(runs):

@@ -354,7 +354,8 @@ def _runs(buckets: int, length: int):
     def sort(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """row, doc_id, text, own (shared anchors) -> bucket, found, blob: sorted runs, and found already, what is certain to be a repeat.
 
-        Of equal strings in documents held here, those of the smallest id go into the run; the others repeat it.
+        Of equal strings in documents held here, those of the smallest id go into the run; the others repeat it. Hashes
+        bring them together, their bytes decide.
         """
         held: list[tuple[np.ndarray, ...]] = []
         texts: list[bytes] = []
@@ -368,16 +369,24 @@ def _runs(buckets: int, length: int):
             edge = np.flatnonzero(new)
             size = np.diff(np.append(edge, len(one)))
             least = np.repeat(ident[edge], size)  # the first, as they are sorted
-            again = np.flatnonzero(ident != least)
+            # What hashes say is equal is compared byte by byte; what is not goes into the run by itself.
+            of, begin, end = text.tolist(), start.tolist(), (start + windows - 1 + length).tolist()
+            string = lambda m: texts[of[m]][begin[m] : end[m]]
+            alike = np.flatnonzero(~new).tolist()
+            odd = [m for m, k in zip(alike, np.repeat(edge, size)[~new].tolist()) if string(m) != string(k)]
+            equal = np.ones(len(one), bool)
+            equal[odd] = False
+            again = np.flatnonzero((ident != least) & equal)
             spans = np.zeros(len(again), _SPAN)
             spans["row"], spans["start"], spans["bits"] = row[again], start[again], (_U(1) << windows[again].astype(np.uint64)) - _U(1)
             to, blobs = _dealt(spans, buckets)
             records = []
             ends = np.append(edge[1:], len(one))
-            own = ident == least
+            own = (ident == least) & equal
             for k, e in zip(edge.tolist(), ends.tolist()):
                 refs = [(int(row[m]), int(start[m])) for m in range(k, e) if own[m]] if e - k > 1 else [(int(row[k]), int(start[k]))]
                 records.append((_key(texts[text[k]], int(start[k]), int(windows[k]), int(place[k]), length), int(ident[k]), refs))
+            records += [(_key(texts[of[m]], begin[m], int(windows[m]), int(place[m]), length), int(ident[m]), [(int(row[m]), begin[m])]) for m in odd]
             held.clear()
             texts.clear()
             records.sort()
@@ -536,4 +545,5 @@ def remove_repeats(docs: DataFrame, *, length: int = LENGTH, with_text: bool = F
 
 
 def op7_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without strings of 50 bytes that a document of a smaller id has."""
     return remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text"))
