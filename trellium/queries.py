@@ -375,14 +375,6 @@ _tables(
 )
 
 # Texts.
-_tables(
-    "todo_scan", lambda s, d: annotations(s.read.parquet(f"{d}/documents.parquet").select(F.col("doc_id").cast("string").alias("path"), F.concat(F.lit("# TODO: look at "), F.coalesce("source", F.lit("?")), F.lit("\nplain\n  // fixme first "), F.coalesce("lang", F.lit("?"))).alias("text"))).select("path", "line", "kind", "text"),
-    "SELECT CAST(doc_id AS VARCHAR) AS path, 1 AS line, 'TODO' AS kind, 'look at ' || coalesce(source, '?') AS text FROM documents UNION ALL SELECT CAST(doc_id AS VARCHAR), 3, 'FIXME', 'first ' || coalesce(lang, '?') FROM documents",
-)
-_tables(
-    "licence_detect", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select(licence(F.concat(F.lit("Licence\nPermission is hereby granted,\n free of charge "), F.coalesce("lang", F.lit("")))).alias("licence")).groupBy("licence").agg(F.count("*").alias("count")),
-    "SELECT 'MIT' AS licence, count(*) AS count FROM documents",
-)
 
 
 def _noted(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -418,10 +410,6 @@ _tables(
     "WITH r AS (SELECT CAST(l_suppkey AS VARCHAR) AS file, l_partkey AS start, l_partkey + l_linenumber AS stop, l_quantity AS score FROM lineitem), m AS (SELECT *, CASE WHEN start > max(stop) OVER (PARTITION BY file ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) + 3 THEN 1 ELSE 0 END AS fresh FROM r), "
     "g AS (SELECT *, sum(fresh) OVER (PARTITION BY file ORDER BY start, stop) AS island FROM m) SELECT file, min(start) AS start, max(stop) AS stop, max(score) AS score FROM g GROUP BY file, island",
 )
-_tables(
-    "enclosing_extent", lambda s, d: (lambda o: graph.enclosing(o.select(F.lit("f").alias("file"), (F.col("o_orderkey") * 10).alias("start"), (F.col("o_orderkey") * 10 + 6).alias("stop"), F.col("o_custkey").alias("owner")), o.select(F.lit("f").alias("file"), (F.col("o_orderkey") * 10 + F.col("o_custkey") % 10).alias("pos"))).where("owner IS NOT NULL"))(s.read.parquet(f"{d}/orders.parquet").where("o_orderkey % 5 = 0")),
-    "SELECT 'f' AS file, o_orderkey * 10 + o_custkey % 10 AS pos, o_custkey AS owner FROM orders WHERE o_orderkey % 5 = 0 AND o_custkey % 10 < 6",
-)
 _tables(
     "enclosing_extent_all", lambda s, d: (lambda o: graph.enclosing(o.select(F.lit("f").alias("file"), (F.col("o_orderkey") * 10).alias("start"), (F.col("o_orderkey") * 10 + 6).alias("stop"), F.col("o_custkey").alias("owner")), o.select(F.lit("f").alias("file"), (F.col("o_orderkey") * 10 + F.col("o_custkey") % 10).alias("pos"))).where("owner IS NOT NULL"))(s.read.parquet(f"{d}/orders.parquet")),
     "SELECT 'f' AS file, o_orderkey * 10 + o_custkey % 10 AS pos, o_custkey AS owner FROM orders WHERE o_custkey % 10 < 6",
