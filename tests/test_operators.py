@@ -10,7 +10,7 @@ from trellium import queries
 from trellium.engine import Engine
 from trellium.model import NodeNotFound, Registry, make_edges, make_nodes
 from trellium.operators import context, graph, introspect, store, vector
-from trellium.operators.filters import NodeFilter, find
+from trellium.operators.filters import NodeFilter, category, compare, find
 from trellium.sources import files as fs
 from trellium.sources import text as tx
 from trellium.streaming.watch import CHANGES, CREATE, REMOVE, Subscription, Watcher, coalesced, routed
@@ -138,11 +138,11 @@ def test_text_sources(spark):
     nodes, edges = tx.markdown_graph(spark.createDataFrame(parts), "g")
     assert nodes.where("type = 'md:link'").count() == 1 and edges.where("type = 'links_to'").count() == 1
     mods = spark.createDataFrame([("/m/go.mod", "module a/b\n\ngo 1.22\n\nrequire (\n\tx v1\n\ty v2\n)\n"), ("/m/package.json", '{"name": "n", "version": "2", "dependencies": {"a": "1"}}')], "path string, text string")
-    assert {(r.language, r.name, r.version, r.dep_count) for r in tx.manifests(mods).collect()} == {("go", "a/b", "1.22", 2), ("javascript", "n", "2", 1)}
-    lic = spark.createDataFrame([("Apache License\nVersion 2.0",), ("nothing",)], "t string").select(tx.licence("t").alias("l"))
+    assert {(r.language, r.name, r.version, r.dep_count) for r in tx.manifests(mods).collect()} == {("go", "a/b", "1.22", 2), ("node", "n", "2", 1)}
+    lic = spark.createDataFrame([("Under the Apache License, Version 2.0",), ("nothing",)], "t string").select(tx.licence("t").alias("l"))
     assert [r.l for r in lic.collect()] == ["Apache-2.0", "unknown"]
     files = spark.createDataFrame([("fs:file", "a_test.go", "pkg/a_test.go"), ("fs:dir", "docs", "docs")], "type string, name string, path string").withColumn("labels", F.array().cast("array<string>"))
-    assert [r.labels for r in tx.tagged(files, F.col("path")).collect()] == [["lang:go", "kind:test"], []]
+    assert [r.labels for r in tx.tagged(files, F.col("path")).collect()] == [["test:file"], []]
 
 
 def test_ranges_and_budget(spark):
@@ -218,7 +218,7 @@ def test_enclosing_extent_reads_all_orders(spark):
 
 DOCUMENTS = [
     (1, "# Real\n\n// TODO: mend it\nsee [a](b.md)\n```sh\nmake\n```\n"),
-    (2, "Apache License\n  Version   2.0\n" + "word " * 30_000 + "\n; note. at the end"),
+    (2, "Notice\nUnder the Apache License, Version 2.0\n" + "word " * 30_000 + "\n; note. at the end"),
     (3, "## Late\nPermission to use, copy, modify, and/or distribute"),
     (4, ""),
     (5, None),
@@ -315,3 +315,155 @@ def test_extents_of_several_files_side_by_side(spark):
     positions = spark.createDataFrame([("f", 9), ("f", 10), ("f", 20), ("g", 4), ("g", 5), ("h", 1)], "file string, pos long")
     got = {(r.file, r.pos): r.owner for r in graph.enclosing(extents, positions).collect()}
     assert got == {("f", 9): "a", ("f", 10): "b", ("f", 20): None, ("g", 4): None, ("g", 5): "c", ("h", 1): None}
+
+
+def write(folder, name, text):
+    path = folder / name
+    path.parent.mkdir(parents=True, exist_ok=True)
+    path.write_text(text)
+
+
+@pytest.fixture(scope="module")
+def tree_of_files(tmp_path_factory):
+    root = tmp_path_factory.mktemp("tree")
+    write(root, "go.mod", "module example.org/a\n\ngo 1.22\n")
+    write(root, "LICENSE", "MIT License\n\nPermission is hereby granted, free of charge, to any person")
+    write(root, "README.md", "# Top\n\nSee [it](docs/../docs/a.md).\n\n## Use\n\nrun it\n\n```sh\nmake\n```\n")
+    write(root, "docs/a.md", "# A\n[up](../README.md) [out](https://x.y/z)\n")
+    write(root, "src/x_test.go", "package x\n// TODO: more\n")
+    write(root, "node_modules/skip/me.js", "// TODO: never\n")
+    (root / "empty").mkdir()
+    (root / "link").symlink_to(root / "docs")
+    return root
+
+
+def test_index_with_listeners_and_commands(spark, tree_of_files, tmp_path, capsys):
+    from trellium.cli import main
+
+    run = lambda *args: (got := [], main(["--store", f"file://{tmp_path}/store", *args], spark, got.append))[0]
+    root = tree_of_files
+    assert run("index", str(root))[0].startswith("5 files, 5 folders, 0 gone")
+    e = Engine(spark, folder=f"file://{tmp_path}/store")
+    kinds = {r["type"]: r["count"] for r in e.nodes.groupBy("type").count().collect()}
+    assert kinds == {"fs:dir": 5, "fs:file": 5, "fs:link": 1, "md:document": 2, "md:section": 3, "md:codeblock": 1, "md:link": 1, "code:todo": 1, "project:root": 1, "project:license": 1}
+    uri_of = {r.id: r.uri for r in e.nodes.collect()}
+    edges = {(r.type, uri_of[r.from_id].removeprefix(f"file://{root}"), uri_of[r.to_id].removeprefix(f"file://{root}")) for r in e.edges.collect()}
+    assert {(a, b) for t, a, b in edges if t == "links_to"} == {(f"file+md://{root}/README.md", "/docs/a.md"), (f"file+md://{root}/docs/a.md", "/README.md")}
+    assert ("located_at", f"project+file://{root}", "") in edges and ("has", f"project+file://{root}", f"license+file://{root}/LICENSE") in edges
+    assert ("contains", "/src/x_test.go", f"file+todo://{root}/src/x_test.go#L2") in edges and ("contains", "", "/link") in edges
+    labels = {r.uri.removeprefix(f"file://{root}"): r.labels for r in e.nodes.where("type LIKE 'fs:%' AND size(labels) > 0").collect()}
+    assert labels == {"": ["project:go"], "/go.mod": ["build:config", "lang:go"], "/LICENSE": ["docs:license"], "/README.md": ["docs:readme"], "/src/x_test.go": ["test:file"]}
+
+    (root / "src/x_test.go").write_text("package x\n")
+    (root / "docs/a.md").unlink()
+    assert run("index", str(root))[0].startswith("4 files")
+    e = Engine(spark, folder=f"file://{tmp_path}/store")
+    assert e.nodes.where("type = 'code:todo' OR uri LIKE '%docs/a.md%'").isEmpty() and e.edges.where("type = 'links_to'").isEmpty()
+
+    assert run("query", "SELECT COUNT(*) AS count FROM nodes WHERE type = 'fs:file'", "-o", "json") == ['[\n  {"count": 4}\n]']
+    assert run("query", "SELECT * FROM nodes WHERE type = 'fs:file'", "-o", "count") == ["4"]
+    assert sorted(run("query", "SELECT * FROM nodes WHERE type = 'fs:file'", "-o", "path")) == sorted(f"{root}/{x}" for x in ("go.mod", "LICENSE", "README.md", "src/x_test.go"))
+    assert run("query", "SELECT name FROM nodes WHERE name = 'nothing'") == ["No results"]
+    assert run("types", "-o", "text")[0].split() == ["fs:dir", "5"]
+    assert "  src/" in run("tree", f"file://{root}")[0].split("\n")
+    assert run("labels", "--prefix", "docs:", "-o", "text") == ["docs:license  1", "docs:readme   1"]
+    assert any("parent" in x or "in contains" in x for x in run("show", f"file://{root}/README.md"))
+    document = run("show", f"file+md://{root}/README.md")[-1]
+    assert document.startswith("# Top\n\nSee [it]") and document.index("## Use") < document.index("```sh\nmake\n```")
+    assert run("find", "--name", "*.md", "-o", "uri") == [f"file://{root}/README.md"]
+    assert run("write-node", "x://1", "fs:file", "--name", "one") and run("neighbors", f"file://{root}", "--edge", "contains", "--limit", "2")[0].startswith("DIRECTION")
+    assert run("path", f"file://{root}", f"file://{root}/go.mod", "--edge", "contains")[0].startswith("-[contains]->")
+    assert len(run("gc", "--dry-run")) == 4 and run("info") and run("stats") and run("describe") and run("impact", "x")
+    assert "nodes" in run("parse", "SELECT * FROM nodes")[0]
+    assert main(["--store", f"file://{tmp_path}/store", "show", "nowhere"], spark, print) == 1 and "nowhere" in capsys.readouterr().err
+
+
+def test_siblings_and_pages(spark):
+    nodes = nodes_of(spark, [("d", "fs:dir", "u:d", "d"), *[(x, "fs:file", f"u:{x}", x) for x in "abc"], ("l", "fs:link", "u:l", "l")])
+    edges = edges_of(spark, [*[("contains", "d", x) for x in "abc"], *[("contained_by", x, "d") for x in "abc"], ("links_to", "a", "l")])
+    assert [r.name for r in graph.siblings(nodes, edges, "b").collect()] == ["a", "b", "c"]
+    assert [r.name for r in graph.siblings(nodes, edges, "b", 1, 1).collect()] == ["b"] and graph.siblings(nodes, edges, "d").isEmpty()
+    page = lambda **kw: [r.id for r in graph.navigation(nodes, edges, "d", **kw)[1].where("side = 'out'").orderBy("name").collect()]
+    assert page(page=2) == ["a", "b"] and page(page=2, offset=2) == ["c"] and page(where=compare("name", ">", "a")) == ["b", "c"]
+    assert {(r.group, r.id) for r in graph.navigation(nodes, edges, "a")[1].collect()} == {("parent", "d"), ("child", "l"), ("in", "d")}
+
+
+def test_filters_of_a_navigator(spark):
+    nodes = make_nodes(spark.createDataFrame([("1", "fs:file", "A.go", '{"ext":"go"}'), ("2", "fs:file", "b.md", '{"ext":"md"}'), ("3", "md:section", "c", None), ("4", "vcs:tag", "v1", None)], "id string, type string, name string, data string"))
+    ids = lambda test: sorted(r.id for r in nodes.where(test).collect())
+    assert ids(compare("name", "LIKE", "a%")) == ["1"] and ids(compare("name", "GLOB", "a*")) == [] and ids(compare("data.ext", "!=", "go")) == ["2"]
+    assert ids(compare("name", "=", "")) == ["1", "2", "3", "4"] and ids(category("code", "git")) == ["1", "4"] and ids(category("docs")) == ["3"] and len(ids(category())) == 4
+    with pytest.raises(ValueError):
+        compare("name", "~", "x")
+
+
+def test_symbols(spark):
+    from trellium.sources.symbols import REFERENCE, RELATION, SYMBOL, symbol_graph
+
+    at = lambda file, line, end: ("", "", file, line, 1, end)
+    symbols = [
+        ("/m", "m/p", "interface", None, "Store", *at("a.go", 1, 3)), ("/m", "m/p", "imethod", "Store", "Get", *at("a.go", 2, 2)), ("/m", "m/p", "imethod", "Store", "Put", *at("a.go", 3, 3)),
+        ("/m", "m/q", "struct", None, "Memory", *at("b.go", 1, 2)), ("/m", "m/q", "field", "Memory", "Size", *at("b.go", 2, 2)),
+        ("/m", "m/q", "method", "Memory", "Get", *at("b.go", 4, 6)), ("/m", "m/q", "method", "Memory", "Put", *at("b.go", 7, 9)),
+        ("/m", "m/q", "struct", None, "Half", *at("b.go", 10, 10)), ("/m", "m/q", "method", "Half", "Get", *at("b.go", 11, 12)),
+        ("/m", "m/q", "func", None, "Run", *at("c.go", 1, 9)), ("/m", "m/q", "func", None, "hidden", *at("c.go", 10, 12)),
+    ]
+    uses = [("/m", "m/q", "c.go", n, 2, "call", "Get", "m/q", "method", "Memory") for n in (3, 4)] + [("/m", "m/q", "c.go", 11, 2, "call", "Get", "m/q", "method", "Memory"), ("/m", "m/q", "c.go", 5, 1, "call", "Print", "fmt", "func", None)]
+    relations = [("/m", "imports", "m/q", None, "m/p", None, None), ("/m", "embeds", "m/q", "Half", "m/q", "Memory", "struct")]
+    nodes, edges = symbol_graph(spark.createDataFrame(symbols, SYMBOL), spark.createDataFrame(uses, REFERENCE), spark.createDataFrame(relations, RELATION), "g")
+    short = {r.id: r.uri.removeprefix("go+file:///m") for r in nodes.collect()}
+    kinds = {r["type"]: r["count"] for r in nodes.groupBy("type").count().collect()}
+    assert kinds == {"go:module": 1, "go:package": 2, "go:interface": 1, "go:method": 5, "go:struct": 2, "go:field": 1, "go:func": 1, "go:ref": 4}
+    got = {(r.type, short[r.from_id], short[r.to_id]) for r in edges.collect()}
+    q = "/pkg/m/q"
+    assert {x for x in got if x[0] == "implements"} == {("implements", f"{q}/struct/Memory", "/pkg/m/p/interface/Store")}
+    assert {x for x in got if x[0] == "calls"} == {("calls", f"{q}/func/Run", f"{q}/method/Memory.Get")}
+    assert len([x for x in got if x[0] == "references"]) == 3 and ("imports", q, "/pkg/m/p") in got and ("embeds", f"{q}/struct/Half", f"{q}/struct/Memory") in got
+    assert {b for t, a, b in got if t == "has" and a == f"{q}/struct/Memory"} == {f"{q}/struct/Memory/field/Size", f"{q}/method/Memory.Get", f"{q}/method/Memory.Put"}
+
+
+def test_git_numbers_and_texts_of_numbers():
+    from trellium.functions.scalars import ago_text, count_text, duration_text, size_text
+    from trellium.model import EdgeType, NodeType
+    from trellium.sources.git import numstat
+
+    assert numstat("\x1eabc\n\n3\t1\tx.py\n-\t-\ty.png\n\x1edef\n") == {"abc": (2, 3, 1), "def": (0, 0, 0)}
+    assert [size_text(n) for n in (5, 1536, 1 << 20, 3 << 30)] == ["5 B", "1.5 KB", "1.0 MB", "3.0 GB"]
+    assert [duration_text(s) for s in (0.5, 59.9, 60, 61, 3600, 3661)] == ["< 1s", "59s", "1m", "1m 1s", "1h", "1h 1m"]
+    assert [ago_text(s) for s in (3, 60, 7200, 86400, 200000)] == ["just now", "1 minute ago", "2 hours ago", "1 day ago", "2 days ago"]
+    assert count_text(1234567) == "1,234,567" and NodeType.fs_file == "fs:file" and EdgeType.contains == "contains" and "md:link" in set(NodeType)
+
+
+def test_provider_over_http():
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    class Answer(BaseHTTPRequestHandler):
+        def do_POST(self):
+            texts = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["input"]
+            body = json.dumps({"embeddings": [[float(len(t)), 1.0] for t in texts if t != "lost"]}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(body)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Answer)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        provider = vector.HttpProvider(f"http://127.0.0.1:{server.server_port}", dimensions=2)
+        assert provider.embed(["a", "bcd"]).tolist() == [[1.0, 1.0], [3.0, 1.0]]
+        with pytest.raises(ValueError):
+            provider.embed(["a", "lost"])
+    finally:
+        server.shutdown()
+
+
+def test_token_counts_and_clean_paths(spark):
+    from trellium.functions.scalars import token_count
+
+    rows = spark.createDataFrame([("a b c",), ("",), (None,)], "t string")
+    assert [r.n for r in rows.select(token_count("t", str.split).alias("n")).collect()] == [3, 0, 0]
+    paths = spark.createDataFrame([("/a/b/../c.md",), ("/a/./b//c",), ("/../x",)], "p string")
+    assert [r.p for r in paths.select(tx.clean_path("p").alias("p")).collect()] == ["/a/c.md", "/a/b/c", "/x"]

@@ -6,20 +6,25 @@ import contextlib
 import io
 import time
 import uuid
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from functools import reduce
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .model import EDGE, EMBEDDING, NODE, EdgeNotFound, NodeNotFound, NoEmbeddingProvider, Registry, active, conform, empty, make_nodes
-from .operators import context, graph, introspect, store, vector
+from .functions.scalars import path_of, scope_prefix
+from .model import EDGE, EMBEDDING, NODE, EdgeNotFound, NodeNotFound, NoEmbeddingProvider, QueryError, Registry, active, conform, empty, make_nodes
+from .operators import context, graph, introspect, output, store, vector
 from .operators.filters import NodeFilter, find
 from .plans.ast import Query
 from .plans.builder import Select, built
 from .plans.compile import Result, compile_query
 from .plans.parser import parse
 from .plans.unparse import dump, unparse
-from .sources.base import Source, Sources
+from .shared import settled
+from .sources.base import Source, Sources, wanted
+from .sources.text import with_labels
 
 
 class Engine:
@@ -38,6 +43,14 @@ class Engine:
     def query(self, q: str | Query | Select, params: dict | None = None) -> Result:
         return compile_query(parse(q) if isinstance(q, str) else built(q), self.nodes, self.edges, params)
 
+    def rows(self, q: str | Query | Select, params: dict | None = None, how: str = "table") -> Iterator[str]:
+        """The result of a query as text; what fails while it runs is a QueryError of phase execute."""
+        result = self.query(q, params)
+        try:
+            yield from output.rendered(result, how)
+        except PySparkException as e:
+            raise QueryError("execute", str(e)) from e
+
     def sql(self, q: str | Query | Select, params: dict | None = None) -> DataFrame:
         return self.query(q, params).df
 
@@ -92,6 +105,15 @@ class Engine:
     def tree(self, reference: str, depth: int = 3, types: Sequence[str] = ()) -> DataFrame:
         return graph.tree(active(self.nodes), active(self.edges), self.resolve(reference), depth, types)
 
+    def navigate(self, reference: str, page: int = 20, offset: int = 0, where=None) -> tuple[DataFrame, DataFrame]:
+        return graph.navigation(active(self.nodes), active(self.edges), self.resolve(reference), page, offset, where)
+
+    def siblings(self, reference: str, page: int = 20, offset: int = 0) -> DataFrame:
+        return graph.siblings(active(self.nodes), active(self.edges), self.resolve(reference), page, offset)
+
+    def document(self, reference: str) -> str:
+        return graph.document_text(active(self.nodes), active(self.edges), self.resolve(reference))
+
     def impact(self, symbol: str) -> tuple[DataFrame, DataFrame]:
         return graph.impact(active(self.nodes), active(self.edges), symbol)
 
@@ -106,6 +128,11 @@ class Engine:
         vectors = list(zip(queries, self.provider.embed(list(queries)).tolist()))
         return vector.search(self.embeddings, vectors, limit, active(self.nodes), where, min_score)
 
+    def semantic_find(self, queries: Sequence[str], kind: str | None = None, path: str | None = None, limit: int = 20, min_score: float = 0.5, exclude_types: Sequence[str] = ()) -> DataFrame:
+        """search() as the command does it: scores of 0.5 and more, one type, and below path only if a type is given."""
+        prefix = scope_prefix(kind, path) if kind and path else None
+        return self.search(queries, limit, NodeFilter(types=[kind] if kind else [], uri_prefix=prefix, exclude_types=exclude_types), min_score)
+
     def find_similar(self, values: Sequence[float], limit: int = 0, where: NodeFilter | None = None) -> DataFrame:
         return vector.find_similar(self.embeddings, values, limit, active(self.nodes), where)
 
@@ -180,23 +207,52 @@ class Engine:
         self.sources.register(source)
 
     def index(self, uri: str, skip_gc: bool = False) -> dict:
-        """Read a source, write its nodes and edges as a new generation, drop what is stale below it, and record the run."""
+        """Read a source, write its nodes and edges as a new generation, drop what is stale below it, and record the run.
+
+        What the source found goes as visited events to the sources that want them; their nodes of older generations
+        below the same path, and so those of files that are gone, are dropped too. When all is written, sources that
+        have a last stage add the edges it finds.
+        """
         source, generation, began = self.sources.of(uri), uuid.uuid4().hex, time.time()
         nodes, edges = source.read(self.spark, uri, generation)
-        old = store.stale(self.nodes, generation, uri).count()
-        self.nodes = store.fresh(store.upsert_nodes(self.nodes, nodes), generation, uri)
-        self.edges = store.upsert_edges(self.edges, edges)
-        gone = store.stale_edges(self.nodes, self.edges, generation, uri)
-        self.edges = self.edges.join(gone.select("id"), "id", "left_anti").select(*self.edges.columns)
+        listeners = self.sources.subscribers()
+        if listeners:
+            nodes, edges = settled(nodes), settled(edges)
+        events = nodes.select(F.lit("visited").alias("event"), "id", "type", "name", "uri", path_of("uri").alias("path"))
+        labels = None
+        for listener in listeners:
+            more_nodes, more_edges, more_labels = listener.handle(wanted(events, listener.subscriptions), generation, uri)
+            if more_nodes is not None:
+                nodes, edges = nodes.unionByName(more_nodes), edges.unionByName(more_edges)
+            if more_labels is not None:
+                labels = more_labels if labels is None else labels.unionByName(more_labels)
+        if labels is not None:
+            every = labels.select("id", F.explode("labels").alias("l")).groupBy("id").agg(F.array_sort(F.collect_set("l")).alias("labels"))
+            nodes = with_labels(nodes, every)
+        if listeners:
+            nodes, edges = settled(nodes), settled(edges)
+        places = [uri, *(f"{scheme}{uri.split('://', 1)[-1]}" for scheme in self.sources.derived())]
+        old = reduce(DataFrame.unionByName, (store.stale(self.nodes, generation, p).select("id") for p in places))
+        gone = settled(old.join(nodes.select("id"), "id", "left_anti").distinct())
+        kept = self.nodes.join(gone, "id", "left_anti").select(*self.nodes.columns)
+        # Each step is written before the next reads it, as a plan of all would hold the first ones many times over.
+        self.nodes = settled(store.upsert_nodes(kept, nodes))
+        edges = settled(store.upsert_edges(self.edges, edges))
+        dropped = store.stale_edges(self.nodes, edges, generation, *places)
+        self.edges = edges.join(dropped.select("id"), "id", "left_anti").select(*edges.columns)
         self._save("nodes", "edges")
+        last = [s.post(self.nodes, self.edges, generation) for s in self.sources.known if hasattr(s, "post")]
+        if last:
+            self.edges = store.upsert_edges(self.edges, reduce(DataFrame.unionByName, last))
         if not skip_gc:
             self.edges = store.connected_edges(self.nodes, self.edges)
+        if last or not skip_gc:
             self._save("edges")
         if self.provider is not None:
             self.put_embeddings(vector.embed_nodes(self.nodes, self.provider, generation))
         counts = {r["type"]: r["count"] for r in self.nodes.where(F.col("generation") == generation).groupBy("type").count().collect()}
         stamp = lambda t: time.strftime("%Y-%m-%dT%H:%M:%SZ", time.gmtime(t))
-        run = {"started_at": stamp(began), "finished_at": stamp(time.time()), "duration_ms": int(1000 * (time.time() - began)), "root_path": uri, "files_indexed": counts.get("fs:file", 0), "dirs_indexed": counts.get("fs:dir", 0), "repos_indexed": counts.get("vcs:repo", 0), "stale_removed": old, "generation": generation}
+        run = {"started_at": stamp(began), "finished_at": stamp(time.time()), "duration_ms": int(1000 * (time.time() - began)), "root_path": uri, "files_indexed": counts.get("fs:file", 0), "dirs_indexed": counts.get("fs:dir", 0), "repos_indexed": counts.get("vcs:repo", 0), "stale_removed": gone.count(), "generation": generation}
         if self.store:
             self.store.append_run(**run)
         return run

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable, Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -121,22 +123,58 @@ def embedding_text() -> Column:
 
 
 def display_name() -> Column:
-    """How a tree shows a node: directories with a slash, commits by short name, else name, key or uri."""
+    """How a tree shows a node by its type and data: folders with a slash, links with their target, sections with their level."""
     plain = F.coalesce(F.nullif("name", F.lit("")), F.nullif("key", F.lit("")), F.nullif("uri", F.lit("")), F.col("id"))
-    return F.when(F.col("type") == "fs:dir", F.concat(plain, F.lit("/"))).when(F.col("type") == "vcs:commit", commit_name("key", "name")).otherwise(plain)
+    told = lambda *paths: F.coalesce(*[F.nullif(field("data", x), F.lit("")) for x in paths])
+    short = lambda c: F.when(F.length(c) > 50, F.concat(F.left(c, F.lit(47)), F.lit("..."))).otherwise(c)
+    target, kind = short(told("url", "target")), F.col("type")
+    lines = F.coalesce(field("data", "lines", "int"), F.size(F.split(field("data", "content"), "\n")), F.lit(0))
+    return (
+        F.when(kind == "fs:dir", F.concat(plain, F.lit("/")))
+        .when((kind == "fs:link") & told("target").isNotNull(), F.concat(plain, F.lit(" -> "), told("target")))
+        .when(kind == "vcs:commit", commit_name("key", "name"))
+        .when((kind == "vcs:remote") & told("urls[0]").isNotNull(), F.concat(plain, F.lit(" ("), told("urls[0]"), F.lit(")")))
+        .when((kind == "vcs:branch") & F.coalesce(field("data", "is_head", "boolean"), F.lit(False)), F.concat(plain, F.lit(" *")))
+        .when((kind == "md:section") & told("level").isNotNull(), F.concat(plain, F.lit(" (h"), told("level"), F.lit(")")))
+        .when(kind == "md:codeblock", F.concat(F.coalesce(F.nullif("name", F.lit("")), F.lit("text")), F.lit(" ("), lines.cast("string"), F.lit(" lines)")))
+        .when((kind == "md:link") & target.isNotNull(), F.when(F.col("name") != "", F.concat(F.lit("["), "name", F.lit("]("), target, F.lit(")"))).otherwise(target))
+        .when(kind == "md:image", F.when(F.col("name") != "", F.concat(F.lit("!["), "name", F.lit("]"))).otherwise(F.coalesce(target, plain)))
+        .otherwise(plain)
+    )
 
 
 def size_text(n: int) -> str:
-    for unit in ("B", "KB", "MB", "GB", "TB"):
-        if n < 1024 or unit == "TB":
-            return f"{n} {unit}" if unit == "B" else f"{n:.1f} {unit}"
-        n /= 1024
-    return ""
+    for unit, one in (("GB", 1 << 30), ("MB", 1 << 20), ("KB", 1 << 10)):
+        if n >= one:
+            return f"{n / one:.1f} {unit}"
+    return f"{n} B"
 
 
 def duration_text(seconds: float) -> str:
+    """The two largest units that are not zero."""
     if seconds < 1:
-        return f"{seconds * 1000:.0f}ms"
+        return "< 1s"
+    hours, minutes, rest = int(seconds // 3600), int(seconds // 60) % 60, int(seconds) % 60
+    parts = [(hours, "h"), (minutes, "m")] if hours else [(minutes, "m"), (rest, "s")]
+    return " ".join(f"{n}{unit}" for n, unit in parts if n)
+
+
+def ago_text(seconds: float) -> str:
     if seconds < 60:
-        return f"{seconds:.1f}s"
-    return f"{int(seconds // 60)}m{int(seconds % 60)}s"
+        return "just now"
+    n, unit = next((int(seconds // one), u) for one, u in ((86400, "day"), (3600, "hour"), (60, "minute")) if seconds >= one)
+    return f"{n} {unit}{'' if n == 1 else 's'} ago"
+
+
+def count_text(n: int) -> str:
+    return f"{n:,}"
+
+
+def token_count(text: str | Column, encode: Callable[[str], Sequence]) -> Column:
+    """How many tokens encode gives of each text; null has none. encode goes to the workers, so it must be picklable."""
+
+    @F.pandas_udf("long")
+    def count(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: len(encode(t)) if t else 0).astype("int64")
+
+    return count(col(text))

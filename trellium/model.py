@@ -38,6 +38,20 @@ EDGE_TYPES = [
 ]
 
 
+class _Names:
+    """Type names as attributes: NodeType.fs_file is fs:file, EdgeType.contains is contains."""
+
+    def __init__(self, names: list[str]):
+        self.__dict__.update({n.replace(":", "_"): n for n in names})
+
+    def __iter__(self):
+        return iter(self.__dict__.values())
+
+
+NodeType = _Names([f"{domain}:{name}" for domain, names in NODE_TYPES.items() for name in names])
+EdgeType = _Names(EDGE_TYPES)
+
+
 class EngineError(Exception):
     """Base of this package's errors."""
 

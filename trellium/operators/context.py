@@ -12,14 +12,20 @@ from pyspark.sql import functions as F
 from ..functions.scalars import field as json_field
 from ..sources.text import merged_ranges
 
-#: Verbs of each intent, and words that are no names.
+#: Verbs of each intent, and words that are no names (fixed values).
 INTENTS = {
-    "fix": ["fix", "debug", "repair", "resolve"],
-    "modify": ["add", "change", "update", "modify", "extend", "refactor", "implement", "rename", "improve"],
-    "remove": ["remove", "delete", "drop"],
-    "understand": ["understand", "explain", "how", "what", "why", "where", "describe", "find", "show"],
+    "modify": "add change update modify refactor improve enhance extend edit adjust optimize".split(),
+    "fix": "fix debug resolve repair correct patch troubleshoot".split(),
+    "understand": "explain understand describe analyze review examine investigate explore study".split(),
+    "add": "implement create write build new introduce develop".split(),
+    "remove": "remove delete drop eliminate deprecate".split(),
 }
-STOP = set("the a an and or of in on to for with from by is are be this that it its as at into how what why where when which do does".split())
+STOP = set(
+    """a an the is are was were be been being have has had do does did will would could should may might must can to of in for
+    on with at by from as into through and or but if then else when where why how what which who whom whose that this these
+    those it its i me my we us our you your he she they them their all any both each few more most other some such no not only
+    same so than too very just also now here there""".split()
+)
 DEFINED, MEMBERS, SCORE_DEFINED, SCORE_MEMBER, SCORE_IMPLEMENTS, SCORE_REF, SCORE_SIBLING = 10, ("has", "defines"), 100, 80, 75, 60, 40
 REFS, SIBLINGS, RESERVE = 100, 50, 200
 
@@ -29,7 +35,7 @@ class Task:
     description: str
     symbols: tuple[str, ...] = ()
     keywords: tuple[str, ...] = ()
-    intent: str = "understand"
+    intent: str = "general"
 
 
 def parse_task(description: str) -> Task:
@@ -38,7 +44,7 @@ def parse_task(description: str) -> Task:
     names = re.findall(r"\b[A-Za-z_]\w*(?:\.[A-Za-z_]\w*)+\b|\b[A-Z][a-z0-9]+(?:[A-Z][a-z0-9]*)*\b|\b[a-z]+(?:[A-Z][a-z0-9]*)+\b|\b[A-Z][A-Za-z0-9]*[A-Z][A-Za-z0-9]*\b", description)
     words = re.findall(r"[A-Za-z]+", description)
     verbs = {v: k for k, own in INTENTS.items() for v in own}
-    intent = next((verbs[w.lower()] for w in words if w.lower() in verbs), "understand")
+    intent = next((verbs[w.lower()] for w in words if w.lower() in verbs), "general")
     symbols = []
     for name in quoted + names:
         if name.lower() in verbs or name.lower() in STOP:

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalars import field, glob_regex
+from ..functions.scalars import field, glob_regex, like
 from ..plans.predicates import any_of
 
 
@@ -71,6 +72,28 @@ class NodeFilter:
         return out
 
 
+#: Extensions that count as code (fixed values).
+CODE = ["go", "py", "js", "ts", "tsx", "rs", "c", "cpp", "java", "rb", "sh", "lua", "zig", "swift"]
+
+
+def compare(path: str, op: str, value: str) -> Column:
+    """A column, or a field of data, against a text: GLOB, LIKE, =, !=, > or <; an empty text lets all through."""
+    if not value:
+        return F.lit(True)
+    side = field("data", path.removeprefix("data.")) if path.startswith("data.") else F.col(path)
+    tests = {"GLOB": lambda: side.rlike(glob_regex(value)), "LIKE": lambda: like(side, value), "=": lambda: side == value, "!=": lambda: side != value, ">": lambda: side > value, "<": lambda: side < value}
+    if op not in tests:
+        raise ValueError(f"no operator {op}")
+    return tests[op]()
+
+
+def category(*names: str) -> Column:
+    """Nodes of any of the categories dirs, files, code, docs and git; without names all."""
+    kind = F.col("type")
+    known = {"dirs": kind == "fs:dir", "files": kind == "fs:file", "code": (kind == "fs:file") & field("data", "ext").isin(CODE), "docs": kind.startswith("md:"), "git": kind.startswith("vcs:")}
+    return reduce(Column.__or__, (known[n] for n in names)) if names else F.lit(True)
+
+
 ORDERS = {"name": "name", "updated": "updated_at", "updated_at": "updated_at", "created": "created_at", "created_at": "created_at", "type": "type"}
 
 

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import display_name
+from ..functions.scalars import field as json_field
 from ..model import NodeNotFound
 from ..plans.paths import distances, of_types, oriented, reachable
 from ..shared import settled
@@ -203,12 +204,69 @@ def calls(pairs: DataFrame) -> DataFrame:
     return make_edges(pairs.dropDuplicates(["caller", "callee"]).select(F.lit("calls").alias("type"), F.col("caller").alias("from_id"), F.col("callee").alias("to_id")))
 
 
-def navigation(nodes: DataFrame, edges: DataFrame, node_id: str, page: int = 20) -> tuple[DataFrame, DataFrame]:
-    """Counts of a node's edges by type and side, and the first page of each group by name."""
+#: Edge types that lead from a node to what holds it (fixed values).
+UPWARD = ["contained_by", "belongs_to", "located_at"]
+
+
+def navigation(nodes: DataFrame, edges: DataFrame, node_id: str, page: int = 20, offset: int = 0, where: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Counts of a node's edges by type and side, and one page of each group by name, those from offset on.
+
+    group is parent for what the node's edges of UPWARD lead to, child for its other edges, and in for edges to it. where
+    speaks of the nodes on the page. One node's groups are ranked in one task each, as a page needs.
+    """
     hops = oriented(edges, "out").where(F.col("src") == node_id).select("type", F.lit("out").alias("side"), "dst").unionByName(
         oriented(edges, "in").where(F.col("src") == node_id).select("type", F.lit("in").alias("side"), "dst")
     )
     counts = hops.groupBy("side", "type").count()
-    n = Window.partitionBy("side", "type").orderBy("name", "id")
-    rows = hops.withColumnRenamed("type", "edge_type").join(nodes, F.col("dst") == F.col("id")).withColumn("_n", F.row_number().over(n.partitionBy("side", "edge_type")))
-    return counts, rows.where(F.col("_n") <= page).drop("_n", "dst")
+    group = F.when(F.col("side") == "in", "in").when(F.col("edge_type").isin(UPWARD), "parent").otherwise("child")
+    shown = nodes if where is None else nodes.where(where)
+    rows = hops.withColumnRenamed("type", "edge_type").join(shown, F.col("dst") == F.col("id"))
+    rows = rows.withColumns({"group": group, "_n": F.row_number().over(Window.partitionBy("side", "edge_type").orderBy("name", "id"))})
+    return counts, rows.where((F.col("_n") > offset) & (F.col("_n") <= offset + page)).drop("_n", "dst")
+
+
+def siblings(nodes: DataFrame, edges: DataFrame, node_id: str, page: int = 20, offset: int = 0) -> DataFrame:
+    """A page by name of what the first parent contains, or has if it contains nothing; the node itself is among them."""
+    up = edges.where((F.col("from_id") == node_id) & F.col("type").isin("contained_by", "belongs_to"))
+    first = up.join(nodes.select(F.col("id").alias("to_id"), "name"), "to_id").orderBy("type", "name", "to_id").limit(1).select(F.col("to_id").alias("from_id"))
+    below = edges.where(F.col("type").isin("contains", "has")).join(F.broadcast(first), "from_id", "left_semi").select("type", "to_id")
+    kinds = below.agg(F.min("type").alias("type"))
+    held = below.join(F.broadcast(kinds), "type", "left_semi").select(F.col("to_id").alias("id")).distinct()
+    out = nodes.join(held, "id", "left_semi").orderBy("name", "id")
+    return (out.offset(offset) if offset else out).limit(page)
+
+
+def document_children(nodes: DataFrame, edges: DataFrame, node_id: str) -> DataFrame:
+    """place and the columns of the sections and code blocks that a document or section has, in the order of the text."""
+    held = edges.where((F.col("type") == "has") & (F.col("from_id") == node_id)).select(F.col("to_id").alias("id"))
+    place = F.coalesce(json_field("data", "position.line", "int"), json_field("data", "position", "int"), F.lit(0))
+    return nodes.where(F.col("type").isin("md:section", "md:codeblock")).join(held, "id", "left_semi").select(place.alias("place"), "*").orderBy("place", "id")
+
+
+def document_text(nodes: DataFrame, edges: DataFrame, node_id: str) -> str:
+    """A document or section with all below it as markdown.
+
+    The parts below are found level by level on the cluster; only those of the one document are fetched, to be joined.
+    """
+    parts = nodes.where(F.col("type").isin("md:document", "md:section", "md:codeblock"))
+    has = edges.where("type = 'has'").select("from_id", "to_id")
+    ids = nodes.sparkSession.createDataFrame([(node_id,)], "id string")
+    under = reachable(has.select(F.col("from_id").alias("src"), F.col("to_id").alias("dst")), ids, 0, None)
+    place = F.coalesce(json_field("data", "position.line", "int"), json_field("data", "position", "int"), F.lit(0))
+    kept = parts.join(under, "id", "left_semi").select("id", "type", "name", place.alias("place"), json_field("data", "level", "int").alias("level"), json_field("data", "content").alias("content"))
+    up = has.join(kept.select(F.col("id").alias("from_id")), "from_id", "left_semi").select(F.col("to_id").alias("id"), F.col("from_id").alias("above"))
+    rows = {r["id"]: r for r in kept.collect()}
+    if node_id not in rows:
+        raise NodeNotFound(node_id)
+    below: dict[str, list] = {}
+    for r in up.join(kept.select("id"), "id", "left_semi").collect():
+        below.setdefault(r["above"], []).append(rows[r["id"]])
+    out, todo = [], [rows[node_id]]
+    while todo:
+        r = todo.pop()
+        if r["type"] == "md:codeblock":
+            out.append(f"```{r['name'] or ''}\n{(r['content'] or '').rstrip(chr(10))}\n```\n")
+        elif r["type"] == "md:section":
+            out.append("#" * (r["level"] or 1) + f" {r['name']}\n" + (f"\n{r['content']}\n" if r["content"] else ""))
+        todo += sorted(below.get(r["id"], []), key=lambda x: (x["place"], x["id"]), reverse=True)
+    return "\n".join(out)

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..model import EDGE, EMBEDDING, NODE, RUN, EngineError, conform, empty
@@ -63,9 +63,9 @@ def upsert_embeddings(base: DataFrame, batch: DataFrame) -> DataFrame:
     return base.join(new.select("node_id"), "node_id", "left_anti").select("node_id", "embedding").unionByName(new)
 
 
-def stale_edges(nodes: DataFrame, edges: DataFrame, generation: str, uri_prefix: str) -> DataFrame:
-    """Edges of another generation (null is none) that start at a node under a prefix of its URI."""
-    own = nodes.where(F.col("uri").startswith(uri_prefix)).select(F.col("id").alias("from_id"))
+def stale_edges(nodes: DataFrame, edges: DataFrame, generation: str, *uri_prefixes: str) -> DataFrame:
+    """Edges of another generation (null is none) that start at a node whose URI has one of the prefixes."""
+    own = nodes.where(reduce(Column.__or__, (F.col("uri").startswith(p) for p in uri_prefixes))).select(F.col("id").alias("from_id"))
     return edges.where(F.col("generation") != generation).join(own, "from_id", "left_semi").select(*edges.columns)
 
 

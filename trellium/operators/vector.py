@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import hashlib
+import json
+import urllib.request
 from collections.abc import Iterator, Sequence
 from typing import Protocol
 
@@ -53,6 +55,22 @@ class HashingProvider:
         return out / np.where(norm > 0, norm, 1)
 
 
+class HttpProvider:
+    """A server that answers {model, input} at /api/embed with embeddings, one for each input; a batch is one request."""
+
+    def __init__(self, url: str = "http://localhost:11434", model: str = "nomic-embed-text", dimensions: int = 768, timeout: float = 60):
+        self.url, self.model, self.dimensions, self.timeout, self.name = url.rstrip("/"), model, dimensions, timeout, f"http/{model}"
+
+    def embed(self, texts: list[str]) -> np.ndarray:
+        body = json.dumps({"model": self.model, "input": texts}).encode()
+        request = urllib.request.Request(f"{self.url}/api/embed", body, {"Content-Type": "application/json"})
+        with urllib.request.urlopen(request, timeout=self.timeout) as answer:
+            got = json.load(answer).get("embeddings", [])
+        if len(got) != len(texts):
+            raise ValueError(f"{len(texts)} texts got {len(got)} embeddings")
+        return np.asarray(got, np.float32).reshape(len(texts), -1)
+
+
 def embed_nodes(nodes: DataFrame, provider: Provider, generation: str | None = None, types: Sequence[str] = EMBEDDED) -> DataFrame:
     """node_id, embedding of the nodes of those types, of one generation or all; batches that fail are left out."""
     rows = nodes.where(F.col("type").isin(list(types)))

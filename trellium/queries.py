@@ -390,14 +390,14 @@ _tables(
     "SELECT CAST(doc_id AS VARCHAR) AS path, CAST(line AS INT) AS line, upper(m.kind) AS kind, trim(m.text) AS text FROM r WHERE m.kind <> ''",
 )
 _HAS = "contains(head, '{}')".format
+_BYTES = "coalesce(" + ", ".join(f"try(decode(encode(text)[1:{n}]))" for n in (1024, 1023, 1022, 1021)) + ")"  # a character cut in two goes
 _tables(
     "licence_detect_all", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select(licence("text").alias("licence")).groupBy("licence").agg(F.count("*").alias("count")),
-    "WITH t AS (SELECT regexp_replace(lower(left(text, 1024)), '\\s+', ' ', 'g') AS head FROM documents) SELECT CASE "
-    f"WHEN {_HAS('apache license')} AND {_HAS('version 2.0')} THEN 'Apache-2.0' WHEN {_HAS('gnu affero general public license')} THEN 'AGPL-3.0' "
-    f"WHEN {_HAS('gnu lesser general public license')} AND {_HAS('version 3')} THEN 'LGPL-3.0' WHEN {_HAS('gnu lesser general public license')} AND {_HAS('version 2.1')} THEN 'LGPL-2.1' "
-    f"WHEN {_HAS('gnu general public license')} AND {_HAS('version 3')} THEN 'GPL-3.0' WHEN {_HAS('gnu general public license')} AND {_HAS('version 2')} THEN 'GPL-2.0' "
-    f"WHEN {_HAS('mozilla public license')} AND {_HAS('2.0')} THEN 'MPL-2.0' WHEN {_HAS('redistribution and use in source and binary forms')} THEN CASE WHEN {_HAS('neither the name')} THEN 'BSD-3-Clause' ELSE 'BSD-2-Clause' END "
-    f"WHEN {_HAS('permission to use, copy, modify, and/or distribute')} THEN 'ISC' WHEN {_HAS('permission is hereby granted, free of charge')} THEN 'MIT' WHEN {_HAS('this is free and unencumbered software')} THEN 'Unlicense' "
+    f"WITH t AS (SELECT lower({_BYTES}) AS head FROM documents) SELECT CASE WHEN {_HAS('permission is hereby granted, free of charge')} THEN 'MIT' WHEN {_HAS('apache license, version 2.0')} THEN 'Apache-2.0' "
+    f"WHEN {_HAS('gnu general public license')} AND {_HAS('version 3')} THEN 'GPL-3.0-only' WHEN {_HAS('gnu general public license')} AND {_HAS('version 2')} THEN 'GPL-2.0-only' "
+    f"WHEN {_HAS('gnu lesser general public license')} AND {_HAS('version 2.1')} THEN 'LGPL-2.1-only' "
+    f"WHEN {_HAS('redistribution and use in source and binary forms')} THEN CASE WHEN {_HAS('neither the name')} THEN 'BSD-3-Clause' ELSE 'BSD-2-Clause' END "
+    f"WHEN {_HAS('permission to use, copy, modify, and/or distribute')} THEN 'ISC' WHEN {_HAS('mozilla public license, version 2.0')} THEN 'MPL-2.0' "
     "ELSE 'unknown' END AS licence, count(*) AS count FROM t GROUP BY 1",
 )
 _tables(

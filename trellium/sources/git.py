@@ -20,6 +20,17 @@ def _git(path: str, *args: str) -> str:
     return subprocess.run(["git", "-C", path, *args], capture_output=True, text=True, check=True).stdout
 
 
+def numstat(text: str) -> dict[str, tuple[int, int, int]]:
+    """Files changed, lines added and lines removed by commit, of a log with numbers; of binary files no lines."""
+    out = {}
+    for block in text.split("\x1e")[1:]:
+        sha, *lines = block.strip("\n").split("\n")
+        rows = [x.split("\t") for x in lines if x.count("\t") >= 2]
+        number = lambda x: int(x) if x.isdigit() else 0
+        out[sha] = len(rows), sum(number(r[0]) for r in rows), sum(number(r[1]) for r in rows)
+    return out
+
+
 class GitSource:
     """The history is read on the driver: it is bounded by MOST_COMMITS."""
 
@@ -33,10 +44,13 @@ class GitSource:
             raise NoSource("git is not installed")
         path = uri.removeprefix("git+file://")
         log = [tuple(x.strip("\n").split("\x1f")) for x in _git(path, "log", f"-{self.most}", f"--format={_FORMAT}").split("\x1e") if x.strip()]
-        raw = spark.createDataFrame(log, "sha string, parents string, author string, email string, date string, message string")
+        changes = numstat(_git(path, "log", f"-{self.most}", "--no-merges", "--root", "--numstat", "--format=%x1e%H"))
+        log = [(*x, *changes.get(x[0], (0, 0, 0))) for x in log]
+        raw = spark.createDataFrame(log, "sha string, parents string, author string, email string, date string, message string, files_changed long, insertions long, deletions long")
+        raw = raw.withColumns({c: F.when(F.size(F.split("parents", " ")) > 1, 0).otherwise(F.when(F.col("parents") == "", 0).otherwise(F.col(c))) for c in ("files_changed", "insertions", "deletions")})
         parsed = commits(raw).withColumn("parents", F.filter(F.split("parents", " "), lambda p: p != ""))
         of = lambda sha: F.concat(F.lit(f"{uri}#commit:"), sha)
-        data = F.to_variant_object(F.struct("sha", "author", "email", "date", "message", "type", "scope", "breaking", "subject", "body", "refs", "parents"))
+        data = F.to_variant_object(F.struct("sha", "author", "email", "date", "message", "type", "scope", "breaking", "subject", "body", "refs", "footers", "parents", "files_changed", "insertions", "deletions"))
         nodes = make_nodes(parsed.select(F.lit("vcs:commit").alias("type"), of(F.col("sha")).alias("uri"), F.col("sha").alias("key"), commit_name("sha", "subject").alias("name"), data.alias("data"), F.lit(generation).alias("generation")))
         refs = [("vcs:repo", uri, path.rstrip("/").rsplit("/", 1)[-1])]
         refs += [("vcs:branch", f"{uri}#branch:{b}", b) for b in _git(path, "branch", "--format=%(refname:short)").split()]

@@ -18,21 +18,20 @@ from ..functions.scalars import path_glob_regex
 ANNOTATION = r"(?i)^\s*(?://|#|--|;)\s*\*?\s*(TODO|FIXME|HACK|XXX|NOTE)\b[:.]?\s*(.*)"
 HEADER = r"^(\w+)(?:\(([^)]+)\))?(!)?: (.+)$"
 TRAILER = r"^([A-Za-z][\w-]*|BREAKING CHANGE): (.+)$"
-#: Licences in order; the first fits whose texts are all in the first 1024 characters, and none of the others.
+#: Licences in order (fixed values); the first fits whose texts are all in the head of a file, and none of the others.
 LICENCES = [
-    ("Apache-2.0", ["apache license", "version 2.0"], []),
-    ("AGPL-3.0", ["gnu affero general public license"], []),
-    ("LGPL-3.0", ["gnu lesser general public license", "version 3"], []),
-    ("LGPL-2.1", ["gnu lesser general public license", "version 2.1"], []),
-    ("GPL-3.0", ["gnu general public license", "version 3"], []),
-    ("GPL-2.0", ["gnu general public license", "version 2"], []),
-    ("MPL-2.0", ["mozilla public license", "2.0"], []),
+    ("MIT", ["permission is hereby granted, free of charge"], []),
+    ("Apache-2.0", ["apache license, version 2.0"], []),
+    ("GPL-3.0-only", ["gnu general public license", "version 3"], []),
+    ("GPL-2.0-only", ["gnu general public license", "version 2"], []),
+    ("LGPL-2.1-only", ["gnu lesser general public license", "version 2.1"], []),
     ("BSD-3-Clause", ["redistribution and use in source and binary forms", "neither the name"], []),
     ("BSD-2-Clause", ["redistribution and use in source and binary forms"], ["neither the name"]),
     ("ISC", ["permission to use, copy, modify, and/or distribute"], []),
-    ("MIT", ["permission is hereby granted, free of charge"], []),
-    ("Unlicense", ["this is free and unencumbered software"], []),
+    ("MPL-2.0", ["mozilla public license, version 2.0"], []),
 ]
+#: Names of files that hold a licence, as regular expression.
+LICENCE_FILE = r"^(LICENSE.*|LICENCE.*|COPYING)$"
 
 
 def annotations(files: DataFrame, most: int = 2 << 20) -> DataFrame:
@@ -56,8 +55,9 @@ def annotations(files: DataFrame, most: int = 2 << 20) -> DataFrame:
 
 
 def licence(text: str | Column) -> Column:
-    head = F.lower(F.left(F.col(text) if isinstance(text, str) else text, F.lit(1024)))
-    head = F.regexp_replace(head, r"\s+", " ")
+    """The licence that the first 1024 bytes of a text speak of, or unknown."""
+    whole = F.col(text) if isinstance(text, str) else text
+    head = F.lower(F.substring(whole.cast("binary"), 1, 1024).cast("string"))
     out = None
     for name, needed, barred in LICENCES:
         test = F.lit(True)
@@ -111,21 +111,57 @@ class Rule:
     path: str | None = None
 
 
-def extension_rules(languages: dict[str, Sequence[str]]) -> list[Rule]:
-    """A rule lang:x for each extension of each language."""
-    return [Rule((f"lang:{language}",), name=f"*.{e}") for language, ends in languages.items() for e in ends]
+def _rules(label: str, names: str = "", paths: str = "") -> list[Rule]:
+    """A rule for each name and each path, of labels parted by commas."""
+    labels = tuple(label.split(","))
+    return [Rule(labels, name=x) for x in names.split()] + [Rule(labels, path=x) for x in paths.split()]
 
 
-#: Rules for what common file names and folders say.
+#: Labels of files by name, then by path below the root (fixed values).
 RULES = [
-    *extension_rules({"go": ["go"], "python": ["py", "pyi"], "javascript": ["js", "mjs"], "typescript": ["ts", "tsx"], "java": ["java"], "rust": ["rs"], "c": ["c", "h"], "cpp": ["cc", "cpp", "hpp"], "shell": ["sh", "bash"], "sql": ["sql"], "scala": ["scala"], "ruby": ["rb"]}),
-    *[Rule(("kind:test",), name=g) for g in ("*_test.go", "test_*.py", "*_test.py", "*.test.js", "*.test.ts", "*.spec.ts", "*Test.java")],
-    *[Rule(("kind:docs",), name=g) for g in ("*.md", "*.rst", "*.adoc")],
-    *[Rule(("kind:config",), name=g) for g in ("*.yaml", "*.yml", "*.toml", "*.ini", "*.json")],
-    *[Rule(("kind:build",), name=g) for g in ("Makefile", "Dockerfile", "CMakeLists.txt", "Taskfile.yaml", "*.gradle")],
-    *[Rule(("kind:ci",), path=g) for g in (".github/workflows/**", "**/.gitlab-ci.yml", ".circleci/**")],
-    *[Rule(("area:docs",), path=g) for g in ("docs/**", "**/docs/**")],
-    *[Rule(("area:tests",), path=g) for g in ("tests/**", "**/tests/**", "**/testdata/**")],
+    *_rules("agent:instructions", "AGENTS.md CLAUDE.md CURSOR.md .cursorrules .clauderules COPILOT.md .github/copilot-instructions.md"),
+    *_rules("ci:config,ci:gitlab", ".gitlab-ci.yml .gitlab-ci.yaml"),
+    *_rules("ci:config,ci:jenkins", "Jenkinsfile"),
+    *_rules("ci:config,ci:github", paths=".github/workflows/*.yml .github/workflows/*.yaml"),
+    *_rules("ci:config,ci:circleci", paths=".circleci/config.yml"),
+    *_rules("container:dockerfile", "Dockerfile Dockerfile.* *.Dockerfile"),
+    *_rules("container:compose", "docker-compose.yml docker-compose.yaml compose.yml compose.yaml"),
+    *_rules("k8s:helm", "Chart.yaml values.yaml values.yml", "templates/*.yaml templates/*.yml"),
+    *_rules("k8s:manifest", paths="**/k8s/**/*.yaml **/k8s/**/*.yml **/kubernetes/**/*.yaml **/kubernetes/**/*.yml"),
+    *_rules("build:config,lang:go", "go.mod"),
+    *_rules("build:lockfile,lang:go", "go.sum"),
+    *_rules("build:config,lang:javascript", "package.json"),
+    *_rules("build:lockfile,lang:javascript", "package-lock.json yarn.lock pnpm-lock.yaml bun.lockb"),
+    *_rules("build:config,lang:rust", "Cargo.toml"),
+    *_rules("build:lockfile,lang:rust", "Cargo.lock"),
+    *_rules("build:config,lang:python", "pyproject.toml setup.py setup.cfg"),
+    *_rules("build:lockfile,lang:python", "requirements.txt requirements*.txt"),
+    *_rules("build:config,lang:python", "Pipfile"),
+    *_rules("build:lockfile,lang:python", "Pipfile.lock poetry.lock"),
+    *_rules("build:config,lang:ruby", "Gemfile"),
+    *_rules("build:lockfile,lang:ruby", "Gemfile.lock"),
+    *_rules("build:config,lang:java", "pom.xml build.gradle"),
+    *_rules("build:config,lang:kotlin", "build.gradle.kts"),
+    *_rules("build:config,lang:java", "settings.gradle"),
+    *_rules("build:config,lang:kotlin", "settings.gradle.kts"),
+    *_rules("build:makefile", "Makefile GNUmakefile"),
+    *_rules("build:justfile", "justfile Justfile"),
+    *_rules("build:taskfile", "Taskfile.yml Taskfile.yaml"),
+    *_rules("docs:readme", "README* readme*"),
+    *_rules("docs:changelog", "CHANGELOG* changelog* HISTORY*"),
+    *_rules("docs:license", "LICENSE* license* COPYING*"),
+    *_rules("docs:contributing", "CONTRIBUTING*"),
+    *_rules("docs:code-of-conduct", "CODE_OF_CONDUCT*"),
+    *_rules("docs:security", "SECURITY*"),
+    *_rules("editor:config", ".editorconfig"),
+    *_rules("editor:formatter", ".prettierrc* prettier.config.*"),
+    *_rules("editor:linter", ".eslintrc* eslint.config.*"),
+    *_rules("lang:typescript", "tsconfig.json tsconfig.*.json"),
+    *_rules("lang:javascript", "jsconfig.json"),
+    *_rules("git:config", ".gitignore .gitattributes .gitmodules"),
+    *_rules("test:file", "*_test.go *.test.js *.spec.js *.test.ts *.spec.ts *.test.tsx *.spec.tsx test_*.py *_test.py"),
+    *_rules("test:file", paths="**/tests/*.rs"),
+    *_rules("test:file", "*_spec.rb *_test.rb"),
 ]
 
 
@@ -147,12 +183,15 @@ def tagged(nodes: DataFrame, path: Column, rules: Sequence[Rule] = RULES) -> Dat
     return nodes.withColumn("labels", F.array_distinct(F.concat(F.coalesce("labels", F.array().cast("array<string>")), *parts)))
 
 
-#: Manifest names and the language they speak of.
-MANIFESTS = {"go.mod": "go", "package.json": "javascript", "Cargo.toml": "rust", "pyproject.toml": "python", "setup.py": "python", "pom.xml": "java", "build.gradle": "java", "composer.json": "php", "Gemfile": "ruby"}
+#: Manifest names and the language they speak of (fixed values); project:<language> labels their folder.
+MANIFESTS = {"go.mod": "go", "package.json": "node", "Cargo.toml": "rust", "pyproject.toml": "python", "setup.py": "python", "pom.xml": "java", "build.gradle": "java", "composer.json": "php", "Gemfile": "ruby"}
 
 
 def manifest(name: str, text: str) -> dict:
-    """language, name, version and dep_count of a manifest; what can't be read is left empty."""
+    """language, name, version and dep_count of a manifest; setup.py, pom.xml, build.gradle and Gemfile give the language alone.
+
+    What can't be read is left empty.
+    """
     out = {"language": MANIFESTS.get(name, ""), "name": "", "version": "", "dep_count": 0}
     first = lambda pattern: (re.search(pattern, text, re.M) or [None, ""])[1]
     try:
@@ -169,14 +208,6 @@ def manifest(name: str, text: str) -> dict:
             block = "".join(re.findall(r"^require \(([^)]*)\)", text, re.M))
             deps = [x for x in block.splitlines() if x.strip() and not x.strip().startswith("//")]
             out |= {"name": first(r"^module (\S+)"), "version": first(r"^go (\S+)"), "dep_count": len(deps) + len(re.findall(r"^require [^(\s]", text, re.M))}
-        elif name == "pom.xml":
-            out |= {"name": first(r"<artifactId>([^<]*)"), "version": first(r"<version>([^<]*)"), "dep_count": text.count("<dependency>")}
-        elif name == "setup.py":
-            out |= {"name": first(r"name\s*=\s*['\"]([^'\"]+)"), "version": first(r"version\s*=\s*['\"]([^'\"]+)")}
-        elif name == "build.gradle":
-            out |= {"version": first(r"^version\s*=?\s*['\"]([^'\"]+)"), "dep_count": len(re.findall(r"^\s*(?:implementation|api|testImplementation)\b", text, re.M))}
-        elif name == "Gemfile":
-            out |= {"dep_count": len(re.findall(r"^\s*gem ", text, re.M))}
     except (ValueError, AttributeError, TypeError):
         pass
     return out
@@ -194,6 +225,47 @@ def manifests(files: DataFrame) -> DataFrame:
     return rows.select("path", "_name", "text").mapInPandas(read, "path string, language string, name string, version string, dep_count long")
 
 
+def project_graph(files: DataFrame, generation: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Nodes and edges of the projects and licences among files (path, text), and labels (id, labels) of their folders.
+
+    A folder with a manifest is a project:root, located_at the folder; of several manifests the first name counts. Its
+    name is that of the manifest, else the folder's. A licence file is a project:license of the project in its folder, else of the folder.
+    """
+    from ..functions.scalars import short_id
+    from ..model import both_ways, make_edges, make_nodes
+
+    folder = F.regexp_replace("path", "/[^/]*$", "")
+    base = F.element_at(F.split(folder, "/"), -1)
+    rows = manifests(files).select(folder.alias("dir"), base.alias("base"), "path", "language", "name", "version", "dep_count")
+    fact = F.struct("name", "version", "language", "dep_count")
+    each = rows.groupBy("dir", "base").agg(F.min_by(fact, "path").alias("m"), F.array_sort(F.collect_set(F.concat(F.lit("project:"), "language"))).alias("labels"))
+    here = F.concat(F.lit("project+file://"), "dir")
+    roots = each.select(F.lit("project:root").alias("type"), here.alias("uri"), F.col("dir").alias("key"), F.coalesce(F.nullif("m.name", F.lit("")), "base").alias("name"), F.to_variant_object("m").alias("data"), F.lit(generation).alias("generation"))
+    found = files.where(F.element_at(F.split("path", "/"), -1).rlike(LICENCE_FILE)).select("path", folder.alias("dir"), licence("text").alias("spdx"))
+    fact = F.struct(F.when(F.col("spdx") == "unknown", "").otherwise(F.col("spdx")).alias("spdx_id"), F.when(F.col("spdx") == "unknown", "unknown").otherwise("high").alias("confidence"), F.col("path").alias("file"))
+    texts = found.select(F.lit("project:license").alias("type"), F.concat(F.lit("license+file://"), "path").alias("uri"), F.col("path").alias("key"), F.col("spdx").alias("name"), F.to_variant_object(fact).alias("data"), F.lit(generation).alias("generation"))
+    place = each.select(F.lit("located_at").alias("type"), short_id(here).alias("from_id"), short_id(F.concat(F.lit("file://"), "dir")).alias("to_id"), F.lit(generation).alias("generation"))
+    of = found.join(each.select(F.col("dir").alias("_dir")), F.col("dir") == F.col("_dir"), "left")
+    holder = F.concat(F.when(F.col("_dir").isNull(), "file://").otherwise("project+file://"), "dir")
+    owner = of.select(F.lit("has").alias("type"), short_id(holder).alias("from_id"), short_id(F.concat(F.lit("license+file://"), "path")).alias("to_id"), F.lit(generation).alias("generation"))
+    labels = each.select(short_id(F.concat(F.lit("file://"), "dir")).alias("id"), "labels")
+    return make_nodes(roots).unionByName(make_nodes(texts)), make_edges(place).unionByName(both_ways(make_edges(owner), "belongs_to")), labels
+
+
+def with_labels(nodes: DataFrame, labels: DataFrame) -> DataFrame:
+    """nodes with the labels of (id, labels) added, each once."""
+    more = labels.select(F.col("id").alias("_id"), F.col("labels").alias("_more"))
+    own = F.array_distinct(F.concat(F.coalesce("labels", F.array().cast("array<string>")), F.coalesce("_more", F.array().cast("array<string>"))))
+    return nodes.join(more, F.col("id") == F.col("_id"), "left").withColumn("labels", own).select(*nodes.columns)
+
+
+def clean_path(path: str | Column) -> Column:
+    """An absolute path without empty parts, `.` and `..`; what leads above the root stays at the root."""
+    parts = F.split(F.col(path) if isinstance(path, str) else path, "/")
+    step = lambda kept, x: F.when(x.isin("", "."), kept).when(x == "..", F.slice(kept, F.lit(1), F.greatest(F.size(kept) - 1, F.lit(0)))).otherwise(F.array_append(kept, x))
+    return F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
+
+
 def _slug(text: str) -> str:
     return re.sub(r"[\s-]+", "-", re.sub(r"[^a-z0-9\s-]", "", text.lower())).strip("-")
 
@@ -245,7 +317,10 @@ def markdown(files: DataFrame) -> DataFrame:
 
 
 def markdown_graph(parts: DataFrame, generation: str) -> tuple[DataFrame, DataFrame]:
-    """nodes and edges of markdown parts; relative links become links_to edges to the file they name, by its id alone."""
+    """nodes and edges of markdown parts; relative links become links_to edges to the file they name, by its id alone.
+
+    What a link names is cleaned of `.` and `..` first, so that it has the id of a file that is there.
+    """
     from ..functions.scalars import content_hash, short_id
     from ..model import both_ways, make_edges, make_nodes
 
@@ -258,8 +333,8 @@ def markdown_graph(parts: DataFrame, generation: str) -> tuple[DataFrame, DataFr
     has = rows.where("parent >= 0").join(up, ["path", "parent"]).select(F.lit("has").alias("type"), "from_id", short_id("uri").alias("to_id"), F.lit(generation).alias("generation"))
     local = parts.where("kind = 'link' AND NOT target RLIKE '^([a-z]+:|#)'")
     folder = F.regexp_replace("path", "[^/]*$", "")
-    clean = F.regexp_replace(F.regexp_replace("target", "#.*$", ""), r"^\./", "")
-    links = local.select(F.lit("links_to").alias("type"), short_id(F.concat(F.lit("file+md://"), "path")).alias("from_id"), short_id(F.concat(F.lit("file://"), folder, clean)).alias("to_id"), F.lit(generation).alias("generation"))
+    goal = clean_path(F.concat(folder, F.regexp_replace("target", "#.*$", "")))
+    links = local.select(F.lit("links_to").alias("type"), short_id(F.concat(F.lit("file+md://"), "path")).alias("from_id"), short_id(F.concat(F.lit("file://"), goal)).alias("to_id"), F.lit(generation).alias("generation"))
     return nodes, both_ways(make_edges(has), "belongs_to").unionByName(make_edges(links.distinct()))
 
 

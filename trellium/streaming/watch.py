@@ -4,14 +4,13 @@ from __future__ import annotations
 
 import time
 from collections.abc import Callable
-from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..functions.scalars import glob_regex
 from ..operators.store import Store, collect_garbage, connected_edges, upsert_edges, upsert_nodes
+from ..sources.base import Subscription
 
 #: Operations on a path, as bits.
 CREATE, WRITE, REMOVE, RENAME = 1, 2, 4, 8
@@ -23,31 +22,6 @@ def coalesced(changes: DataFrame) -> DataFrame:
     return changes.groupBy("path").agg(F.bit_or("op").alias("ops"), F.max("ts").alias("ts"), F.max_by("text", "ts").alias("text"))
 
 
-@dataclass(frozen=True)
-class Subscription:
-    """Which events a source wants; None is any."""
-
-    events: tuple[str, ...] = ()
-    node_type: str | None = None
-    name: str | None = None
-    glob: str | None = None
-    extension: str | None = None
-
-    def test(self) -> Column:
-        out = F.lit(True)
-        if self.events:
-            out &= F.col("event").isin(*self.events)
-        if self.node_type:
-            out &= F.col("type") == self.node_type
-        if self.name:
-            out &= F.col("name") == self.name
-        if self.glob:
-            out &= F.col("name").rlike(glob_regex(self.glob))
-        if self.extension:
-            out &= F.col("name").endswith("." + self.extension.lstrip("."))
-        return out
-
-
 def routed(events: DataFrame, subscriptions: dict[str, Subscription]) -> DataFrame:
     """events, a row for each subscriber that wants it."""
     wants = F.filter(F.array(*[F.when(s.test(), F.lit(n)) for n, s in subscriptions.items()]), lambda x: x.isNotNull())
