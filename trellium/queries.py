@@ -9,15 +9,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .engine import Engine
-from .functions.scalars import edge_id, short_id
-from .model import active
+from .functions.scalars import content_hash, edge_id, short_id, slug, token_estimate
+from .model import active, conform
 from .operators import context, graph, introspect, store, vector
-from .operators.filters import NodeFilter, find
+from .operators.filters import NodeFilter, category, compare, find
 from .plans.compile import compile_query
 from .plans.parser import parse
 from .plans.paths import of_types, oriented, reachable
+from .sources import symbols
 from .sources.tables import embeddings_of, table_graph
-from .sources.text import annotations, commits, licence, markdown, merged_ranges, tagged, Rule
+from .sources.text import Rule, annotations, clean_path, commits, licence, markdown, merged_ranges, project_graph, tagged
 
 ALL = ("geo", "org", "item", "doc", "event")
 GEO, ORG, ITEM, DOC, EVENT = ("geo",), ("geo", "org"), ("item",), ("geo", "org", "doc"), ("event",)
@@ -391,14 +392,17 @@ _tables(
 )
 _HAS = "contains(head, '{}')".format
 _BYTES = "coalesce(" + ", ".join(f"try(decode(encode(text)[1:{n}]))" for n in (1024, 1023, 1022, 1021)) + ")"  # a character cut in two goes
-_tables(
-    "licence_detect_all", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select(licence("text").alias("licence")).groupBy("licence").agg(F.count("*").alias("count")),
-    f"WITH t AS (SELECT lower({_BYTES}) AS head FROM documents) SELECT CASE WHEN {_HAS('permission is hereby granted, free of charge')} THEN 'MIT' WHEN {_HAS('apache license, version 2.0')} THEN 'Apache-2.0' "
+_LICENCE = (
+    f"CASE WHEN {_HAS('permission is hereby granted, free of charge')} THEN 'MIT' WHEN {_HAS('apache license, version 2.0')} THEN 'Apache-2.0' "
     f"WHEN {_HAS('gnu general public license')} AND {_HAS('version 3')} THEN 'GPL-3.0-only' WHEN {_HAS('gnu general public license')} AND {_HAS('version 2')} THEN 'GPL-2.0-only' "
     f"WHEN {_HAS('gnu lesser general public license')} AND {_HAS('version 2.1')} THEN 'LGPL-2.1-only' "
     f"WHEN {_HAS('redistribution and use in source and binary forms')} THEN CASE WHEN {_HAS('neither the name')} THEN 'BSD-3-Clause' ELSE 'BSD-2-Clause' END "
     f"WHEN {_HAS('permission to use, copy, modify, and/or distribute')} THEN 'ISC' WHEN {_HAS('mozilla public license, version 2.0')} THEN 'MPL-2.0' "
-    "ELSE 'unknown' END AS licence, count(*) AS count FROM t GROUP BY 1",
+    "ELSE 'unknown' END"
+)
+_tables(
+    "licence_detect_all", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select(licence("text").alias("licence")).groupBy("licence").agg(F.count("*").alias("count")),
+    f"WITH t AS (SELECT lower({_BYTES}) AS head FROM documents) SELECT {_LICENCE} AS licence, count(*) AS count FROM t GROUP BY 1",
 )
 _tables(
     "commit_parse", lambda s, d: commits(s.read.parquet(f"{d}/events.parquet").select("event_id", F.concat(F.col("event_type"), F.lit("(u"), F.col("user_id").cast("string"), F.lit("): did it\n\nwhy\n\nRefs: #"), F.col("event_id").cast("string"), F.lit(", X-1")).alias("message"))).select("event_id", "type", "scope", "subject", "body", F.array_join("refs", " ").alias("refs")),
@@ -436,4 +440,77 @@ def _rings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return context.ring_walk(nodes.withColumn("type", kinds), edges, context.Task("", ("NATION_3",), ("supplier",)))
 
 
-_tables("ring_walk", _rings, None)
+_tables(
+    "ring_walk", _rings,
+    f"{prelude(ORG)} SELECT id, 0 AS ring, 100.0::DOUBLE AS score, 'definition' AS reason FROM nodes WHERE name = 'NATION_3' AND type = 'geo:nation' "
+    "UNION ALL SELECT to_id, 1, 80.0, 'member' FROM edges WHERE from_id = 'nation:3' AND type = 'has'",
+)
+
+# Pages of a navigator, symbols, projects and what scalars give.
+_operator(
+    "navigation_page", ORG, lambda n, e: graph.navigation(n, e, "nation:7", 6, 2)[1].select("side", "edge_type", "group", "id", "name"),
+    ", g AS (SELECT 'out' AS side, type AS edge_type, CASE WHEN type IN ('contained_by', 'belongs_to', 'located_at') THEN 'parent' ELSE 'child' END AS \"group\", to_id AS id FROM edges WHERE from_id = 'nation:7' "
+    "UNION ALL SELECT 'in', type, 'in', from_id FROM edges WHERE to_id = 'nation:7') "
+    "SELECT side, edge_type, \"group\", id, name FROM g JOIN nodes USING (id) QUALIFY row_number() OVER (PARTITION BY side, edge_type ORDER BY name, id) BETWEEN 3 AND 8",
+)
+_operator(
+    "siblings_page", ORG, lambda n, e: graph.siblings(n, e, "nation:7", 3, 1).select("id", "name"),
+    "SELECT id, name FROM nodes WHERE id IN (SELECT to_id FROM edges WHERE type = 'contains' AND from_id IN (SELECT to_id FROM edges WHERE from_id = 'nation:7' AND type = 'contained_by')) ORDER BY name, id LIMIT 3 OFFSET 1",
+)
+_operator(
+    "navigator_filter", DOC, lambda n, e: n.where(compare("data.status", "!=", "F") & compare("id", "GLOB", "order:1*") & ~category("files", "docs", "git")).select("id"),
+    "SELECT id FROM nodes WHERE status <> 'F' AND id GLOB 'order:1*'",
+)
+
+
+def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers as structs, the flags of their lines as methods, and an interface of all flags."""
+    suppliers, lines = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("supplier", "lineitem"))
+    flags = lines.select("l_suppkey", F.concat(F.lit("M"), "l_returnflag").alias("name")).distinct()
+    package, struct = F.concat(F.lit("p"), "s_nationkey"), F.concat(F.lit("S"), "s_suppkey")
+    row = lambda df, package, kind, owner, name: df.select(F.lit("/m").alias("module"), package.alias("package"), F.lit(kind).alias("kind"), owner.alias("owner"), name.alias("name"))
+    no = F.lit(None).cast("string")
+    rows = row(suppliers, package, "struct", no, struct).unionByName(row(suppliers.join(flags, F.col("s_suppkey") == F.col("l_suppkey")), package, "method", struct, F.col("name")))
+    rows = rows.unionByName(row(flags.select("name").distinct(), F.lit("i"), "imethod", F.lit("Flags"), F.col("name"))).unionByName(row(spark.range(1), F.lit("i"), "interface", no, F.lit("Flags")))
+    empty = lambda schema: spark.createDataFrame([], schema)
+    _, edges = symbols.symbol_graph(conform(rows, symbols.SYMBOL), empty(symbols.REFERENCE), empty(symbols.RELATION), "g")
+    return edges.groupBy("type").agg(F.count("*").alias("count"))
+
+
+_tables(
+    "symbol_edges", _symbols,
+    "WITH m AS (SELECT DISTINCT l_suppkey AS s, l_returnflag AS f FROM lineitem JOIN supplier ON s_suppkey = l_suppkey), i AS (SELECT DISTINCT l_returnflag AS f FROM lineitem), "
+    "p AS (SELECT count(DISTINCT s_nationkey) + 1 AS n FROM supplier), h AS (SELECT (SELECT count(*) FROM m) + (SELECT count(*) FROM i) AS n), "
+    "k AS (SELECT count(*) AS n FROM (SELECT s FROM m GROUP BY s HAVING count(*) = (SELECT count(*) FROM i))) "
+    "SELECT 'contains' AS type, n AS count FROM p UNION ALL SELECT 'contained_by', n FROM p UNION ALL SELECT 'has', n FROM h UNION ALL SELECT 'belongs_to', n FROM h UNION ALL SELECT 'implements', n FROM k WHERE n > 0 "
+    "UNION ALL SELECT 'defines', (SELECT count(*) FROM supplier) + (SELECT count(*) FROM m) + 1",
+)
+
+
+def _projects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document as the licence of a project of its own."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    file = lambda name: docs.select(F.concat(F.lit("/r/d"), F.col("doc_id").cast("string"), F.lit(f"/{name}")).alias("path"), "text")
+    nodes, _, _ = project_graph(file("Gemfile").unionByName(file("LICENSE")), "g")
+    return nodes.select("type", "uri", "name")
+
+
+_tables(
+    "projects_and_licences", _projects,
+    f"WITH t AS (SELECT doc_id, lower({_BYTES}) AS head FROM documents) SELECT 'project:root' AS type, 'project+file:///r/d' || doc_id AS uri, 'd' || doc_id AS name FROM t "
+    f"UNION ALL SELECT 'project:license', 'license+file:///r/d' || doc_id || '/LICENSE', {_LICENCE} FROM t",
+)
+
+
+_tables(
+    "links_cleaned", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", clean_path(F.concat(F.lit("/w/"), "lang", F.lit("/../d"), F.col("doc_id").cast("string"), F.lit("/./a.md"))).alias("path")),
+    "SELECT doc_id, CASE WHEN lang IS NOT NULL THEN '/w/d' || doc_id || '/a.md' END AS path FROM documents",
+)
+_tables(
+    "text_measures", lambda s, d: s.read.parquet(f"{d}/documents.parquet").select("doc_id", token_estimate("text").alias("tokens"), content_hash("text").alias("hash")),
+    "SELECT doc_id, (length(text) + 3) // 4 AS tokens, left(sha256(text), 16) AS hash FROM documents",
+)
+_tables(
+    "name_slugs", lambda s, d: s.read.parquet(f"{d}/part.parquet").select("p_partkey", slug("p_name").alias("slug")),
+    "SELECT p_partkey, trim(regexp_replace(regexp_replace(lower(p_name), '[^a-z0-9\\s-]', '', 'g'), '[\\s-]+', '-', 'g'), '-') AS slug FROM part",
+)
