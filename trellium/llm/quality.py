@@ -26,7 +26,7 @@ KINDS = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789
 WORDS = 64
 FEATURES = len(KINDS) + 8 + WORDS
 #: Bytes of text whose passages are worked out at once.
-TEXT = 1 << 20
+TEXT = 256 << 10
 
 
 def _kinds() -> np.ndarray:
@@ -189,6 +189,8 @@ def quality_model(docs: DataFrame, labels: DataFrame, *, label: str = "quality",
             got = np.zeros(len(texts))
             for a, b in cuts(np.fromiter((len(t or "") for t in texts), np.int64, len(texts)), size=TEXT):
                 got[a:b] = own.forward(*passages(texts[a:b]))[0]
+            del texts
+            pa.default_memory_pool().release_unused()  # a batch's texts, before the next one comes
             yield pd.Series(got)
 
     return score
