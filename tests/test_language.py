@@ -82,6 +82,16 @@ def test_cycles_end(spark):
     assert walks.df.count() == 7
 
 
+def test_many_walks_are_not_broadcast(spark):
+    """Compressed files of walks are small, and so are the tables of their ends; their rows are not."""
+    n = spark.range(110_000)
+    nodes = make_nodes(n.selectExpr("concat('f', id) AS id", "'fs:file' AS type", "concat('u', id) AS uri", "concat('f', id) AS name").unionAll(spark.sql("SELECT 'r', 'fs:dir', 'u', 'root'")))
+    edges = make_edges(n.selectExpr("'contains' AS type", "'r' AS from_id", "concat('f', id) AS to_id"))
+    df = compile_query(parse("SELECT a.name AS name, COUNT(*) AS count FROM (a:fs:dir)-[:contains*]->(b:fs:file) GROUP BY a.name"), nodes, edges).df
+    assert df._jdf.queryExecution().executedPlan().toString().count("BroadcastExchange") == 1, "that of the one folder"
+    assert [tuple(r) for r in df.collect()] == [("root", 110_000)]
+
+
 @pytest.mark.parametrize("text", [c[0] for c in CASES])
 def test_unparse_round_trip(text):
     tree = parse(text)

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import EDGE_COLUMNS, NODE_COLUMNS, ROW_COLUMNS, QueryError, active
+from ..shared import FEW, FEW_WHOLE, sized
 from .ast import Column, CountCall, EdgePattern, Exists, NodePattern, Pattern, Patterns, Query, Selector, Star, Table, Unnest, conjuncts
 from .paths import of_types, oriented, reachable, type_test, walks
 from .predicates import Predicates, Value
@@ -248,6 +249,13 @@ class Compiler:
             ids = found if ids is None else ids.join(found, "id", "left_semi")
         return ids.distinct()
 
+    @staticmethod
+    def ends(rows: DataFrame, hops: DataFrame, count: int) -> DataFrame:
+        """The nodes of rows that count walks may end at; those that are in no walk may be left out."""
+        if count <= FEW:
+            return rows.join(F.broadcast(hops.select(F.col("dst").alias("_end")).distinct()), F.col("id") == F.col("_end"), "left_semi")
+        return sized(rows, rows.count(), "id", FEW_WHOLE)
+
     def pattern_query(self, q: Query) -> Result:
         """Fixed hops are equi joins of nodes and edges in order; a hop of variable length joins the walks it allows."""
         df, kinds, seen = None, {}, []
@@ -273,7 +281,10 @@ class Compiler:
                     name = edge.var or f"_e{(fresh := fresh + 1)}"
                     hops = self.hop_rows(edge)
                     if edge.low is not None:
-                        hops = walks(hops, df.select(F.col(f"{left}__id").alias("id")), edge.low, edge.high)
+                        hops, count, starts = walks(hops, df.select(F.col(f"{left}__id").alias("id")), edge.low, edge.high)
+                        if not known:
+                            rows = self.ends(rows, hops, count)
+                        df, hops = (F.broadcast(df), hops) if starts <= FEW_WHOLE else (df, sized(hops, count, "src"))
                     hops = prefixed(hops, name)
                     if edge.var and edge.low is None:
                         kinds[name] = "edges"

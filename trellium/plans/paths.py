@@ -6,10 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.scalars import glob_regex
-from ..shared import settled
+from ..shared import counted, sized
 
-#: Rows of a frontier (an id and a number) that are broadcast at most.
-FEW = 100_000
 #: Hops of an unbounded pattern in FROM; reachability in EXISTS has no bound.
 MOST_HOPS = 20
 
@@ -45,59 +43,54 @@ def reachable(hops: DataFrame, seeds: DataFrame, low: int, high: int | None) ->
     Up to low, the frontier is what walks of just so many hops lead to; from there on it is what is new, and advances
     until it is empty, so cycles end. Edges are never shuffled for a frontier that is counted as small.
     """
-    hops = hops.select("src", "dst")
-    frontier = seeds.select("id").distinct()
-    found = frontier if low == 0 else None
+    hops = hops.select("src", "dst").where("dst IS NOT NULL")
+    frontier, count = counted(seeds.select("id").distinct())
+    found, total = (frontier, count) if low == 0 else (None, 0)
     seen, turn = frontier, 0
-    while high is None or turn < high:
-        nxt = hops.join(frontier, F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id")).distinct()
+    while count and (high is None or turn < high):
+        nxt = hops.join(sized(frontier, count, "id"), F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id")).distinct()
         if found is not None:
-            nxt = nxt.join(found, "id", "left_anti")
-        nxt, count = counted(nxt)
+            nxt = nxt.join(sized(found, total, "id"), "id", "left_anti")
+        frontier, count = counted(nxt)
         turn += 1
-        if not count:
-            break
-        if turn >= low:
-            found = nxt if found is None else found.unionByName(nxt)
-        frontier = nxt
-    return seen.limit(0) if found is None else found.distinct()
+        if count and turn >= low:
+            found, total = frontier if found is None else found.unionByName(frontier), total + count
+    return seen.limit(0) if found is None else sized(found, total, "id")
 
 
-def counted(frontier: DataFrame) -> tuple[DataFrame, int]:
-    """A frontier, computed once, with a broadcast hint if it has few rows; and how many it has."""
-    frontier = settled(frontier)
-    count = frontier.count()
-    return (F.broadcast(frontier) if count <= FEW else frontier), count
+def walks(hops: DataFrame, seeds: DataFrame, low: int, high: int | None, most: int = MOST_HOPS) -> tuple[DataFrame, int, int]:
+    """src, dst of every walk of low to high hops from seeds (id): a row for each walk, however often it ends alike.
 
-
-def walks(hops: DataFrame, seeds: DataFrame, low: int, high: int | None, most: int = MOST_HOPS) -> DataFrame:
-    """src, dst of every walk of low to high hops from seeds (id): a row for each walk, however often it ends alike."""
+    With it, how many walks there are, and how many rows seeds has.
+    """
     step = hops.select(F.col("src").alias("_at"), F.col("dst").alias("_to"))
-    front = seeds.select(F.col("id").alias("src"), F.col("id").alias("dst")).distinct()
-    parts = [front] if low == 0 else []
+    starts, count = counted(seeds.groupBy(F.col("id").alias("src")).agg(F.count("*").alias("_rows")))
+    rows = starts.agg(F.coalesce(F.sum("_rows"), F.lit(0))).first()[0]
+    front = starts.select("src", F.col("src").alias("dst"))
+    parts, total = ([front], count) if low == 0 else ([], 0)
     for turn in range(1, (high if high is not None else most) + 1):
-        front = front.join(step, F.col("dst") == F.col("_at")).select("src", F.col("_to").alias("dst"))
-        if high is None or turn % 4 == 0:
-            front = settled(front)
-            if front.isEmpty():
-                break
+        front = sized(front, count, "dst").join(step, F.col("dst") == F.col("_at")).select("src", F.col("_to").alias("dst"))
+        front, count = counted(front)
+        if not count:
+            break
         if turn >= low:
             parts.append(front)
+            total += count
     out = parts[0] if parts else front.limit(0)
     for more in parts[1:]:
         out = out.unionByName(more)
-    return out
+    return out, total, rows
 
 
 def distances(hops: DataFrame, seeds: DataFrame, most: int) -> DataFrame:
     """id, distance of all that at most so many hops (src, dst) lead to from seeds (id)."""
     hops = hops.select("src", "dst")
-    front = seeds.select("id", F.lit(0).alias("distance")).distinct()
-    found = front
+    front, count = counted(seeds.select("id", F.lit(0).alias("distance")).distinct())
+    found, total = front, count
     for turn in range(1, most + 1):
-        nxt = hops.join(front, F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id")).distinct().join(found, "id", "left_anti")
+        nxt = hops.join(sized(front, count, "id"), F.col("src") == F.col("id"), "left_semi").select(F.col("dst").alias("id")).distinct().join(sized(found.select("id"), total, "id"), "id", "left_anti")
         front, count = counted(nxt.withColumn("distance", F.lit(turn)))
         if not count:
             break
-        found = found.unionByName(front)
+        found, total = found.unionByName(front), total + count
     return found

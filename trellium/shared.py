@@ -7,6 +7,12 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Rows of a frontier (an id and a number) that are broadcast at most, and rows with all their columns.
+FEW, FEW_WHOLE = 100_000, 10_000
+#: Rows of the counted side of a join that one task takes.
+TASK_ROWS = 200_000
 
 _LOCAL: dict[str, str] = {}
 
@@ -56,3 +62,20 @@ class Scratch:
 def settled(df: DataFrame) -> DataFrame:
     """df, computed once and read again, so that loops over frames have short plans."""
     return Scratch(df.sparkSession, "step").save(df, "rows")
+
+
+def counted(df: DataFrame) -> tuple[DataFrame, int]:
+    """df, computed once, and how many rows it has."""
+    df = settled(df)
+    return df, df.count()
+
+
+def sized(df: DataFrame, count: int, key: str, few: int = FEW) -> DataFrame:
+    """One side of a join on key, whose count rows were counted: broadcast if they are few, else dealt out for a merge.
+
+    Left to itself Spark goes by the bytes of compressed files, and broadcasts millions of short rows; and it joins
+    partitions until tasks have 64 MB of compressed rows, which are many times that when sorted.
+    """
+    if count <= few:
+        return F.broadcast(df)
+    return df.repartition(max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-count // TASK_ROWS)), key).hint("merge")
