@@ -51,6 +51,13 @@ def test_neighbors(calls):
         graph.neighbors(*calls, "none")
 
 
+def test_neighbors_are_ordered_by_their_ids(spark):
+    nodes = nodes_of(spark, [(x, "t", f"u:{x}", x) for x in ("n", "c:1", "c:10", "c:2")])
+    edges = edges_of(spark, [("has", x, "n") for x in ("c:1", "c:10", "c:2")]).withColumn("id", F.concat_ws("|", "type", "from_id", "to_id"))
+    assert [r.id for r in graph.neighbors(nodes, edges, "n").collect()] == ["c:1", "c:10", "c:2"]
+    assert [r.id for r in graph.neighbors(nodes, edges, "n", most=1).collect()] == ["c:1"]
+
+
 def test_tree(spark):
     nodes = nodes_of(spark, [("r", "fs:dir", "", "root"), ("a", "fs:file", "", "file1.txt"), ("s", "fs:dir", "", "subdir"), ("b", "fs:file", "", "file2.txt"), ("n", "fs:dir", "", "nested"), ("d", "fs:file", "", "deep.txt")])
     edges = edges_of(spark, [("contains", x, y) for x, y in ("ra", "rs", "sb", "sn", "nd")])

@@ -22,7 +22,7 @@ def descendants(edges: DataFrame, roots: DataFrame, types: Sequence[str] = ("con
 
 
 def neighbors(nodes: DataFrame, edges: DataFrame, node_id: str, direction: str = "both", types: Sequence[str] = (), most: int | None = None) -> DataFrame:
-    """direction, edge_type, edge_id and the node for each edge at a node; outgoing first, then by edge id.
+    """direction, edge_type, edge_id and the node for each edge at a node; outgoing first, then by the other node's id, then by edge id.
 
     Edges to nodes that are not there are skipped.
     """
@@ -35,7 +35,7 @@ def neighbors(nodes: DataFrame, edges: DataFrame, node_id: str, direction: str =
     if direction in ("in", "both"):
         parts.append(kept.where(F.col("to_id") == node_id).select(F.lit("in").alias("direction"), F.col("type").alias("edge_type"), F.col("id").alias("edge_id"), F.col("from_id").alias("id")))
     found = parts[0] if len(parts) == 1 else parts[0].unionByName(parts[1])
-    out = found.join(nodes, "id").orderBy(F.col("direction").desc(), "edge_id")
+    out = found.join(nodes, "id").orderBy(F.col("direction").desc(), "id", "edge_id")
     return out.limit(most) if most else out
 
 
