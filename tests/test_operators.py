@@ -58,6 +58,17 @@ def test_neighbors_are_ordered_by_their_ids(spark):
     assert [r.id for r in graph.neighbors(nodes, edges, "n", most=1).collect()] == ["c:1"]
 
 
+def test_stats_of_a_large_scope(spark):
+    """The scope is worked out once, and what is joined with it is dealt out by its rows."""
+    n = spark.range(110_000)
+    nodes = make_nodes(n.selectExpr("concat('f', id) AS id", "'fs:file' AS type", "concat('u', id) AS uri", "array('l') AS labels", """'{"ext": "go"}' AS data""").unionAll(spark.sql("SELECT 'r', 'fs:dir', 'u', array(), null")))
+    edges = make_edges(n.selectExpr("'contains' AS type", "if(id >= 0, 'r', 'none') AS from_id", "concat('f', id) AS to_id"))
+    df = introspect.stats(nodes, edges, "r")
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastExchange" not in plan and "REPARTITION_BY_NUM" in plan
+    assert {tuple(r) for r in df.collect()} == {("types", "fs:file", 110_000), ("types", "fs:dir", 1), ("edges", "contains", 110_000), ("extensions", "go", 110_000), ("labels", "l", 110_000)}
+
+
 def test_tree(spark):
     nodes = nodes_of(spark, [("r", "fs:dir", "", "root"), ("a", "fs:file", "", "file1.txt"), ("s", "fs:dir", "", "subdir"), ("b", "fs:file", "", "file2.txt"), ("n", "fs:dir", "", "nested"), ("d", "fs:file", "", "deep.txt")])
     edges = edges_of(spark, [("contains", x, y) for x, y in ("ra", "rs", "sb", "sn", "nd")])

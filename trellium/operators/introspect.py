@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.scalars import field
+from ..shared import counted, sized
 from .filters import NodeFilter
 
 SAMPLE = 500
@@ -67,9 +68,10 @@ def describe_fields(nodes: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
 def stats(nodes: DataFrame, edges: DataFrame, scope: str | None = None, top: int = 10) -> DataFrame:
     """section, name, count: node types, edge types, extensions (the top ones) and labels, of all or of a scope."""
-    where = NodeFilter(scope=scope)
-    inner = where.apply(nodes, edges)
-    own = edges.join(inner.select(F.col("id").alias("from_id")), "from_id", "left_semi") if scope else edges
+    inner, own = nodes, edges
+    if scope:
+        inner, count = counted(NodeFilter(scope=scope).apply(nodes, edges).select("id", "type", "labels", "data"))
+        own = edges.join(sized(inner.select(F.col("id").alias("from_id")), count, "from_id"), "from_id", "left_semi")
     parts = [("types", count_nodes(inner, own)), ("edges", count_edges(inner, own)), ("extensions", count_nodes(inner, own, by="extension", limit=top)), ("labels", count_nodes(inner, own, by="label"))]
     out = None
     for section, df in parts:
