@@ -82,6 +82,19 @@ def test_cycles_end(spark):
     assert walks.df.count() == 7
 
 
+def test_not_in_a_large_subquery_is_not_broadcast(spark):
+    n = spark.range(110_000)
+    nodes = make_nodes(n.selectExpr("concat('f', id) AS id", "'fs:file' AS type", "if(id % 2 = 0, concat('f', id), null) AS name"))
+    edges = make_edges(n.where("id > 4").selectExpr("'has' AS type", "concat('f', id) AS from_id", "'x' AS to_id"))
+    run = lambda q: compile_query(parse(q), nodes, edges).df
+    df = run("SELECT id FROM nodes WHERE id NOT IN (SELECT from_id FROM edges)")
+    assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+    assert {r.id for r in df.collect()} == {"f0", "f1", "f2", "f3", "f4"}
+    assert {r.id for r in run("SELECT id FROM nodes WHERE name NOT IN (SELECT from_id FROM edges)").collect()} == {"f0", "f2", "f4"}, "null is in no set for sure"
+    assert run("SELECT id FROM nodes WHERE id NOT IN (SELECT name FROM nodes)").count() == 0
+    assert run("SELECT id FROM nodes WHERE name NOT IN (SELECT from_id FROM edges WHERE type = 'no')").count() == 110_000
+
+
 def test_many_walks_are_not_broadcast(spark):
     """Compressed files of walks are small, and so are the tables of their ends; their rows are not."""
     n = spark.range(110_000)

@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..model import EDGE_COLUMNS, NODE_COLUMNS, ROW_COLUMNS, QueryError, active
-from ..shared import FEW, FEW_WHOLE, sized
-from .ast import Column, CountCall, EdgePattern, Exists, NodePattern, Pattern, Patterns, Query, Selector, Star, Table, Unnest, conjuncts
+from ..shared import FEW, FEW_WHOLE, counted, sized
+from .ast import Column, CountCall, EdgePattern, Exists, In, NodePattern, Pattern, Patterns, Query, Selector, Star, Table, Unnest, conjuncts
 from .paths import of_types, oriented, reachable, type_test, walks
 from .predicates import Predicates, Value
 from .validate import validate
@@ -111,13 +111,28 @@ class Compiler:
         return got.select(F.col("_member").cast("string"))
 
     def filtered(self, df: DataFrame, part, test: Predicates, links: dict) -> DataFrame:
-        """df where part holds; a pattern that must or must not exist is a semi or anti join."""
+        """df where part holds; a pattern that must or must not exist is a semi or anti join, and so is NOT IN a subquery."""
         if isinstance(part, Exists):
             name = next((e.var for e in part.pattern.elements if isinstance(e, NodePattern) and e.var in links), None)
             ids = self.holders(part.pattern, name).withColumnRenamed("id", "_holder")
             return df.join(ids, df[links[name]] == ids["_holder"], "left_anti" if part.negated else "left_semi")
+        if isinstance(part, In) and part.negated and isinstance(part.values, Query):
+            return self.without(df, test.resolve(part.left).text(), self.members(part.values))
         return df.where(test(part))
 
+    @staticmethod
+    def without(df: DataFrame, value: SparkColumn, members: DataFrame) -> DataFrame:
+        """df where value NOT IN members: of no members all rows, of members with a null none.
+
+        Spark's own NOT IN of columns that may be null broadcasts all members.
+        """
+        members, count = counted(members.distinct())
+        if not count:
+            return df
+        if not members.where("_member IS NULL").isEmpty():
+            return df.limit(0)
+        return df.where(value.isNotNull()).join(sized(members, count, "_member"), value == F.col("_member"), "left_anti")
+
     # --- what all queries end with
 
     def finish(self, q: Query, df: DataFrame, resolve, test: Predicates, what: str, star, whole=None) -> Result:
@@ -215,7 +230,9 @@ class Compiler:
                     raise QueryError("compile", f"nodes have no column {s}")
                 return _json(F.col("data"), parts[1:]) if len(parts) > 1 else _value(parts[0], F.col(parts[0]))
 
-            df = df.where(Predicates(resolve, self.params, self.members, lambda p: F.col("id").isin(self.holders(p, "nodes")))(e.where))
+            test = Predicates(resolve, self.params, self.members, lambda p: F.col("id").isin(self.holders(p, "nodes")))
+            for part in conjuncts(e.where):
+                df = self.filtered(df, part, test, {}) if isinstance(part, In) else df.where(test(part))
         return df
 
     def hop_rows(self, e: EdgePattern) -> DataFrame:
