@@ -163,6 +163,15 @@ def test_text_sources(spark):
     assert [r.labels for r in tx.tagged(files, F.col("path")).collect()] == [["test:file"], []]
 
 
+def test_many_ranges_are_dealt_out(spark, monkeypatch):
+    rows = spark.range(600).selectExpr("concat('f', id % 60) AS file", "id AS start", "id + 1 AS stop", "1.0 AS score", "'a' AS reason")
+    plain = {tuple(r) for r in tx.merged_ranges(rows).drop("reasons").collect()}
+    monkeypatch.setattr(tx, "RANGES", 10, raising=False)
+    out = tx.merged_ranges(rows).drop("reasons")
+    assert out.rdd.getNumPartitions() == 60, "not joined to fewer by their compressed bytes"
+    assert {tuple(r) for r in out.collect()} == plain and len(plain) == 600
+
+
 def test_ranges_and_budget(spark):
     rows = spark.createDataFrame([("f", 4, 8, 100.0, "a"), ("f", 10, 12, 50.0, "b"), ("f", 30, 31, 10.0, "c")], "file string, start int, stop int, score double, reason string")
     assert [(r.start, r.stop, r.score) for r in tx.merged_ranges(rows).orderBy("start").collect()] == [(4, 12, 100.0), (30, 31, 10.0)]

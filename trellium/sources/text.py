@@ -338,11 +338,18 @@ def markdown_graph(parts: DataFrame, generation: str) -> tuple[DataFrame, DataFr
     return nodes, both_ways(make_edges(has), "belongs_to").unionByName(make_edges(links.distinct()))
 
 
+#: Ranges that one task merges, about.
+RANGES = 400_000
+
+
 def merged_ranges(ranges: DataFrame, gap: int = 3) -> DataFrame:
     """file, start, stop, score, reasons of ranges (file, start, stop, score, reason), those within gap lines merged.
 
-    Gaps and islands: a range begins a new island when it starts beyond the furthest stop before it.
+    Gaps and islands: a range begins a new island when it starts beyond the furthest stop before it. Ranges are counted
+    first, and files dealt out so that a task gets about RANGES of them; those of one file stay together.
     """
+    tasks = max(ranges.sparkSession.sparkContext.defaultParallelism, -(-ranges.count() // RANGES))
+    ranges = ranges.repartition(tasks, "file")
     order = Window.partitionBy("file").orderBy("start", "stop")
     furthest = F.max("stop").over(order.rowsBetween(Window.unboundedPreceding, -1))
     marked = ranges.withColumn("_new", F.coalesce((F.col("start") > furthest + gap).cast("int"), F.lit(1)))
