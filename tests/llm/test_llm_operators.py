@@ -190,6 +190,66 @@ def test_strings_are_equal_by_their_bytes(monkeypatch):
     assert 11 not in found and set(found) <= {12}
 
 
+def test_a_gram_in_other_surroundings_is_not_sent_on(spark):
+    """Only what another document has with a side of its anchor goes into the runs, and shuffled files go at once."""
+    import time
+
+    kept = {}
+
+    class Spy(scratch.Scratch):
+        def save(self, df, name, *args, **kinds):
+            out = super().save(df, name, *args, **kinds)
+            kept[name] = len(out.collect())  # count() would shuffle
+            return out
+
+    def shuffled():
+        files = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {f for f in (files.apply(i).getName() for i in range(files.size())) if f.startswith("shuffle_") and f.endswith(".data")}
+
+    word = lambda i, k: hashlib.sha256(f"{i}-{k}".encode()).hexdigest()
+    rows = [(i, word(i, 0) + "a phrase all have" + word(i, 1) + word(i, 2)) for i in range(60)]
+    before = shuffled()
+    out = suffix_dedup.remove_repeats(table(spark, rows), scratch=Spy(spark, "spy"))
+    for _ in range(50):
+        if not (left := shuffled() - before):
+            break
+        time.sleep(0.2)
+    assert not left
+    assert kept["places"] == 0
+    assert sorted_rows(out.collect()) == brute_repeats(rows, 50)
+
+
+def by_hand(rows, length, tasks, buckets=3):
+    """remove_repeats with so many rows of a task, all tasks in one process."""
+    import pyarrow as pa
+
+    dealt = lambda parts: [sorted((x for p in parts for x in p if x["bucket"] % 2 == k), key=lambda x: x["bucket"]) for k in (0, 1)]
+    run = lambda f, part, schema: [x for b in f(iter([pa.RecordBatch.from_pylist(part, schema)])) for x in b.to_pylist()] if part else []
+    blob = pa.schema([("bucket", pa.int32()), ("found", pa.bool_()), ("blob", pa.binary())])
+    beside = pa.schema([("bucket", pa.int32()), ("late", pa.bool_()), ("row", pa.int64()), ("doc_id", pa.int64()), ("text", pa.string()), ("blob", pa.binary())])
+    texts = [{"bucket": n % buckets, "late": True, "row": n, "doc_id": i, "text": t, "blob": None} for n, (i, t) in enumerate(rows)]
+    late = lambda blobs, own: sorted([x | {"late": False} for x in blobs] + own, key=lambda x: (x["bucket"], x["late"]))
+    sent = [run(suffix_dedup._fingerprints(buckets, length), texts[k : k + tasks], pa.schema([("row", pa.int64()), ("text", pa.string())])) for k in range(0, len(texts), tasks)]
+    places = [x for part in dealt(sent) for x in run(suffix_dedup._shared(buckets, length), part, blob)]
+    meet, sort = suffix_dedup._meeting(suffix_dedup._SHARED, False), suffix_dedup._runs(buckets, length)
+    runs = [run(lambda b: sort(meet(b)), late([x for x in places if x["bucket"] == k], [x for x in texts if x["bucket"] == k]), beside) for k in range(buckets)]
+    repeats = [x for part in dealt(runs) for x in run(suffix_dedup._repeats(buckets, length), part, blob)]
+    every, rest = suffix_dedup._meeting(suffix_dedup._SPAN, True), suffix_dedup._rest(length, False)
+    return [tuple(x.values()) for x in run(lambda b: rest(every(b)), late(repeats, texts), beside)]
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.data(), st.sampled_from([17, 18, 33, 50, 79]), st.integers(1, 4))
+def test_repeats_across_tasks(data, length, tasks):
+    """Pieces of a few strings in new surroundings, so that documents share one side of an anchor with this one and another with that."""
+    base = [hashlib.sha256(bytes([k])).hexdigest() * 3 for k in range(3)] + ["ab" * 60, "\0" * 90]
+    piece = st.tuples(st.sampled_from(base), st.integers(0, 60), st.integers(10, 130)).map(lambda x: x[0][x[1] : x[1] + x[2]])
+    texts = data.draw(st.lists(st.lists(piece, max_size=4).map("".join), min_size=1, max_size=7))
+    ids = data.draw(st.lists(st.integers(0, 9) | st.none(), min_size=len(texts), max_size=len(texts)))
+    rows = list(zip(ids, texts))
+    assert sorted_rows(by_hand(rows, length, tasks)) == brute_repeats(rows, length)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.lists(st.binary(min_size=1, max_size=6), max_size=12), min_size=1, max_size=7))
 def test_loser_tree_merges(runs):

@@ -14,6 +14,8 @@ FEW, FEW_WHOLE = 100_000, 10_000
 #: Rows of the counted side of a join that one task takes.
 TASK_ROWS = 200_000
 
+_FREE = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 _LOCAL: dict[str, str] = {}
 
 
@@ -42,9 +44,17 @@ class Scratch:
         self.root = f"{shared_folder(spark)}/trellium/{tag}-{uuid.uuid4().hex}"
         atexit.register(self.close)
 
-    def save(self, df: DataFrame, name: str) -> DataFrame:
+    def save(self, df: DataFrame, name: str, free: bool = False) -> DataFrame:
+        """free: the files that were shuffled for it go at once, not when the driver next collects its garbage."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(_FREE, None)
+        if free:
+            self.spark.conf.set(_FREE, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            if free:
+                self.spark.conf.unset(_FREE) if before is None else self.spark.conf.set(_FREE, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str = "") -> None:
