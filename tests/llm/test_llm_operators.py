@@ -347,6 +347,41 @@ def test_tokens_by_word_equal_tokens_of_the_text(texts):
     assert [x.tolist() for x in np.split(ids, stops)[:-1]] == want
 
 
+def test_packing_encodes_a_run_once(monkeypatch):
+    import pyarrow as pa
+    import tokenizers
+
+    real, seen = tokenizers.Tokenizer, []
+
+    class Noting:
+        def __init__(self, inner):
+            self.__dict__["inner"] = inner if isinstance(inner, real) else real(inner)
+
+        from_file = classmethod(lambda cls, path: cls(real.from_file(path)))
+        __getattr__ = lambda self, name: getattr(self.inner, name)
+        __setattr__ = lambda self, name, value: setattr(self.inner, name, value)
+
+        def encode_batch(self, lines, **options):
+            seen.extend(x for line in lines for x in line.split(" "))
+            return self.inner.encode_batch(lines, **options)
+
+    monkeypatch.setattr(tokenizers, "Tokenizer", Noting)
+    texts = ["Stone### stone$$$ STONE,*** stone.", None, "12-21stone x'S <|endoftext|>x", "a\u00d7b \u00c9t\u00c9### \u00e9t\u00e9 H\u0331", ""]
+    want = [real.from_file(packing.vocabulary()).encode(t or "", add_special_tokens=False).ids for t in texts]
+    encode = packing.encoder(packing.vocabulary())
+    for remembered, again in ((packing.REMEMBERED, 1), (packing.REMEMBERED, 0), (0, 0), (0, 0)):
+        monkeypatch.setattr(packing, "REMEMBERED", remembered)
+        seen.clear()
+        ids, stops = encode(pa.array(texts, pa.string()))
+        assert [x.tolist() for x in np.split(ids, stops)[:-1]] == want
+        plain = ["stone", "###", "$$$", ",***", ".", "1", "2", "-", "".join(chr(b) for b in "\u00e9t\u00e9".encode())]
+        assert sorted(seen) == sorted(plain + ["x'S", "<|endoftext|>x", "a\u00d7b", "H\u0331"]) * again
+    seen.clear()
+    encode(pa.array(["other"]))
+    encode(pa.array(["stone"]))
+    assert seen == ["other", "stone"]  # those of the last texts are kept, no more
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 100, 4097])
 def test_feistel_is_a_permutation(n):
     f = sharding.Feistel(n)

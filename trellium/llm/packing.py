@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -17,12 +16,12 @@ from pyspark.sql import functions as F
 from .scratch import Scratch, slices
 
 CAPACITY = 2048
-#: Words whose ids a worker remembers, in two generations: when the younger is half of it, the older one goes.
-REMEMBERED = 800_000
-#: New words that are encoded as one text; their ids are told apart by where they stand in it.
+#: Runs whose ids a task remembers; beyond that, it keeps those of the last texts.
+REMEMBERED = 400_000
+#: New runs that are encoded as one text; their ids are told apart by where they stand in it.
 LINE = 64
 #: Texts, and bytes of them, that are split together.
-TEXTS, BYTES = 1500, 5 << 20
+TEXTS, BYTES = 3000, 10 << 20
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -31,89 +30,126 @@ def vocabulary(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-#: Letters that the tokenizer's normaliser only puts in lower case, and of which a run is one match of its pattern.
-_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
-_WORD = re.compile(f"[{_LETTERS}]+").fullmatch
-#: Marks at the end of a piece are matched apart from a letter or digit before them.
-_MARKED = re.compile(f"(.*[0-9{_LETTERS}])([.,;:!?]+)", re.DOTALL).fullmatch
+#: By byte: letters that the tokenizer's normaliser only puts in lower case (ASCII's, and those of Latin-1 in UTF-8), digits,
+#: other visible characters of ASCII; 0 for the rest, and for the apostrophe, with which the pattern's endings begin.
+_LETTER, _DIGIT, _SIGN = 1, 2, 3
+_KINDS = np.zeros(256, np.uint8)
+_KINDS[33:127] = _SIGN
+_KINDS[[*range(65, 91), *range(97, 123), *range(128, 192), 0xC3]] = _LETTER
+_KINDS[48:58], _KINDS[39] = _DIGIT, 0
+_LOWER = np.array([b + 32 * (65 <= b <= 90) for b in range(256)], np.uint8)
 
 
-def _byte_letters() -> dict[int, str]:
-    """For letters of _LETTERS beyond ASCII: their UTF-8 bytes as the characters that stand for bytes in byte-level BPE.
+def _byte_letters() -> np.ndarray:
+    """For each byte the character that stands for it in byte-level BPE; a space stays one.
 
     Printable bytes of Latin-1 stand for themselves, the others for the characters from 256 on, in order.
     """
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
     rest = [b for b in range(256) if b not in own]
-    sign = {b: chr(b) for b in own} | {b: chr(256 + k) for k, b in enumerate(rest)}
-    return {c: "".join(sign[b] for b in chr(c).encode()) for c in range(0xC0, 0x100)}
+    sign = np.arange(256, dtype="<u4")
+    sign[rest] = np.arange(256, 256 + len(rest))
+    sign[32] = 32
+    return sign
+
+
+def _parts(strings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of large strings (or binaries), and where each begins and the last ends."""
+    at = np.frombuffer(strings.buffers()[1], np.int64)[strings.offset : strings.offset + len(strings) + 1]
+    data = strings.buffers()[2]
+    return np.frombuffer(data, np.uint8)[at[0] : at[-1]] if data else np.zeros(0, np.uint8), at - at[0]
+
+
+def _array(kind: pa.DataType, data: np.ndarray, at: np.ndarray) -> pa.Array:
+    at = np.ascontiguousarray(at, dtype=np.int64)
+    return pa.Array.from_buffers(kind, len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(data))])
+
+
+def runs(pieces: pa.Array, special: bytes) -> tuple[pa.Array, np.ndarray, np.ndarray]:
+    """Pieces without white space (large strings) as runs: the runs, which of them are whole hard pieces, and where each piece's runs begin.
+
+    A plain piece has letters, digits and signs as in _KINDS only, and no byte in special. Its runs, in lower case, are
+    the pattern's matches: letters or signs that follow each other, and single digits. Any other piece is hard and one
+    run, as it is. An empty piece has no runs.
+    """
+    data, at = _parts(pieces)
+    kind = _KINDS[data]
+    kind[np.isin(data, np.frombuffer(special, np.uint8))] = 0
+    after = np.concatenate([[False], data[:-1] == 0xC3])[: len(data)]
+    bad = (kind == 0) | (after != ((data & 0xC0) == 0x80)) | after & ((data == 0x97) | (data == 0xB7))  # × and ÷ are signs
+    hard = np.zeros(len(pieces), bool)
+    hard[np.searchsorted(at, np.flatnonzero(bad), side="right") - 1] = True
+    plain = ~np.repeat(hard, np.diff(at))
+    begin = plain & ((kind == _DIGIT) | np.concatenate([[True], kind[1:] != kind[:-1]])[: len(data)])
+    begin[at[:-1][at[:-1] < at[1:]]] = True
+    cuts = np.flatnonzero(begin)
+    low = np.where(after & (data < 0x9F), data + np.uint8(32), _LOWER[data])
+    every = _array(pa.large_string(), np.where(plain, low, data), np.append(cuts, len(data)))
+    return every, ~plain[cuts], np.searchsorted(cuts, at)
 
 
 def encoder(path: str):
     """A function from a column of texts to all their ids, little-endian unsigned 32-bit, and where each text's ids end.
 
     The tokenizer drops white space and matches nothing across it, so a text's ids are those of its pieces between
-    ASCII white space, one after the other. Arrow splits the texts and numbers the different pieces; what is new among
-    these is encoded, all of it together, and the ids of all pieces are gathered with numpy. Plain words skip the
-    normaliser and the pattern, which would only put them in lower case and match them whole.
+    ASCII white space, one after the other, and a plain piece's are those of its runs. Arrow splits the texts and
+    numbers the different pieces, numpy cuts these into runs, and Arrow numbers the different runs; what is new among
+    these is encoded, all of it together, and the ids are gathered back. Plain runs skip the normaliser and the pattern,
+    which would only put them in lower case and match them whole.
     """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     from tokenizers import Tokenizer, pre_tokenizers
 
-    whole, known, older = Tokenizer.from_file(path), {"": b""}, {}
-    plain, letters = Tokenizer(whole.model), _byte_letters()
+    whole, letters = Tokenizer.from_file(path), _byte_letters()
+    special = "".join(sorted({t.content[0] for t in whole.get_added_tokens_decoder().values()})).encode()
+    plain = Tokenizer(whole.model)
     plain.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-
-    def lines(pieces: list[str], tokenizer):
-        parts = [pieces[at : at + LINE] for at in range(0, len(pieces), LINE)]
-        return zip(parts, tokenizer.encode_batch([" ".join(p) for p in parts], add_special_tokens=False))
-
-    def keep(part: list[str], ids: list[int], cut: np.ndarray) -> None:
-        data, cut = np.array(ids, dtype="<u4").tobytes(), (4 * cut).tolist()
-        known.update({piece: data[a:b] for piece, a, b in zip(part, cut, cut[1:])})
-
-    def learn(fresh: list[str]) -> None:
-        halves = {}
-        for piece in fresh:
-            if (ids := older.get(piece)) is not None:
-                known[piece] = ids
-                continue
-            word, marks = m.groups() if (m := _MARKED(piece)) else (piece, "")
-            halves[piece] = word.lower() if _WORD(word) else word, marks
-        new = {x for two in halves.values() for x in two if x not in known}
-        again = new & older.keys() if older else set()
-        known.update({x: older[x] for x in again})
-        new -= again
-        words = [x for x in new if _WORD(x) and x.lower() == x]
-        signs = {x if x.isascii() else x.translate(letters): x for x in words}
-        for part, got in lines(list(signs), plain):
-            cut = np.searchsorted(np.array(got.word_ids), np.arange(len(part) + 1))
-            keep([signs[x] for x in part], got.ids, cut)
-        for part, got in lines(list(new.difference(words)), whole):
-            begin = np.cumsum([0, *(len(p) + 1 for p in part)])
-            keep(part, got.ids, np.searchsorted(np.fromiter((o[0] for o in got.offsets), np.int64, len(got.ids)), begin))
-        known.update({p: known[a] + known[b] for p, (a, b) in halves.items()})
+    known, known_ids = pa.array([], pa.large_string()), pa.array([], pa.large_binary())
+
+    def joined(got: list, cuts: list[np.ndarray]) -> pa.Array:
+        """The ids of strings, encoded some at a time; cuts: where the ids of each begin, and those of the last end."""
+        ids = [np.array(x.ids, "<u4") for x in got]
+        before = np.cumsum([0, *map(len, ids)])
+        at = [c[:-1] + b for c, b in zip(cuts, before)]
+        return _array(pa.large_binary(), np.concatenate(ids).view(np.uint8), 4 * np.concatenate([*at, before[-1:]]))
+
+    def plain_ids(new: pa.Array) -> pa.Array:
+        data, at = _parts(pc.binary_join_element_wise(new, pa.scalar("", pa.large_string()), pa.scalar(" ", pa.large_string())))
+        text, at = letters[data].tobytes().decode("utf-32-le"), at[[*range(0, len(new), LINE), len(new)]].tolist()
+        got = plain.encode_batch([text[a : b - 1] for a, b in zip(at, at[1:])], add_special_tokens=False)
+        sizes = [min(LINE, len(new) - k) for k in range(0, len(new), LINE)]
+        return joined(got, [np.searchsorted(np.array(x.word_ids), np.arange(n + 1)) for x, n in zip(got, sizes)])
+
+    def hard_ids(new: pa.Array) -> pa.Array:
+        new = new.to_pylist()
+        lines = [new[k : k + LINE] for k in range(0, len(new), LINE)]
+        got = whole.encode_batch([" ".join(x) for x in lines], add_special_tokens=False)
+        begin = [np.cumsum([0, *(len(p) + 1 for p in x)]) for x in lines]
+        return joined(got, [np.searchsorted(np.fromiter((o[0] for o in x.offsets), np.int64, len(x.ids)), b) for x, b in zip(got, begin)])
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        nonlocal known, known_ids
         pieces = pc.ascii_split_whitespace(texts.fill_null(""))
         number = pieces.flatten().dictionary_encode()
-        different = number.dictionary.to_numpy(zero_copy_only=False).tolist()
-        if len(known) > REMEMBERED // 2:
-            older.clear()
-            older.update(known)
-            known.clear()
-            known[""] = b""
-        fresh = [p for p, ids in zip(different, map(known.get, different)) if ids is None]
-        if fresh:
-            learn(fresh)
-        parts = list(map(known.__getitem__, different))
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 4
-        at = number.indices.to_numpy()
-        length = size[at]
-        stop = np.cumsum(length)
-        first = (np.cumsum(size) - size)[at] - (stop - length)
-        ids = np.frombuffer(b"".join(parts), "<u4")[np.repeat(first, length) + np.arange(length.sum())]
-        return ids, np.concatenate([[0], stop])[np.cumsum(pc.list_value_length(pieces).to_numpy())]
+        every, hard, first = runs(number.dictionary.cast(pa.large_string()), special)
+        every = every.dictionary_encode()
+        different, of = every.dictionary, every.indices
+        is_hard = np.zeros(len(different), bool)
+        is_hard[of.to_numpy()] = hard
+        place = pc.index_in(different, value_set=known)
+        new = place.is_null().to_numpy(zero_copy_only=False)
+        place = place.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
+        for which, ids in ((new & ~is_hard, plain_ids), (new & is_hard, hard_ids)):
+            if which.any():
+                fresh = different.filter(pa.array(which))
+                place[which] = len(known) + np.arange(len(fresh))
+                known, known_ids = pa.concat_arrays([known, fresh]), pa.concat_arrays([known_ids, ids(fresh)])
+        own = known_ids.take(pa.array(place))
+        if len(known) > REMEMBERED:
+            known, known_ids = different, own
+        data, at = _parts(own.take(of))
+        data, at = _parts(_array(pa.large_binary(), data, at[first]).take(number.indices))
+        return data.view("<u4"), at[np.cumsum(pc.list_value_length(pieces).to_numpy())] // 4
 
     return encode
 
