@@ -21,7 +21,7 @@ REMEMBERED = 400_000
 #: New runs that are encoded as one text; their ids are told apart by where they stand in it.
 LINE = 64
 #: Texts, and bytes of them, that are split together.
-TEXTS, BYTES = 3000, 10 << 20
+TEXTS, BYTES = 700, 5 << 19
 
 
 def vocabulary(name: str = "word_bpe_49k.json") -> str:
