@@ -2,11 +2,14 @@
 
 import collections
 import hashlib
+import pickle
 import zlib
+from pathlib import Path
 
 import duckdb
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -446,6 +449,47 @@ def test_quality_depends_on_words():
     assert (good[:, : -quality.WORDS] == bad[:, : -quality.WORDS]).all() and (good != bad).any()
 
 
+def test_quality_of_a_text_alone(monkeypatch):
+    """White space, nulls and long words before or after a text change none of its features, nor do blocks of hashes."""
+    texts = ["\n\n \t wonderful marvellous things, happening", None, "", "   ", "  \n" + "ü" * 400 + " end\n\n", "\t\t\t" + " ".join(f"word{i % 9}" for i in range(130))]
+    alone = [quality.passages([t])[0] for t in texts]
+    got, number = quality.passages(texts)
+    assert [len(a) for a in alone] == number.tolist() and (got == np.concatenate(alone)).all()
+    assert (quality.passages(texts[:1])[0] == quality.passages([texts[0].strip()])[0]).all()
+    monkeypatch.setattr(quality, "BLOCK", 7)
+    assert (quality.passages(texts)[0] == got).all()
+
+
+def test_quality_works_on_few_bytes(monkeypatch):
+    """Texts leave Arrow in parts that are bounded by bytes, not characters."""
+    net, seen, whole = quality.GatedAttention(quality.FEATURES), [], quality.passages
+    texts = pa.array([None, "", *[f"日本語 {i} のテキスト " * 40 for i in range(60)], "x y " * 3_000])
+    want = net.forward(*whole(texts.to_pylist()))[0]
+    monkeypatch.setattr(quality, "TEXT", 5_000)
+    monkeypatch.setattr(quality, "passages", lambda part: seen.append([len((t or "").encode()) for t in part]) or whole(part))
+    assert np.allclose(net.scores(texts).to_numpy(), want) and sum(map(len, seen)) == len(texts)
+    assert all(sum(part) <= 5_000 or len(part) == 1 for part in seen)
+    assert len(net.scores(texts.slice(0, 0))) == 0
+
+
+def test_learned_rows(spark):
+    """One task gets the rows of within_bytes, also when it has to drop some while it reads, and no file is written."""
+    rows = spark.range(0, 20_000, 1, 9).selectExpr("id AS doc_id", "int(id % 2) AS label", "CAST(concat(id, repeat('x', 10)) AS BINARY) AS bag")
+    fit = lambda data, labels: pickle.dumps([(bytes(d).decode(), int(v)) for d, v in zip(data, labels, strict=True)])
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "700")
+    folder = Path(scratch.shared_folder(spark).removeprefix("file://"))
+    files = lambda: {p for p in folder.rglob("*") if p.is_file()}
+    before = files()
+    try:
+        for most in (1_000_000, 30_000):
+            want = sorted((r.doc_id, bytes(r.bag).decode(), r.label) for r in sampling.within_bytes(rows, "bag", most).collect())
+            got = pickle.loads(sampling.learned(rows, "bag", most, fit))
+            assert got == [w[1:] for w in want] and 1_000 < len(got) <= 20_000
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert pickle.loads(sampling.learned(rows.limit(0), "bag", 10, fit)) == [] and files() == before
+
+
 def _marked(n, toxic):
     rng = np.random.default_rng(n)
     words = [f"{a}{b}{c}" for a in ("ka", "lo", "mi") for b in ("n", "t", "s") for c in ("o", "e", "u")]

@@ -6,13 +6,13 @@ import pickle
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .sampling import fold, labelled_sample, learned
-from .scratch import Scratch, cuts, slices
+from .scratch import cuts, slices
 from .toxicity import teaching
 
 #: Words of a passage; documents of each label that are learned from, about, and bytes of their passages; see
@@ -25,8 +25,8 @@ KINDS = ["ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz", "0123456789
 #: Features by which words are hashed, each with a sign.
 WORDS = 64
 FEATURES = len(KINDS) + 8 + WORDS
-#: Bytes of text whose passages are worked out at once.
-TEXT = 256 << 10
+#: Bytes of text whose passages are worked out at once, and of these the bytes whose hashes are, as each takes some 50.
+TEXT, BLOCK = 256 << 10, 64 << 10
 
 
 def _kinds() -> np.ndarray:
@@ -37,19 +37,34 @@ def _kinds() -> np.ndarray:
     return table
 
 
+def _words(data: np.ndarray, white: np.ndarray, begin: np.ndarray) -> np.ndarray:
+    """A hash of the bytes of every word, which begin where begin says."""
+    power = np.cumprod(np.full(256, 0x01000193, np.uint64))
+    spread = np.zeros(len(begin), np.uint64)
+    for a in range(int(begin[0]), len(data), BLOCK):
+        b = min(a + BLOCK, len(data))
+        i, j = np.searchsorted(begin, a, side="right") - 1, np.searchsorted(begin, b)
+        edges = np.maximum(begin[i:j], a)
+        place = np.arange(a, b) - np.repeat(begin[i:j], np.diff(np.append(edges, b)))
+        spread[i:j] += np.add.reduceat(np.where(white[a:b], 0, data[a:b].astype(np.uint64) + 1) * power[place % 256], edges - a)
+    return (spread * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+
+
 def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     """The features of every passage, its bytes, words and their repetition, and how many passages each text has.
 
     An empty text has one, of zeros. A passage is PASSAGE words between white space, the last of a text may be shorter.
+    A text's features are the same whatever texts it is worked out with.
     """
     kinds = _kinds()
     raw = [(t or "").encode("utf-8", "surrogatepass") for t in texts]
-    data = np.frombuffer(b" ".join(raw) + b" ", np.uint8)
+    data = np.frombuffer(b" ".join(raw) + b"  ", np.uint8)
     sizes = np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw))
     white = (data == 32) | ((data >= 9) & (data <= 13))
     begin = np.flatnonzero(~white & np.concatenate([[True], white[:-1]]))
     end = np.flatnonzero(white & np.concatenate([[False], ~white[:-1]]))
-    of = np.searchsorted(np.cumsum(sizes), begin, side="right")
+    last = np.cumsum(sizes)
+    of = np.searchsorted(last, begin, side="right")
     words = np.bincount(of, minlength=len(raw))
     first = np.cumsum(words) - words
     number = np.maximum(1, -(-words // PASSAGE))
@@ -61,17 +76,14 @@ def passages(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
     out = np.zeros((int(number.sum()), FEATURES), np.float32)
     count = np.diff(np.append(starts, len(begin))).astype(np.float32)
     edges = begin[starts]
-    stops = np.append(edges[1:], len(data))
+    stops = np.minimum(np.append(edges[1:], len(data)), last[of[starts]])  # not in the white space before the next text
     length = (stops - edges).astype(np.float32)
-    kind = kinds[data]
+    kind, between = kinds[data], np.stack([edges, stops], axis=1).ravel()
     for k in range(len(KINDS) + 2):
         if k != len(KINDS):
-            out[at, k if k < len(KINDS) else k - 1] = np.add.reduceat(kind == k, edges, dtype=np.int64) / length
+            out[at, k if k < len(KINDS) else k - 1] = np.add.reduceat(kind == k, between, dtype=np.int64)[::2] / length
     # Words by a hash of their bytes: how many repeat the one before, or an earlier one of the passage.
-    power = np.cumprod(np.full(256, 0x01000193, np.uint64))
-    place = np.arange(len(data)) - np.repeat(begin, np.diff(np.append(begin, len(data) + begin[0])))[: len(data)]
-    spread = np.add.reduceat(np.where(white, 0, data.astype(np.uint64) + 1) * power[place % 256], begin)
-    word = (spread * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    word = _words(data, white, begin)
     same = lambda lag: np.concatenate([np.zeros(lag, bool), (word[lag:] == word[:-lag]) & (passage[lag:] == passage[:-lag])]) if len(word) > lag else np.zeros(len(word), bool)
     base = len(KINDS) + 1
     for lag in (1, 2):
@@ -113,6 +125,13 @@ class GatedAttention:
         score = 1 / (1 + np.exp(-np.clip(z @ p["c"] + p["b"], -30, 30)))
         return score, (x, of, starts, h, t, g, a, z)
 
+    def scores(self, texts: pa.Array) -> pa.Array:
+        """The score of every text; TEXT bytes of them at once leave Arrow and are worked out."""
+        got = np.zeros(len(texts))
+        for a, b in cuts(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False), size=TEXT):
+            got[a:b] = self.forward(*passages(texts.slice(a, b - a).to_pylist()))[0]
+        return pa.array(got)
+
     def gradients(self, error: np.ndarray, kept) -> dict[str, np.ndarray]:
         p = self.p
         x, of, starts, h, t, g, a, z = kept
@@ -175,23 +194,18 @@ def quality_model(docs: DataFrame, labels: DataFrame, *, label: str = "quality",
             net.p["b"][:] = 30 if truth.any() else -30
         return pickle.dumps((net.mean, net.spread, net.p))
 
-    scratch = Scratch(spark, "quality")
-    net = pickle.loads(learned(_features(labelled_sample(docs, labels, label, bound), label), "passages", most, fit, scratch))
-    scratch.drop()
+    net = pickle.loads(learned(_features(labelled_sample(docs, labels, label, bound), label), "passages", most, fit))
     model = spark.sparkContext.broadcast(net)
 
-    @F.pandas_udf("double")
-    def score(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.arrow_udf("double")
+    def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         own = GatedAttention(FEATURES)
         own.mean, own.spread, own.p = model.value
         for texts in batches:
-            texts = texts.tolist()
-            got = np.zeros(len(texts))
-            for a, b in cuts(np.fromiter((len(t or "") for t in texts), np.int64, len(texts)), size=TEXT):
-                got[a:b] = own.forward(*passages(texts[a:b]))[0]
+            got = own.scores(texts)
             del texts
             pa.default_memory_pool().release_unused()  # a batch's texts, before the next one comes
-            yield pd.Series(got)
+            yield got
 
     return score
 

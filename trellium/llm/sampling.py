@@ -7,11 +7,10 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .scratch import Scratch
-
 
 def fold(folds: int) -> Column:
     """crc32 of doc_id as text, modulo folds; a null id counts as an empty text."""
@@ -58,16 +57,24 @@ def within_bytes(rows: DataFrame, column: str, most: int, seed: int = 8) -> Data
     return rows if size <= most else rows.where(_spot("doc_id", F.lit(seed)) < most / size)
 
 
-def learned(rows: DataFrame, column: str, most: int, fit: Callable[[list[memoryview], np.ndarray], bytes], scratch: Scratch) -> bytes:
+def learned(rows: DataFrame, column: str, most: int, fit: Callable[[list[memoryview], np.ndarray], bytes], seed: int = 8) -> bytes:
     """What fit makes of a binary column and the labels of rows (doc_id, label, column), in a fixed order.
 
-    The rows are computed once, and of so many bytes at most; one task holds and learns from them, and only what it
-    has learned comes to the driver.
+    The rows are computed once and go to one task, which learns from those of within_bytes and holds about twice as many
+    bytes at most while it reads; no file is written, and only what it has learned comes to the driver.
     """
-    names = ["doc_id", "label", column]
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
+        parts, seen, held = [], 0, 0
+        size = lambda b: pc.sum(pc.binary_length(b.column(2))).as_py() or 0
+        few = lambda b: b if seen <= most else b.filter(pc.less(b.column(3), most / seen))
+        for b in batches:
+            parts.append(b)
+            seen, held = seen + size(b), held + size(b)
+            if held > 2 * most:  # the share only falls, so what goes now would go at the end
+                parts = list(map(few, parts))
+                held = sum(map(size, parts))
+        parts = [b for b in map(few, parts) if b.num_rows]
         data = [x.as_buffer() for b in parts for x in b.column(2)]
         ids, labels = (np.concatenate([np.zeros(0, np.int64), *(b.column(i).to_numpy() for b in parts)]) for i in (0, 1))
         order = sorted(range(len(data)), key=lambda i: (ids[i], zlib.crc32(data[i])))
@@ -77,5 +84,5 @@ def learned(rows: DataFrame, column: str, most: int, fit: Callable[[list[memoryv
         pa.default_memory_pool().release_unused()
         yield pa.RecordBatch.from_arrays([pa.array([model], pa.binary())], ["model"])
 
-    found = within_bytes(scratch.save(rows.select(names), "learned"), column, most).coalesce(1).mapInArrow(learn, "model binary").collect()
+    found = rows.select("doc_id", "label", column, _spot("doc_id", F.lit(seed)).alias("spot")).repartition(1).mapInArrow(learn, "model binary").collect()
     return bytes(found[0].model) if found else fit([], np.zeros(0))

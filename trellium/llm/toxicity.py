@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .ngrams import alnum_table, blocks, code_points
 from .sampling import fold, labelled_sample, learned
-from .scratch import Scratch, cuts, slices
+from .scratch import cuts, slices
 
 ORDERS, BITS, WIDTH = (3, 4, 5), 18, 8
 #: Documents of each label that are learned from, about, and bytes of their subwords; see labelled_sample and within_bytes.
@@ -112,9 +112,7 @@ def toxicity_model(docs: DataFrame, labels: DataFrame, *, label: str = "toxic",
             return pickle.dumps(train(bag, truth.astype(np.float32)))
         return pickle.dumps((np.zeros(2**BITS, np.float32), 30.0 if truth.any() else -30.0))
 
-    scratch = Scratch(spark, "toxicity")
-    subwords, bias = pickle.loads(learned(bags(labelled_sample(docs, labels, label, bound), label), "bag", most, fit, scratch))
-    scratch.drop()
+    subwords, bias = pickle.loads(learned(bags(labelled_sample(docs, labels, label, bound), label), "bag", most, fit))
     model = spark.sparkContext.broadcast((subwords, bias))
 
     @F.pandas_udf("double")
